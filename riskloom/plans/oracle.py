@@ -307,3 +307,107 @@ f AS (SELECT *, CAST((row_number() OVER (PARTITION BY isDefault ORDER BY {_hash(
                      % {K} AS BIGINT) AS fold FROM scaled)
 SELECT fold, CAST(isDefault AS BIGINT) AS isDefault, count(*) AS n,
        round(avg(total_loan), {R}) AS mean_scaled_loan FROM f GROUP BY fold, isDefault"""
+
+
+# ------------------------------------------------------------------ feature dictionary / encoding
+def fd_sql(prefix: str, src: str, fields, key: str) -> str:
+    """CTEs ``{prefix}_offs`` and ``{prefix}`` (ord, field, kind, value, feature_id)."""
+    vals = ", ".join(f"({i}, '{f}', '{k}')" for i, (f, k) in enumerate(fields))
+    cats = [f for f, k in fields if k == "categorical"]
+    union = " UNION ALL ".join(
+        f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value, {key} AS okey FROM {src}" for c in cats)
+    return f"""{prefix}_fields(ord, field, kind) AS (VALUES {vals}),
+{prefix}_cats AS ({union}),
+{prefix}_firsts AS (SELECT field, value, min(okey) AS first_seen FROM {prefix}_cats
+                    WHERE value IS NOT NULL GROUP BY field, value),
+{prefix}_sizes AS (SELECT f.ord, f.field, f.kind,
+                   CASE WHEN f.kind = 'numeric' THEN 1
+                        ELSE (SELECT count(*) FROM {prefix}_firsts x WHERE x.field = f.field) END AS size
+                   FROM {prefix}_fields f),
+{prefix}_offs AS (SELECT *, coalesce(sum(size) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING
+                                                      AND 1 PRECEDING), 0) AS off FROM {prefix}_sizes),
+{prefix} AS (
+  SELECT o.ord, o.field, o.kind, CAST(NULL AS VARCHAR) AS value, o.off AS feature_id
+  FROM {prefix}_offs o WHERE o.kind = 'numeric'
+  UNION ALL
+  SELECT o.ord, o.field, o.kind, f.value,
+         o.off + row_number() OVER (PARTITION BY f.field ORDER BY f.first_seen) - 1
+  FROM {prefix}_firsts f JOIN {prefix}_offs o ON f.field = o.field)"""
+
+
+def _pick(fd: str, field: str, seed=SEED) -> str:
+    return (f"(SELECT CASE WHEN instr('13579bdf', substr(md5('{field}:{seed}'), 1, 1)) > 0 "
+            f"THEN max(feature_id) ELSE min(feature_id) END FROM {fd} WHERE field = '{field}')")
+
+
+def enc_sql(name: str, src: str, fd: str, fields, key: str, label: str | None) -> str:
+    """CTE ``name`` (key, xi BIGINT[], xv_sum, label) of ``src`` encoded against ``fd``."""
+    xi, xv, joins = [], [], []
+    for i, (f, k) in enumerate(fields):
+        if k == "numeric":
+            xi.append(f"(SELECT feature_id FROM {fd} WHERE field = '{f}')")
+            xv.append(f"CAST(CAST(s.{f} AS FLOAT) AS DOUBLE)")
+        else:
+            joins.append(f"LEFT JOIN (SELECT value AS v{i}, feature_id AS id{i} FROM {fd} "
+                         f"WHERE field = '{f}') d{i} ON CAST(s.{f} AS VARCHAR) = d{i}.v{i}")
+            xi.append(f"coalesce(d{i}.id{i}, {_pick(fd, f)})")
+            xv.append("1.0")
+    lab = f", CAST(CAST(s.{label} AS FLOAT) AS DOUBLE) AS label" if label else ""
+    return f"""{name} AS (
+  SELECT s.{key} AS {key}, [{', '.join(xi)}] AS xi, ({' + '.join(xv)}) AS xv_sum{lab}
+  FROM {src} s {' '.join(joins)})"""
+
+
+APP_FIELDS = (("total_loan", "numeric"), ("f0", "numeric"), ("f2", "numeric"),
+              ("class_raw", "categorical"), ("employer_type", "categorical"),
+              ("industry", "categorical"), ("work_year", "categorical"),
+              ("issue_date_y", "numeric"), ("issue_date_m", "numeric"), ("issue_date_diff", "numeric"))
+
+ENCODED = ",\n".join([
+    PREPARED,
+    fd_sql("fd", "scaled", APP_FIELDS, "loan_id"),
+    enc_sql("enc", "scaled", "fd", APP_FIELDS, "loan_id", "isDefault"),
+    enc_sql("enc_te", "test_clean", "fd", APP_FIELDS, "loan_id", None),
+    f"""enc_folds AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY {_hash('loan_id')}, loan_id) - 1)
+                 % {K} AS BIGINT) AS fold FROM enc),
+expanded AS (
+  SELECT e.*, s.split AS fold_id,
+         CASE WHEN e.fold = s.split THEN 'valid' ELSE 'train' END AS role
+  FROM enc_folds e JOIN (SELECT range AS split FROM range(0, {K})) s ON TRUE)""",
+])
+
+SQL["feature_dictionary"] = f"""WITH {ENCODED}
+SELECT CAST(ord AS BIGINT) AS ord, field, kind, value, CAST(feature_id AS BIGINT) AS feature_id FROM fd"""
+
+SQL["feature_dims"] = f"""WITH {ENCODED}
+SELECT CAST((SELECT sum(size) FROM fd_sizes) AS BIGINT) AS feature_dim,
+       (SELECT count(*) FROM fd_sizes) AS field_size, (SELECT count(*) FROM scaled) AS rows_count"""
+
+SQL["encode_xi_xv"] = f"""WITH {ENCODED}
+SELECT loan_id, array_to_string(xi, ',') AS xi, round(xv_sum, {R}) AS xv_sum, round(label, {R}) AS label FROM enc"""
+
+SQL["export_folds"] = f"""WITH {ENCODED}
+SELECT loan_id, role, CAST(fold_id AS BIGINT) AS fold_id, array_to_string(xi, ',') AS xi,
+       round(xv_sum, {R}) AS xv_sum, round(label, {R}) AS label FROM expanded"""
+
+SQL["sink_folds"] = f"""WITH {ENCODED}
+SELECT role, CAST(fold_id AS BIGINT) AS fold_id, count(*) AS n, round(sum(label), {R}) AS label_sum,
+       round(sum(xv_sum), {R - 2}) AS xv_total, CAST(sum(list_sum(xi)) AS BIGINT) AS xi_total
+FROM expanded GROUP BY role, fold_id"""
+
+SQL["scan_fold"] = f"""WITH {ENCODED}
+SELECT loan_id, array_to_string(xi, ',') AS xi, round(label, {R}) AS label FROM expanded
+WHERE role = 'train' AND fold_id = 0"""
+
+SQL["scan_unlabelled"] = f"""WITH {ENCODED}
+SELECT loan_id, array_to_string(xi, ',') AS xi, round(xv_sum, {R}) AS xv_sum FROM enc_te"""
+
+ORDER_FIELDS = (("o_custkey", "categorical"), ("o_totalprice", "numeric"),
+                ("o_orderpriority", "categorical"))
+SQL["impute_unknown_id"] = "WITH " + ",\n".join([
+    "fit AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')",
+    fd_sql("ofd", "fit", ORDER_FIELDS, "o_orderkey"),
+    enc_sql("oenc", "orders", "ofd", ORDER_FIELDS, "o_orderkey", None),
+]) + f"""
+SELECT o_orderkey, array_to_string(xi, ',') AS xi, round(xv_sum, {R}) AS xv_sum FROM oenc"""

@@ -309,3 +309,100 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def fold_profile(spark, sf):
     from .flagship import fold_profile as fp
     return fp(spark, sf)
+
+
+# ---------------------------------------------------------------- feature dictionary, encoding, records
+def _xi_text(c="xi"):
+    return F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ",")
+
+
+def _xv_sum(c="xv"):
+    return F.aggregate(F.col(c), F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double"))
+
+
+def _encoded(spark, sf):
+    from .export import encode_table
+    prep = _prepared(spark, sf, balance=False)
+    enc, fd = encode_table(prep.scaled, APP_ROLES, SEED)
+    return prep, enc, fd
+
+
+@query
+def feature_dictionary(spark, sf):
+    _, _, fd = _encoded(spark, sf)
+    return finalize(fd.table)
+
+
+@query
+def feature_dims(spark, sf):
+    prep, _, fd = _encoded(spark, sf)
+    return finalize(prep.scaled.agg(F.count(F.lit(1)).alias("rows_count")).select(
+        F.lit(fd.feature_dim).cast("long").alias("feature_dim"),
+        F.lit(fd.field_size).cast("long").alias("field_size"), "rows_count"))
+
+
+@query
+def encode_xi_xv_q(spark, sf):
+    _, enc, _ = _encoded(spark, sf)
+    return finalize(enc.select("loan_id", _xi_text().alias("xi"), _xv_sum().alias("xv_sum"), "label"))
+
+
+def _exported(spark, sf):
+    from ..session import shared_path
+    from .export import export_folds as ef
+    prep = _prepared(spark, sf, balance=False)
+    path = shared_path(spark, "folds")
+    ex = ef(prep.scaled, APP_ROLES, K, SEED, path)
+    return ex, spark.read.parquet(path)
+
+
+@query
+def export_folds(spark, sf):
+    _, back = _exported(spark, sf)
+    return finalize(back.select("loan_id", "role", "fold_id", _xi_text().alias("xi"),
+                                _xv_sum().alias("xv_sum"), "label"))
+
+
+@query
+def sink_folds_q(spark, sf):
+    _, back = _exported(spark, sf)
+    return finalize(back.groupBy("role", "fold_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("label_sum"),
+        F.round(F.sum(_xv_sum()), 4).alias("xv_total"),
+        F.sum(F.aggregate("xi", F.lit(0).cast("long"), lambda a, x: a + x)).alias("xi_total")))
+
+
+@query
+def scan_fold_q(spark, sf):
+    from ..sources.records import scan_fold
+    ex, _ = _exported(spark, sf)
+    rec = scan_fold(spark, ex.path, "train", 0, ex.fd.field_size)
+    return finalize(rec.select("loan_id", _xi_text().alias("xi"), "label"))
+
+
+@query
+def scan_unlabelled_q(spark, sf):
+    from ..operators.encode import encode_xi_xv
+    from ..session import shared_path
+    from ..sources.records import scan_unlabelled, sink_unlabelled
+    prep, _, fd = _encoded(spark, sf)
+    enc_te = encode_xi_xv(prep.test, fd, "loan_id", None, SEED)
+    path = sink_unlabelled(enc_te, shared_path(spark, "unlabelled"))
+    back = scan_unlabelled(spark, path, "loan_id", fd.field_size)
+    return finalize(back.select("loan_id", _xi_text().alias("xi"), _xv_sum().alias("xv_sum")))
+
+
+@query
+def impute_unknown_id(spark, sf):
+    """Dictionary fitted on orders before 1996, applied to all orders: customers first seen
+    later get their field's seeded smallest-or-largest id."""
+    from ..operators.dictionary import fit_feature_dictionary
+    from ..operators.encode import encode_xi_xv
+    from ..roles import Roles
+    orders = read_table(spark, sf, "orders")
+    roles = Roles(numeric=("o_totalprice",),
+                  ignore=("o_orderkey", "o_orderstatus", "o_orderdate"), target=None, key="o_orderkey")
+    fit = orders.where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
+    fd = fit_feature_dictionary(fit, roles)
+    enc = encode_xi_xv(orders, fd, "o_orderkey", None, SEED)
+    return finalize(enc.select("o_orderkey", _xi_text().alias("xi"), _xv_sum().alias("xv_sum")))
