@@ -354,7 +354,8 @@ def enc_sql(name: str, src: str, fd: str, fields, key: str, label: str | None) -
             xv.append("1.0")
     lab = f", CAST(CAST(s.{label} AS FLOAT) AS DOUBLE) AS label" if label else ""
     return f"""{name} AS (
-  SELECT s.{key} AS {key}, [{', '.join(xi)}] AS xi, ({' + '.join(xv)}) AS xv_sum{lab}
+  SELECT s.{key} AS {key}, [{', '.join(xi)}] AS xi, [{', '.join(xv)}] AS xv,
+         ({' + '.join(xv)}) AS xv_sum{lab}
   FROM {src} s {' '.join(joins)})"""
 
 
@@ -411,3 +412,173 @@ SQL["impute_unknown_id"] = "WITH " + ",\n".join([
     enc_sql("oenc", "orders", "ofd", ORDER_FIELDS, "o_orderkey", None),
 ]) + f"""
 SELECT o_orderkey, array_to_string(xi, ',') AS xi, round(xv_sum, {R}) AS xv_sum FROM oenc"""
+
+
+# ------------------------------------------------------------------ interaction blocks and scores
+def w_dense(l, i, j) -> str:
+    return f"(((({i}) * 7 + ({j}) * 13 + {l} * 5) % 29) / 29.0 - 0.5)"
+
+
+def w_bias(l, j) -> str:
+    return f"(((({j}) * 3 + {l}) % 7) / 7.0 - 0.5)"
+
+
+def w_emb(i, k) -> str:
+    return f"(((({i}) * 31 + ({k}) * 17) % 101) / 101.0 - 0.5)"
+
+
+def w_first(i) -> str:
+    return f"(((({i}) * 13 + 7) % 97) / 97.0 - 0.5)"
+
+
+def w_expert(d, u, x) -> str:
+    return f"(((({d}) * 7 + ({u}) * 13 + ({x}) * 5) % 31) / 31.0 - 0.5)"
+
+
+def w_att_h(t) -> str:
+    return f"(((({t}) * 5 + 1) % 7) / 7.0 - 0.5)"
+
+
+EMB_LONG = """el AS (
+  SELECT vec_id, idx // 16 AS f, idx % 16 AS k, v FROM (
+    SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, 64)) AS idx FROM embeddings))"""
+
+SQL["fm_second_order"] = f"""WITH {EMB_LONG}
+SELECT vec_id, CAST(k AS BIGINT) AS k, round(0.5 * (sum(v) * sum(v) - sum(v * v)), {R}) AS fm2
+FROM el GROUP BY vec_id, k"""
+
+SQL["pairwise_interactions"] = f"""WITH {EMB_LONG}
+SELECT a.vec_id, CAST(a.f AS BIGINT) AS i, CAST(b.f AS BIGINT) AS j, round(sum(a.v * b.v), {R}) AS dot
+FROM el a JOIN el b ON a.vec_id = b.vec_id AND a.k = b.k AND a.f < b.f GROUP BY a.vec_id, a.f, b.f"""
+
+SQL["layer_norm"] = f"""WITH {EMB_LONG}
+SELECT vec_id, CAST(f AS BIGINT) AS f, CAST(k AS BIGINT) AS k,
+       round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-12), {R}) AS v
+FROM el WINDOW w AS (PARTITION BY vec_id, f)"""
+
+SQL["attention_pool"] = f"""WITH {EMB_LONG},
+pairs AS (SELECT a.vec_id, a.f AS i, b.f AS j, a.k, a.v * b.v AS p
+          FROM el a JOIN el b ON a.vec_id = b.vec_id AND a.k = b.k AND a.f < b.f),
+hid AS (SELECT p.vec_id, p.i, p.j, t.t,
+               greatest(sum(p.p * {w_dense(10, 'p.k', 't.t')}) + {w_bias(10, 't.t')}, 0) AS h
+        FROM pairs p CROSS JOIN (SELECT range AS t FROM range(0, 4)) t GROUP BY p.vec_id, p.i, p.j, t.t),
+sc AS (SELECT vec_id, i, j, sum(h * {w_att_h('t')}) AS s FROM hid GROUP BY vec_id, i, j),
+sc2 AS (SELECT vec_id, i, j, s - max(s) OVER (PARTITION BY vec_id) AS s FROM sc),
+att AS (SELECT vec_id, i, j, exp(s) / sum(exp(s)) OVER (PARTITION BY vec_id) AS a FROM sc2)
+SELECT p.vec_id, CAST(p.k AS BIGINT) AS k, round(sum(p.p), {R}) AS afm_ref, round(sum(att.a * p.p), {R}) AS afm_paper
+FROM pairs p JOIN att USING (vec_id, i, j) GROUP BY p.vec_id, p.k"""
+
+SQL["dense_layer"] = f"""WITH x AS (
+  SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, 64)) AS d FROM embeddings)
+SELECT vec_id, CAST(u.u AS BIGINT) AS u,
+       round(greatest(sum(x * {w_dense(5, 'd', 'u.u')}) + {w_bias(5, 'u.u')}, 0), {R}) AS y
+FROM x CROSS JOIN (SELECT range AS u FROM range(0, 4)) u GROUP BY vec_id, u.u"""
+
+SQL["softmax_gate"] = f"""WITH x AS (
+  SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, 64)) AS d FROM embeddings),
+z AS (SELECT vec_id, e.e, sum(x * {w_dense(31, 'd', 'e.e')}) + {w_bias(31, 'e.e')} AS z
+      FROM x CROSS JOIN (SELECT range AS e FROM range(0, 4)) e GROUP BY vec_id, e.e),
+z2 AS (SELECT vec_id, e, z - max(z) OVER (PARTITION BY vec_id) AS z FROM z)
+SELECT vec_id, CAST(e AS BIGINT) AS expert,
+       round(exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id), {R}) AS gate FROM z2"""
+
+# app records in long form: (loan_id, f, fid, xv)
+def _rec(src: str) -> str:
+    return f"""{ENCODED},
+rec AS (SELECT loan_id, unnest(xi) AS fid, unnest(xv) AS xv, unnest(range(0, 10)) AS f FROM {src}),
+nn AS (SELECT loan_id, count(xv) AS nn FROM rec GROUP BY loan_id),
+e AS (SELECT r.loan_id, r.f, r.fid, kk.k, {w_emb('r.fid', 'kk.k')} AS w, {w_emb('r.fid', 'kk.k')} * r.xv AS v
+      FROM rec r CROSS JOIN (SELECT range AS k FROM range(0, 8)) kk)"""
+
+
+REC = _rec("enc")
+
+SQL["embedding_lookup"] = f"""WITH {REC}
+SELECT loan_id, CAST(f AS BIGINT) AS field, CAST(fid AS BIGINT) AS feature_id, CAST(k AS BIGINT) AS k,
+       round(w, {R}) AS w FROM e"""
+
+SQL["embedding_scaled"] = f"""WITH {REC}
+SELECT loan_id, CAST(f AS BIGINT) AS field, CAST(k AS BIGINT) AS k, round(v, {R}) AS v FROM e"""
+
+SQL["fm_first_order"] = f"""WITH {REC}
+SELECT loan_id, round(sum({w_first('fid')} * xv), {R}) AS fm1 FROM rec GROUP BY loan_id
+HAVING count(xv) = 10
+UNION ALL
+SELECT loan_id, NULL FROM rec GROUP BY loan_id HAVING count(xv) < 10"""
+
+
+def _deepfm_sql(layers=(32, 32), F_=10, K_=8) -> str:
+    ctes = [f"""ln AS (SELECT loan_id, f, k, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-12) AS v
+       FROM e WINDOW w AS (PARTITION BY loan_id, f))""",
+            f"y1 AS (SELECT loan_id, f AS i, {w_first('fid')} * xv AS x FROM rec)",
+            f"""y2 AS (SELECT loan_id, {F_} + k AS i, 0.5 * (sum(v) * sum(v) - sum(v * v)) AS x
+       FROM ln GROUP BY loan_id, k)""",
+            f"h0 AS (SELECT loan_id, f * {K_} + k AS d, v AS x FROM ln)"]
+    for l, width in enumerate(layers):
+        ctes.append(f"""h{l + 1} AS (SELECT h.loan_id, j.j AS d,
+         greatest(sum(h.x * {w_dense(l, 'h.d', 'j.j')}) + {w_bias(l, 'j.j')}, 0) AS x
+       FROM h{l} h CROSS JOIN (SELECT range AS j FROM range(0, {width})) j GROUP BY h.loan_id, j.j)""")
+    last = len(layers)
+    ctes.append(f"""cat AS (SELECT loan_id, i, x FROM y1 UNION ALL SELECT loan_id, i, x FROM y2
+       UNION ALL SELECT loan_id, {F_ + K_} + d, x FROM h{last})""")
+    ctes.append(f"z AS (SELECT loan_id, sum(x * {w_dense(9, 'i', 0)}) + 0.01 AS z FROM cat GROUP BY loan_id)")
+    return ",\n".join(ctes)
+
+
+SQL["score_deepfm"] = f"""WITH {REC},
+{_deepfm_sql()}
+SELECT z.loan_id, CASE WHEN nn.nn < 10 THEN NULL ELSE round(1 / (1 + exp(-z)), {R}) END AS score
+FROM z JOIN nn USING (loan_id)"""
+
+_AFM = f"""y1 AS (SELECT loan_id, sum({w_first('fid')} * xv * {w_dense(20, 'f', 0)}) + {w_bias(20, 0)} AS y
+       FROM rec GROUP BY loan_id),
+fm2 AS (SELECT loan_id, k, 0.5 * (sum(v) * sum(v) - sum(v * v)) AS x FROM e GROUP BY loan_id, k),
+y2 AS (SELECT loan_id, sum(x * {w_dense(21, 'k', 0)}) + {w_bias(21, 0)} AS y FROM fm2 GROUP BY loan_id),
+pairs AS (SELECT a.loan_id, a.k, sum(a.v * b.v) AS x
+          FROM e a JOIN e b ON a.loan_id = b.loan_id AND a.k = b.k AND a.f < b.f GROUP BY a.loan_id, a.k),
+ya AS (SELECT loan_id, sum(x * {w_dense(22, 'k', 0)}) + {w_bias(22, 0)} AS y FROM pairs GROUP BY loan_id)"""
+
+SQL["score_afm"] = f"""WITH {REC},
+{_AFM}
+SELECT y1.loan_id, CASE WHEN nn.nn < 10 THEN NULL
+                   ELSE round(1 / (1 + exp(-(y1.y + y2.y + ya.y))), {R}) END AS score
+FROM y1 JOIN y2 USING (loan_id) JOIN ya USING (loan_id) JOIN nn USING (loan_id)"""
+
+
+def _mmoe_sql(units=16, experts=4, hidden=(2, 4, 2), F_=10, K_=8) -> str:
+    ctes = [f"x AS (SELECT loan_id, f * {K_} + k AS d, v AS x FROM e)",
+            f"""ex AS (SELECT x.loan_id, g.u, g.x AS ex,
+         greatest(sum(x.x * {w_expert('x.d', 'g.u', 'g.x')}) + {w_bias(30, 'g.x')}, 0) AS o
+       FROM x CROSS JOIN (SELECT a.range AS u, b.range AS x FROM range(0, {units}) a CROSS JOIN range(0, {experts}) b) g
+       GROUP BY x.loan_id, g.u, g.x)"""]
+    sizes = [units, *hidden, 1]
+    for g in (1, 2):
+        ctes.append(f"""gz{g} AS (SELECT x.loan_id, e.e, sum(x.x * {w_dense(30 + g, 'x.d', 'e.e')}) + {w_bias(30 + g, 'e.e')} AS z
+       FROM x CROSS JOIN (SELECT range AS e FROM range(0, {experts})) e GROUP BY x.loan_id, e.e)""")
+        ctes.append(f"""gs{g} AS (SELECT loan_id, e, z - max(z) OVER (PARTITION BY loan_id) AS z FROM gz{g})""")
+        ctes.append(f"""gate{g} AS (SELECT loan_id, e, exp(z) / sum(exp(z)) OVER (PARTITION BY loan_id) AS a
+       FROM gs{g})""")
+        ctes.append(f"""t{g}_0 AS (SELECT ex.loan_id, ex.u AS d, sum(ex.o * gate{g}.a) AS x
+       FROM ex JOIN gate{g} ON ex.loan_id = gate{g}.loan_id AND ex.ex = gate{g}.e GROUP BY ex.loan_id, ex.u)""")
+        for l in range(len(sizes) - 1):
+            lid = 40 + 10 * g + l
+            act = "greatest({}, 0)" if l < len(sizes) - 2 else "{}"
+            body = f"sum(h.x * {w_dense(lid, 'h.d', 'j.j')}) + {w_bias(lid, 'j.j')}"
+            ctes.append(f"""t{g}_{l + 1} AS (SELECT h.loan_id, j.j AS d, {act.format(body)} AS x
+       FROM t{g}_{l} h CROSS JOIN (SELECT range AS j FROM range(0, {sizes[l + 1]})) j GROUP BY h.loan_id, j.j)""")
+    return ",\n".join(ctes)
+
+
+SQL["score_mmoe"] = f"""WITH {REC},
+{_mmoe_sql()},
+s AS (SELECT a.loan_id, 1 / (1 + exp(-a.x)) AS s1, 1 / (1 + exp(-b.x)) AS s2
+      FROM t1_4 a JOIN t2_4 b USING (loan_id))
+SELECT s.loan_id, CASE WHEN nn.nn < 10 THEN NULL ELSE round(0.5 * s1 + 0.5 * s2, {R}) END AS score,
+       CASE WHEN nn.nn < 10 THEN NULL ELSE round(s1, {R}) END AS score_1,
+       CASE WHEN nn.nn < 10 THEN NULL ELSE round(s2, {R}) END AS score_2
+FROM s JOIN nn USING (loan_id)"""
+
+SQL["score_batch"] = f"""WITH {_rec('enc_te')},
+{_deepfm_sql()}
+SELECT z.loan_id, CASE WHEN nn.nn < 10 THEN NULL ELSE round(1 / (1 + exp(-z)), {R}) END AS score
+FROM z JOIN nn USING (loan_id)"""

@@ -406,3 +406,142 @@ def impute_unknown_id(spark, sf):
     fd = fit_feature_dictionary(fit, roles)
     enc = encode_xi_xv(orders, fd, "o_orderkey", None, SEED)
     return finalize(enc.select("o_orderkey", _xi_text().alias("xi"), _xv_sum().alias("xv_sum")))
+
+
+# ---------------------------------------------------------------- interaction blocks (embeddings table: 4 fields × 16)
+EMB_FIELDS, EMB_DIM = 4, 16
+
+
+def _emb(spark, sf):
+    from ..operators.interact import as_double_array
+    return read_table(spark, sf, "embeddings").select("vec_id", as_double_array("embedding").alias("e"))
+
+
+@query
+def fm_second_order(spark, sf):
+    from ..operators import interact as I
+    e = _emb(spark, sf)
+    return finalize(e.select("vec_id", F.posexplode(I.fm_second_order(F.col("e"), EMB_FIELDS, EMB_DIM))
+                             .alias("k", "fm2")))
+
+
+@query
+def pairwise_interactions(spark, sf):
+    from ..operators import interact as I
+    e = _emb(spark, sf)
+    return finalize(e.select("vec_id", F.inline(I.pair_dots(F.col("e"), EMB_FIELDS, EMB_DIM))))
+
+
+@query
+def layer_norm(spark, sf):
+    from ..operators import interact as I
+    e = _emb(spark, sf)
+    out = e.select("vec_id", F.posexplode(I.layer_norm(F.col("e"), EMB_FIELDS, EMB_DIM)).alias("pos", "v"))
+    return finalize(out.select("vec_id", (F.col("pos") / EMB_DIM).cast("int").alias("f"),
+                               (F.col("pos") % EMB_DIM).alias("k"), "v"))
+
+
+@query
+def attention_pool(spark, sf):
+    from ..operators import interact as I
+    from .models import f_att_h, f_bias, f_dense
+    import numpy as np
+    T = 4
+    W = np.array([[f_dense(10, k, t) for t in range(T)] for k in range(EMB_DIM)])
+    b = np.array([f_bias(10, t) for t in range(T)])
+    h = np.array([f_att_h(t) for t in range(T)])
+    e = _emb(spark, sf)
+    e = I.attention_pool(e, "e", EMB_FIELDS, EMB_DIM, "r", "as_reference")
+    e = I.attention_pool(e, "e", EMB_FIELDS, EMB_DIM, "p", "paper", W, b, h)
+    out = e.select("vec_id", F.posexplode(F.arrays_zip("r", "p")).alias("k", "z"))
+    return finalize(out.select("vec_id", "k", F.col("z.r").alias("afm_ref"), F.col("z.p").alias("afm_paper")))
+
+
+@query
+def dense_layer(spark, sf):
+    from ..operators import interact as I
+    from .models import f_bias, f_dense
+    import numpy as np
+    W = np.array([[f_dense(5, d, u) for u in range(4)] for d in range(EMB_FIELDS * EMB_DIM)])
+    b = np.array([f_bias(5, u) for u in range(4)])
+    e = _emb(spark, sf)
+    return finalize(e.select("vec_id", F.posexplode(I.dense(F.col("e"), W, b, "relu")).alias("u", "y")))
+
+
+@query
+def softmax_gate(spark, sf):
+    from ..operators import interact as I
+    from .models import f_bias, f_dense
+    import numpy as np
+    W = np.array([[f_dense(31, d, x) for x in range(4)] for d in range(EMB_FIELDS * EMB_DIM)])
+    b = np.array([f_bias(31, x) for x in range(4)])
+    e = _emb(spark, sf)
+    return finalize(e.select("vec_id", F.posexplode(I.softmax_gate(F.col("e"), W, b)).alias("expert", "gate")))
+
+
+# ---------------------------------------------------------------- encoded records: gather, first order, scores
+def _model_inputs(spark, sf, model, test=False):
+    from .models import Dims, parity_params
+    prep, enc, fd = _encoded(spark, sf)
+    if test:
+        from ..operators.encode import encode_xi_xv
+        enc = encode_xi_xv(prep.test, fd, "loan_id", None, SEED)
+    dims = Dims(feature_dim=fd.feature_dim, field_size=fd.field_size)
+    return enc, dims, parity_params(model, dims)
+
+
+@query
+def embedding_lookup(spark, sf):
+    from ..operators import interact as I
+    from ..operators.encode import long_form
+    enc, dims, p = _model_inputs(spark, sf, "deepfm")
+    emb = I.embedding_table(spark, p["emb"])
+    looked = I.embedding_lookup(long_form(enc, "loan_id"), emb, emb_rows=p["emb"].size)
+    return finalize(looked.select("loan_id", "field", "feature_id", "k", "w"))
+
+
+@query
+def embedding_scaled(spark, sf):
+    from ..operators import interact as I
+    from ..operators.encode import long_form
+    enc, dims, p = _model_inputs(spark, sf, "deepfm")
+    emb = I.embedding_table(spark, p["emb"])
+    looked = I.embedding_scaled(I.embedding_lookup(long_form(enc, "loan_id"), emb, emb_rows=p["emb"].size))
+    return finalize(looked.select("loan_id", "field", "k", "v"))
+
+
+@query
+def fm_first_order(spark, sf):
+    from ..operators import interact as I
+    enc, dims, p = _model_inputs(spark, sf, "deepfm")
+    w1 = I.lit_array(p["w1"])
+    fm1 = F.aggregate(F.zip_with("xi", "xv", lambda i, v: F.get(w1, i) * v.cast("double")),
+                      F.lit(0.0), lambda a, x: a + x)
+    return finalize(enc.select("loan_id", fm1.alias("fm1")))
+
+
+def _scored(spark, sf, model, test=False, heads=False):
+    from .score import score_batch
+    enc, dims, p = _model_inputs(spark, sf, model, test)
+    return finalize(score_batch(enc, model, p, dims, "loan_id", heads=heads))
+
+
+@query
+def score_deepfm(spark, sf):
+    return _scored(spark, sf, "deepfm")
+
+
+@query
+def score_afm(spark, sf):
+    return _scored(spark, sf, "afm")
+
+
+@query
+def score_mmoe(spark, sf):
+    return _scored(spark, sf, "mmoe", heads=True)
+
+
+@query
+def score_batch(spark, sf):
+    """Unlabelled test table, encoded with the train dictionary, scored by DeepFM."""
+    return _scored(spark, sf, "deepfm", test=True)
