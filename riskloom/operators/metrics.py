@@ -155,3 +155,17 @@ def best_trial(trials: DataFrame, objective: str, direction: str = "maximize",
     best = trials.agg(F.max(key).alias("k"))
     return trials.join(best.select(F.col("k.o").alias("_o"), (-F.col("k.t")).alias("_t")),
                        (F.col(trial_col) == F.col("_t"))).drop("_o", "_t")
+
+
+def metric_history(history: DataFrame, run: str, epoch: str, metric: str, patience: int = 15,
+                   min_history: int = 15, n_buckets: int | None = None) -> DataFrame:
+    """Per run and epoch: 0-based epoch number, the metric, the best so far and whether the
+    early-stop rule fires first at that epoch."""
+    nb = n_buckets or default_buckets(history.sparkSession)
+    h = ordered.with_quantile_bucket(history.select(run, epoch, metric), epoch, nb)
+    r = ordered.running(h, {"t": ordered.Agg("count", F.lit(1)), "best": ordered.Agg("max", F.col(metric))},
+                        [epoch], ordered.BUCKET, partition_by=[run])
+    stops = early_stop_epoch(history, run, epoch, metric, patience, min_history, n_buckets)
+    out = r.join(stops.select(run, F.col("stop_t").alias("_st")), run, "left")
+    return out.select(run, (F.col("t") - 1).alias("epoch_no"), F.col(metric).alias("metric"), "best",
+                      F.when(F.col("t") == F.col("_st"), 1).otherwise(0).alias("is_stop"))

@@ -582,3 +582,63 @@ SQL["score_batch"] = f"""WITH {_rec('enc_te')},
 {_deepfm_sql()}
 SELECT z.loan_id, CASE WHEN nn.nn < 10 THEN NULL ELSE round(1 / (1 + exp(-z)), {R}) END AS score
 FROM z JOIN nn USING (loan_id)"""
+
+
+# ------------------------------------------------------------------ round trips, search, assembly
+SQL["scan_csv"] = SQL["app_fixture"]
+
+SQL["scan_clean_bundle"] = f"""WITH {PREPARED}
+SELECT 'scaled' AS role, count(*) AS n, round(sum(total_loan), 4) AS total_loan_sum, round(sum(f0), 4) AS f0_sum FROM scaled
+UNION ALL SELECT 'raw', count(*), round(sum(total_loan), 4), round(sum(f0), 4) FROM raw
+UNION ALL SELECT 'test', count(*), round(sum(total_loan), 4), round(sum(f0), 4) FROM test_clean"""
+
+SQL["metrics_history"] = f"""WITH h AS (
+  SELECT user_id AS run, event_id, value AS metric,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t,
+         max(value) OVER (PARTITION BY user_id ORDER BY event_id
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best,
+         max(value) OVER (PARTITION BY user_id ORDER BY event_id
+                          ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS win_max
+  FROM events),
+st AS (SELECT run, min(t) AS stop_t FROM h WHERE t > 15 AND win_max < best GROUP BY run)
+SELECT h.run, t - 1 AS epoch_no, round(metric, {R}) AS metric, round(best, {R}) AS best,
+       CAST(CASE WHEN t = st.stop_t THEN 1 ELSE 0 END AS BIGINT) AS is_stop
+FROM h LEFT JOIN st USING (run)"""
+
+SQL["model_roundtrip"] = SQL["score_deepfm"]
+
+SQL["apply_columns"] = f"""WITH {APP_SQL}
+SELECT loan_id, round(ln(1 + abs(total_loan)), {R}) AS total_loan, round(ln(1 + abs(f0)), {R}) AS f0,
+       round(ln(1 + abs(f2)), {R}) AS f2 FROM app"""
+
+SQL["oof_assemble"] = f"""WITH {APP_SQL}, {STRAT_APP.replace('SELECT loan_id, is_default,', 'SELECT loan_id, is_default, industry,')},
+st AS (SELECT industry, fold, sum(is_default) AS s, count(*) AS n FROM folds GROUP BY industry, fold),
+tot AS (SELECT industry, sum(s) AS s_all, sum(n) AS n_all FROM st GROUP BY industry)
+SELECT f.loan_id, CAST(f.fold AS BIGINT) AS fold,
+       round(CAST(tot.s_all - st.s AS DOUBLE) / nullif(tot.n_all - st.n, 0), {R}) AS oof
+FROM folds f JOIN st ON f.industry = st.industry AND f.fold = st.fold JOIN tot ON f.industry = tot.industry"""
+
+
+def _u(name: str) -> str:
+    return f"('0x' || substr(md5(CAST(trial_id AS VARCHAR) || ':{name}:{SEED}'), 1, 8))::BIGINT / 4294967296.0"
+
+
+_TRIALS = f"""{SCORED},
+params AS (
+  SELECT trial_id,
+         CAST(1 + floor({_u('threshold_step')} * 99) AS BIGINT) AS threshold_step,
+         {0.001!r} + {_u('lr')} * {0.01 - 0.001!r} AS lr,
+         CAST(4 + floor({_u('emb_dim')} * 13) AS BIGINT) AS emb_dim,
+         {0.3!r} + {_u('dropout_fm_0')} * {0.8 - 0.3!r} AS dropout_fm_0,
+         ['adam', 'sgd'][1 + CAST(floor({_u('optimizer')} * 2) AS INTEGER)] AS optimizer
+  FROM (SELECT range AS trial_id FROM range(0, 20))),
+cells AS (SELECT least(greatest(ceil(round(p * 100, 9)), 0), 100) AS c, y FROM scored),
+acc AS (SELECT k.k, avg(CASE WHEN (c > k.k) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy
+        FROM (SELECT range AS k FROM range(0, 101)) k CROSS JOIN cells GROUP BY k.k),
+trials AS (SELECT p.*, a.accuracy AS objective FROM params p LEFT JOIN acc a ON p.threshold_step = a.k)"""
+
+_TRIAL_COLS = (f"trial_id, threshold_step, round(lr, {R}) AS lr, emb_dim, round(dropout_fm_0, {R}) AS dropout_fm_0, "
+               f"optimizer, round(objective, {R}) AS objective")
+SQL["sample_trials"] = f"WITH {_TRIALS} SELECT {_TRIAL_COLS} FROM trials"
+SQL["best_trial"] = f"""WITH {_TRIALS}
+SELECT {_TRIAL_COLS} FROM trials ORDER BY objective DESC, trial_id LIMIT 1"""

@@ -545,3 +545,81 @@ def score_mmoe(spark, sf):
 def score_batch(spark, sf):
     """Unlabelled test table, encoded with the train dictionary, scored by DeepFM."""
     return _scored(spark, sf, "deepfm", test=True)
+
+
+# ---------------------------------------------------------------- sources / sinks round trips
+@query
+def scan_csv(spark, sf):
+    from ..session import shared_path
+    from ..sources.files import scan_csv as read_csv, write_csv
+    app = app_view(spark, sf)
+    path = write_csv(app, shared_path(spark, "app-csv"))
+    return finalize(read_csv(spark, path, app.schema))
+
+
+@query
+def scan_clean_bundle(spark, sf):
+    from functools import reduce
+    from ..session import shared_path
+    from ..sources.files import scan_clean_bundle as read_bundle, write_bundle
+    prep = _prepared(spark, sf, balance=False)
+    paths = write_bundle({"scaled": prep.scaled, "raw": prep.raw, "test": prep.test},
+                         shared_path(spark, "bundle"))
+    tabs = read_bundle(spark, paths)
+    parts = [t.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total_loan"), 4).alias("total_loan_sum"),
+                   F.round(F.sum("f0"), 4).alias("f0_sum")).withColumn("role", F.lit(name))
+             for name, t in tabs.items()]
+    return finalize(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+@query
+def metrics_history(spark, sf):
+    from ..session import shared_path
+    from ..sources.files import append_history, read_history
+    ev = read_table(spark, sf, "events").select(F.col("user_id").alias("run"), "event_id",
+                                               F.col("value").alias("auc"))
+    hist = M.metric_history(ev, "run", "event_id", "auc")
+    path = append_history(hist, shared_path(spark, "history"))
+    return finalize(read_history(spark, path))
+
+
+@query
+def model_roundtrip(spark, sf):
+    from dataclasses import asdict
+    from ..session import shared_path
+    from ..sources.files import load_params, save_params
+    from .models import Dims
+    from .score import score_batch as sb
+    enc, dims, p = _model_inputs(spark, sf, "deepfm")
+    path = save_params(spark, p, {"model": "deepfm", "dims": asdict(dims)}, shared_path(spark, "model"))
+    p2, meta = load_params(spark, path)
+    d2 = Dims(**{k: tuple(v) if isinstance(v, list) else v for k, v in meta["dims"].items()})
+    return finalize(sb(enc, meta["model"], p2, d2, "loan_id"))
+
+
+@query
+def apply_columns(spark, sf):
+    from ..operators.scale import apply_columns as ac
+    app = app_view(spark, sf).select("loan_id", "total_loan", "f0", "f2")
+    return finalize(ac(app, ["total_loan", "f0", "f2"], lambda c, _: F.log1p(F.abs(c))))
+
+
+@query
+def oof_assemble(spark, sf):
+    from ..operators.assemble import target_mean_oof
+    app = app_view(spark, sf).select("loan_id", "industry", "is_default")
+    folds = S.stratified_kfold(app, "is_default", "loan_id", K, SEED)
+    return finalize(target_mean_oof(folds, "loan_id", "industry", "is_default", "fold", K)
+                    .select("loan_id", "fold", "oof"))
+
+
+@query
+def sample_trials(spark, sf):
+    from .tune import scored_trials
+    return finalize(scored_trials(_scored_events(spark, sf), "p", "y", 20, SEED))
+
+
+@query
+def best_trial(spark, sf):
+    from .tune import scored_trials
+    return finalize(M.best_trial(scored_trials(_scored_events(spark, sf), "p", "y", 20, SEED), "objective"))
