@@ -199,3 +199,202 @@ def mmoe_forward(p, d: Dims, xi, xv):
 
 
 FORWARD = {"deepfm": deepfm_forward, "afm": afm_forward, "mmoe": mmoe_forward}
+
+
+# ------------------------------------------------------------------ training: loss and gradients
+LOSS_EPS = 1e-7
+
+
+def log_loss_terms(p, y, eps=LOSS_EPS):
+    """Per-row log loss with the metric library's epsilon, and dLoss/dp."""
+    loss = -y * np.log(p + eps) - (1 - y) * np.log(1 - p + eps)
+    dp = -y / (p + eps) + (1 - y) / (1 - p + eps)
+    return loss, dp
+
+
+def hash_mask(keys, step: int, salt: int, width: int, rate: float):
+    """Inverted-dropout mask (n, width) from a hash of (row key, step, unit): the same rows
+    get the same mask whatever the partitioning."""
+    if rate <= 0:
+        return np.ones((len(keys), width))
+    k = np.asarray(keys, dtype=np.uint64)[:, None]
+    u = np.arange(width, dtype=np.uint64)[None, :]
+    with np.errstate(over="ignore"):
+        h = (k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step) * np.uint64(0xBF58476D1CE4E5B9)
+             + u * np.uint64(0x94D049BB133111EB) + np.uint64(salt) * np.uint64(0x2545F4914F6CDD1D))
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xD6E8FEB86655D5A9)
+        h ^= h >> np.uint64(29)
+    frac = (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return (frac >= rate) / (1.0 - rate)
+
+
+def _scatter(shape, idx, vals):
+    g = np.zeros(shape)
+    np.add.at(g, idx, vals)
+    return g
+
+
+def _ln_backward(de, e, inv):
+    m1 = de.mean(axis=-1, keepdims=True)
+    m2 = (de * e).mean(axis=-1, keepdims=True)
+    return inv * (de - m1 - e * m2)
+
+
+def deepfm_grad(p, d: Dims, xi, xv, y, drop=None):
+    """Sum over rows of the two-head loss (both heads share the score) and its gradient.
+    ``drop``: dict of dropout masks (training) or None (evaluation)."""
+    n, F_, K = len(xi), d.field_size, d.emb_dim
+    drop = drop or {}
+    e0 = embed(p, xi, xv)
+    mu = e0.mean(axis=-1, keepdims=True)
+    var = ((e0 - mu) ** 2).mean(axis=-1, keepdims=True)
+    inv = 1.0 / np.sqrt(var + LN_EPS)
+    e = (e0 - mu) * inv
+    parts, acts = [], []
+    if d.use_fm:
+        y1 = fm_first(p, xi, xv) * drop.get("fm0", 1.0)
+        s = e.sum(axis=1)
+        y2 = 0.5 * (s * s - (e * e).sum(axis=1)) * drop.get("fm1", 1.0)
+        parts += [y1, y2]
+    if d.use_deep:
+        h = e.reshape(n, -1) * drop.get("deep0", 1.0)
+        acts.append(h)
+        for l in range(len(d.deep_layers)):
+            a = h @ p[f"W{l}"] + p[f"b{l}"]
+            h = relu(a) * drop.get(f"deep{l + 1}", 1.0)
+            acts.append((a, h))
+        parts.append(h)
+    cat = np.concatenate(parts, axis=1)
+    z = cat @ p["Wout"] + p["bout"]
+    prob = sigmoid(z)
+    l1, dp1 = log_loss_terms(prob, y)
+    loss = 2.0 * l1.sum()
+    dz = 2.0 * dp1 * prob * (1 - prob)
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g["Wout"] = cat.T @ dz
+    g["bout"] = np.array(dz.sum())
+    dcat = dz[:, None] * p["Wout"][None, :]
+    de = np.zeros_like(e)
+    off = 0
+    if d.use_fm:
+        dy1 = dcat[:, :F_] * drop.get("fm0", 1.0)
+        dy2 = dcat[:, F_:F_ + K] * drop.get("fm1", 1.0)
+        off = F_ + K
+        g["w1"] = _scatter(p["w1"].shape, xi, dy1 * xv)
+        de += dy2[:, None, :] * (s[:, None, :] - e)
+    if d.use_deep:
+        dh = dcat[:, off:]
+        for l in reversed(range(len(d.deep_layers))):
+            a, _ = acts[l + 1]
+            h_in = acts[0] if l == 0 else acts[l][1]
+            da = dh * drop.get(f"deep{l + 1}", 1.0) * (a > 0)
+            g[f"W{l}"] = h_in.T @ da
+            g[f"b{l}"] = da.sum(axis=0)
+            dh = da @ p[f"W{l}"].T
+        de += (dh * drop.get("deep0", 1.0)).reshape(n, F_, K)
+    de0 = _ln_backward(de, e, inv)
+    g["emb"] = _scatter(p["emb"].shape, xi, de0 * xv[..., None])
+    return loss, g
+
+
+def afm_grad(p, d: Dims, xi, xv, y, drop=None):
+    """As-reference attention (all pair weights 1): the pair sum equals the FM second order."""
+    if d.attention_mode != "as_reference":
+        raise NotImplementedError("training supports the as_reference attention mode")
+    drop = drop or {}
+    e = embed(p, xi, xv)
+    f1 = fm_first(p, xi, xv) * drop.get("fm0", 1.0)
+    s = e.sum(axis=1)
+    q = 0.5 * (s * s - (e * e).sum(axis=1))
+    q2 = q * drop.get("fm1", 1.0)
+    z = f1 @ p["Wf"] + p["bf"] + q2 @ p["Ws"] + p["bs"] + q @ p["Wa"] + p["ba"]
+    prob = sigmoid(z)
+    l1, dp1 = log_loss_terms(prob, y)
+    loss = 2.0 * l1.sum()
+    dz = 2.0 * dp1 * prob * (1 - prob)
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g["Wf"], g["bf"] = f1.T @ dz, np.array(dz.sum())
+    g["Ws"], g["bs"] = q2.T @ dz, np.array(dz.sum())
+    g["Wa"], g["ba"] = q.T @ dz, np.array(dz.sum())
+    df1 = dz[:, None] * p["Wf"][None, :] * drop.get("fm0", 1.0)
+    g["w1"] = _scatter(p["w1"].shape, xi, df1 * xv)
+    dq = dz[:, None] * (p["Ws"][None, :] * drop.get("fm1", 1.0) + p["Wa"][None, :])
+    de = dq[:, None, :] * (s[:, None, :] - e)
+    g["emb"] = _scatter(p["emb"].shape, xi, de * xv[..., None])
+    return loss, g
+
+
+def mmoe_grad(p, d: Dims, xi, xv, y, drop=None):
+    n = len(xi)
+    x = embed(p, xi, xv).reshape(n, -1)
+    A = np.einsum("nd,dux->nux", x, p["Wexp"]) + p["bexp"]
+    E = relu(A)
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    dE = np.zeros_like(E)
+    dx = np.zeros_like(x)
+    loss = 0.0
+    n_layers = len(d.task_hidden) + 1
+    for t in (1, 2):
+        G = softmax(x @ p[f"Wg{t}"] + p[f"bg{t}"])
+        h = (E * G[:, None, :]).sum(axis=2)
+        ins, pre = [h], []
+        for l in range(n_layers):
+            a = ins[-1] @ p[f"T{t}_{l}"] + p[f"c{t}_{l}"]
+            pre.append(a)
+            ins.append(relu(a) if l < n_layers - 1 else a)
+        prob = sigmoid(ins[-1][:, 0])
+        lt, dpt = log_loss_terms(prob, y)
+        loss += lt.sum()
+        da = (dpt * prob * (1 - prob))[:, None]
+        for l in reversed(range(n_layers)):
+            if l < n_layers - 1:
+                da = da * (pre[l] > 0)
+            g[f"T{t}_{l}"] = ins[l].T @ da
+            g[f"c{t}_{l}"] = da.sum(axis=0)
+            da = da @ p[f"T{t}_{l}"].T
+        dh = da
+        dE += dh[:, :, None] * G[:, None, :]
+        dG = (dh[:, :, None] * E).sum(axis=1)
+        dzg = G * (dG - (dG * G).sum(axis=1, keepdims=True))
+        g[f"Wg{t}"] = x.T @ dzg
+        g[f"bg{t}"] = dzg.sum(axis=0)
+        dx += dzg @ p[f"Wg{t}"].T
+    dA = dE * (A > 0)
+    g["Wexp"] = np.einsum("nd,nux->dux", x, dA)
+    g["bexp"] = dA.sum(axis=(0, 1))
+    dx += np.einsum("nux,dux->nd", dA, p["Wexp"])
+    g["emb"] = _scatter(p["emb"].shape, xi, dx.reshape(xv.shape + (-1,)) * xv[..., None])
+    return loss, g
+
+
+GRAD = {"deepfm": deepfm_grad, "afm": afm_grad, "mmoe": mmoe_grad}
+
+
+def dropout_masks(model: str, d: Dims, keys, step: int, rates: dict) -> dict:
+    """Training-time masks per block (rates: fm0, fm1, deep0, deep1, ...)."""
+    if model == "mmoe" or not rates:
+        return {}
+    widths = {"fm0": d.field_size, "fm1": d.emb_dim, "deep0": d.field_size * d.emb_dim}
+    for l, w in enumerate(d.deep_layers):
+        widths[f"deep{l + 1}"] = w
+    return {k: hash_mask(keys, step, i + 1, widths[k], r)
+            for i, (k, r) in enumerate(sorted(rates.items())) if k in widths and r > 0}
+
+
+def init_params(model: str, d: Dims, seed: int) -> dict:
+    """Seeded initial weights (normal embeddings, Glorot-scaled dense layers)."""
+    rng = np.random.default_rng(seed)
+    p = parity_params(model, d)
+    out = {}
+    for k, v in p.items():
+        shape = np.shape(v)
+        if k in ("emb", "w1"):
+            out[k] = rng.normal(0.0, 0.1, shape)
+        elif len(shape) >= 2:
+            out[k] = rng.normal(0.0, np.sqrt(2.0 / (shape[0] + shape[-1])), shape)
+        elif k == "bout":
+            out[k] = np.array(0.01)
+        else:
+            out[k] = np.zeros(shape)
+    return out

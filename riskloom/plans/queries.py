@@ -623,3 +623,95 @@ def sample_trials(spark, sf):
 def best_trial(spark, sf):
     from .tune import scored_trials
     return finalize(M.best_trial(scored_trials(_scored_events(spark, sf), "p", "y", 20, SEED), "objective"))
+
+
+# ---------------------------------------------------------------- training and search (no SQL oracle)
+def _folded_records(spark, sf):
+    prep, enc, fd = _encoded(spark, sf)
+    return prep, S.stratified_kfold(enc, "label", "loan_id", K, SEED), fd
+
+
+def _history_df(spark, hist):
+    return finalize(spark.createDataFrame(hist[["run", "epoch", "train_loss", "valid_loss", "valid_auc"]]))
+
+
+def _train_one(spark, sf, model, epochs=3):
+    from .models import Dims
+    from .train import TrainConfig, fit
+    _, folded, fd = _folded_records(spark, sf)
+    dims = Dims(feature_dim=fd.feature_dim, field_size=fd.field_size)
+    cfg = TrainConfig(model=model, epochs=epochs, steps_per_epoch=2, learning_rate=0.01)
+    res = fit(folded.where(F.col("fold") != 0), folded.where(F.col("fold") == 0), "loan_id", dims, cfg,
+              run=f"{model}-fold0")
+    return _history_df(spark, res.history)
+
+
+@query
+def train_deepfm(spark, sf):
+    return _train_one(spark, sf, "deepfm")
+
+
+@query
+def train_afm(spark, sf):
+    return _train_one(spark, sf, "afm")
+
+
+@query
+def train_mmoe(spark, sf):
+    return _train_one(spark, sf, "mmoe")
+
+
+@query
+def cv_by_model(spark, sf):
+    from .models import Dims
+    from .train import TrainConfig
+    from .train import cv_by_model as cvm
+    _, folded, fd = _folded_records(spark, sf)
+    dims = Dims(feature_dim=fd.feature_dim, field_size=fd.field_size)
+    cfg = TrainConfig(model="deepfm", epochs=2, steps_per_epoch=1, learning_rate=0.01)
+    return finalize(spark.createDataFrame(cvm(folded, "loan_id", dims, cfg, K)))
+
+
+def _mllib_frame(spark, sf):
+    prep = _prepared(spark, sf, balance=False)
+    feats = APP_ROLES.used(prep.scaled.columns)
+    folded = S.stratified_kfold(prep.scaled, "isDefault", "loan_id", K, SEED)
+    return folded, feats
+
+
+@query
+def train_gbt_cv(spark, sf):
+    from .tune import gbt_cv
+    folded, feats = _mllib_frame(spark, sf)
+    rows, _ = gbt_cv(folded, "loan_id", feats, "isDefault", "fold", K,
+                     {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1}, SEED)
+    return finalize(rows)
+
+
+@query
+def train_fm(spark, sf):
+    from pyspark.ml.classification import FMClassifier
+    from .tune import mllib_cv
+    folded, feats = _mllib_frame(spark, sf)
+    return finalize(mllib_cv(folded, "loan_id", feats, "isDefault", "fold", K,
+                             lambda: FMClassifier(factorSize=8, maxIter=20, seed=SEED)))
+
+
+@query
+def train_mlp(spark, sf):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from .tune import mllib_cv
+    folded, feats = _mllib_frame(spark, sf)
+    return finalize(mllib_cv(folded, "loan_id", feats, "isDefault", "fold", K,
+                             lambda: MultilayerPerceptronClassifier(layers=[len(feats), 32, 32, 2],
+                                                                    maxIter=20, seed=SEED)))
+
+
+@query
+def random_search(spark, sf):
+    from .tune import random_search_cv
+    folded, feats = _mllib_frame(spark, sf)
+    trials = [{"trial_id": i, "n_estimators": 5 + 5 * i, "max_depth": 3 + i, "learning_rate": 0.1,
+               "feature_fraction": 0.5 + 0.2 * i} for i in range(3)]
+    res = random_search_cv(folded, feats, "isDefault", "fold", trials, SEED)
+    return finalize(spark.createDataFrame(res))
