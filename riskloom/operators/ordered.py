@@ -50,6 +50,8 @@ def with_quantile_bucket(df: DataFrame, col: str, n_buckets: int,
     The split points are approximate quantiles (one aggregate job; ``n_buckets`` numbers come
     back to the driver). Any split points keep the order exact; quantiles keep buckets even.
     """
+    if n_buckets <= 1:
+        return df.withColumn(out, F.lit(0))
     tmp = "_oq_in"
     src = F.col(col)
     dtype = dict(df.dtypes)[col]
