@@ -37,12 +37,33 @@ def freq_dictionary(df: DataFrame, col: str, order_key: str, n_buckets: int | No
                                      "cnt", "first_seen"))
 
 
+def freq_dictionaries(df: DataFrame, cols: list[str], order_key: str,
+                      n_buckets: int | None = None) -> dict[str, DataFrame]:
+    """``freq_dictionary`` for several columns from one scan: the columns are unpivoted to
+    (field, value) and counted in one aggregate; codes are ranked per field."""
+    long = df.select(order_key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
+        [order_key], cols, "field", "value")
+    counts = materialize(long.where(F.col("value").isNotNull()).groupBy("field", "value")
+                         .agg(F.count(F.lit(1)).alias("cnt"), F.min(order_key).alias("first_seen"))
+                         .withColumn("neg_cnt", -F.col("cnt")))
+    nb = n_buckets or default_buckets(df.sparkSession)
+    bucketed = ordered.with_quantile_bucket(counts, "neg_cnt", nb)
+    ranked = materialize(ordered.row_number(
+        bucketed, ["neg_cnt", "first_seen"], ordered.BUCKET, partition_by=["field"], out="code",
+        summary_broadcast=True).select("field", "value", F.col("code").cast("long").alias("code"),
+                                       "cnt", "first_seen"))
+    return {c: ranked.where(F.col("field") == c).drop("field") for c in cols}
+
+
 def apply_dictionary(df: DataFrame, col: str, dictionary: DataFrame, out: str | None = None,
                      dict_rows: int | None = None) -> DataFrame:
     """Replace ``col`` by its code; unknown values and nulls give null (left lookup join)."""
     out = out or col
     lookup = dictionary.select(F.col("value").alias("_dv"), F.col("code").alias("_dc"))
-    joined = sized_join(df, lookup, F.col(col) == F.col("_dv"), "left", right_rows=dict_rows)
+    key = F.col(col)
+    if dict(lookup.dtypes)["_dv"] != dict(df.dtypes)[col]:
+        key = key.cast(dict(lookup.dtypes)["_dv"])
+    joined = sized_join(df, lookup, key == F.col("_dv"), "left", right_rows=dict_rows)
     cols = [F.col("_dc").alias(out) if c == out else F.col(c) for c in df.columns]
     if out not in df.columns:
         cols.append(F.col("_dc").alias(out))

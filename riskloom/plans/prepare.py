@@ -17,7 +17,7 @@ from ..functions.maps import (CLASS_MAP, WORK_YEAR_MAP, WORK_YEAR_TEST_FILL,
                               WORK_YEAR_TRAIN_FILL, fill_constant, map_literal)
 from ..operators import ordered
 from ..operators.align import DriftReport, align_common_columns
-from ..operators.dictionary import apply_dictionary, freq_dictionary
+from ..operators.dictionary import apply_dictionary, freq_dictionaries
 from ..operators.joins import materialize
 from ..operators.scale import MinStdScaler, fit_min_std
 from ..operators.split import undersample_balance
@@ -82,7 +82,7 @@ def prepare(bank: DataFrame, internet: DataFrame, test: DataFrame, roles: Roles,
         bank, internet, test, target=target, renames=spec.renames)
 
     # dictionaries are fitted on the bank table, applied to all three (unseen → null)
-    dicts = {c: freq_dictionary(bank_a, c, key, n_buckets) for c in spec.freq_cols}
+    dicts = freq_dictionaries(bank_a, list(spec.freq_cols), key, n_buckets)
     sizes = {c: d.count() for c, d in dicts.items()}
     train = encode_categories(internet_a, spec, dicts, spec.train_fill, sizes)
     test_c = encode_categories(test_a, spec, dicts, spec.test_fill, sizes)
