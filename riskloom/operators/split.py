@@ -15,9 +15,19 @@ from . import ordered
 HASH = "_hkey"
 
 
+def hex_digits_for(spark) -> int:
+    """Leading md5 hex digits per bucket: 16**digits ≈ the session's bucket count (which
+    follows ``spark.sql.shuffle.partitions``, i.e. the cluster size), between 2 and 5
+    (at most ~1M bucket rows ever reach a summary table or the driver)."""
+    import math
+    from ..session import default_buckets
+    return min(5, max(2, math.ceil(math.log(default_buckets(spark), 16))))
+
+
 def _hash_ranked(df: DataFrame, key: str, seed, partition_by=(), out: str = "rank",
-                 hex_digits: int = 3) -> DataFrame:
+                 hex_digits: int | None = None) -> DataFrame:
     """0-based rank by md5(key:seed), then key, within ``partition_by``."""
+    hex_digits = hex_digits or hex_digits_for(df.sparkSession)
     d = df.withColumn(HASH, ordered.hash_order_key(key, seed))
     r = ordered.row_number(d, [HASH, key], ordered.hex_bucket(HASH, hex_digits),
                            partition_by=partition_by, out=out,
@@ -38,11 +48,37 @@ def undersample_balance(df: DataFrame, label: str, key: str, seed: int,
     n_min, n_maj = sizes.get(minority, 0), sizes.get(majority, 0)
     if n_maj < n_min:
         raise ValueError(f"majority class has {n_maj} rows, fewer than the {n_min} to sample")
-    maj = _hash_ranked(df.where(F.col(label) == majority), key, seed, out="_r")
-    picked = maj.where(F.col("_r") < n_min).drop("_r")
+    picked = hash_top_n(df.where(F.col(label) == majority), key, seed, n_min)
     return df.where(F.col(label) == minority).unionByName(picked)
 
 
+def hash_top_n(df: DataFrame, key: str, seed, n: int, hex_digits: int | None = None) -> DataFrame:
+    """The ``n`` rows first in md5(key:seed), key order — without ranking every row.
+
+    One aggregate gives rows per hash bucket (a bucket-sized table); buckets wholly below the
+    cut are kept as they are, and only the one bucket the cut falls in is ranked.
+    """
+    hex_digits = hex_digits or hex_digits_for(df.sparkSession)
+    d = df.withColumn(HASH, ordered.hash_order_key(key, seed)).withColumn(
+        "_hb", ordered.hex_bucket(HASH, hex_digits))
+    counts = {r["_hb"]: int(r["n"]) for r in
+              d.groupBy("_hb").agg(F.count(F.lit(1)).alias("n")).collect()}  # ≤ 16**digits rows
+    below, cut, need = 0, None, n
+    for b in sorted(counts):
+        if below + counts[b] >= n:
+            cut, need = b, n - below
+            break
+        below += counts[b]
+    if cut is None:
+        return df
+    from pyspark.sql import Window
+    whole = d.where(F.col("_hb") < cut)
+    w = Window.partitionBy("_hb").orderBy(HASH, key)
+    edge = (d.where(F.col("_hb") == cut).withColumn("_r", F.row_number().over(w))
+            .where(F.col("_r") <= need).drop("_r"))
+    return whole.unionByName(edge).drop(HASH, "_hb")
+
+
 def stratified_kfold(df: DataFrame, label: str, key: str, k: int, seed: int,
                      out: str = "fold") -> DataFrame:
     """Fold = (rank within class by md5(key:seed), key) mod k: every row is validation once,

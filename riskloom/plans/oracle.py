@@ -642,3 +642,5 @@ _TRIAL_COLS = (f"trial_id, threshold_step, round(lr, {R}) AS lr, emb_dim, round(
 SQL["sample_trials"] = f"WITH {_TRIALS} SELECT {_TRIAL_COLS} FROM trials"
 SQL["best_trial"] = f"""WITH {_TRIALS}
 SELECT {_TRIAL_COLS} FROM trials ORDER BY objective DESC, trial_id LIMIT 1"""
+
+SQL["stream_score"] = SQL["score_batch"]

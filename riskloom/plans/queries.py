@@ -715,3 +715,19 @@ def random_search(spark, sf):
                "feature_fraction": 0.5 + 0.2 * i} for i in range(3)]
     res = random_search_cv(folded, feats, "isDefault", "fold", trials, SEED)
     return finalize(spark.createDataFrame(res))
+
+
+# ---------------------------------------------------------------- streaming
+@query
+def stream_score(spark, sf):
+    """The cleaned test table lands as files; a streaming query encodes and scores it."""
+    from ..session import shared_path
+    from ..streaming.score_stream import run_score_stream
+    from .models import Dims, parity_params
+    prep, _, fd = _encoded(spark, sf)
+    src = shared_path(spark, "stream-src")
+    prep.test.write.parquet(src)
+    dims = Dims(feature_dim=fd.feature_dim, field_size=fd.field_size)
+    sink = run_score_stream(spark, src, prep.test.schema, fd, "deepfm", parity_params("deepfm", dims), dims,
+                            "loan_id")
+    return finalize(spark.read.parquet(sink))
