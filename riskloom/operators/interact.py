@@ -73,15 +73,18 @@ def pair_dots(arr: Column, n_fields: int, dim: int) -> Column:
                      for i, j in pair_index(n_fields)])
 
 
-def layer_norm(arr: Column, n_fields: int, dim: int, eps: float = LN_EPS) -> Column:
-    """Normalise each field's embedding over its ``dim`` entries (unit scale, zero shift)."""
+def layer_norm(df: DataFrame, col: str, n_fields: int, dim: int, out: str,
+               eps: float = LN_EPS) -> DataFrame:
+    """Add ``out``: each field's embedding normalised over its ``dim`` entries (unit scale,
+    zero shift); variance as E[x²] − μ² so each field's slice is summed twice, not nested."""
+    arr = F.col(col)
     parts = []
     for f in range(n_fields):
         v = field_vector(arr, f, dim)
         mu = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / dim
-        var = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mu) * (x - mu)) / dim
+        var = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / dim - mu * mu
         parts.append(F.transform(v, lambda x: (x - mu) / F.sqrt(var + eps)))
-    return F.flatten(F.array(*parts))
+    return df.withColumn(out, F.flatten(F.array(*parts)))
 
 
 def dense(x: Column, W: np.ndarray, b, activation: str | None = "relu") -> Column:

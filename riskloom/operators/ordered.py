@@ -140,10 +140,9 @@ def running(df: DataFrame, aggs: dict[str, Agg], order_cols: list[str], bucket:
     local_cols = {f"_l_{n}": _local(a.kind, a.expr, frame) for n, a in aggs.items()}
     with_local = d.select("*", *[c.alias(n) for n, c in local_cols.items()])
 
-    # Totals come from the window's output: it is already partitioned by the keys and sorted
-    # by (keys, order), so this aggregate needs no exchange and no sort, and the upstream
-    # exchange is reused instead of evaluating the input twice.
-    totals = with_local.groupBy(*keys).agg(
+    # Per-bucket totals straight from the input with map-side partial aggregation: one extra
+    # scan and a bucket-sized shuffle; the window above keeps the only full-size exchange.
+    totals = d.groupBy(*keys).agg(
         *[_total(a.kind, a.expr, order, descending).alias(f"_t_{n}") for n, a in aggs.items()])
     bscan = F.col(BUCKET).desc() if descending else F.col(BUCKET)
     bframe = (Window.partitionBy(*pby).orderBy(bscan)

@@ -644,3 +644,7 @@ SQL["best_trial"] = f"""WITH {_TRIALS}
 SELECT {_TRIAL_COLS} FROM trials ORDER BY objective DESC, trial_id LIMIT 1"""
 
 SQL["stream_score"] = SQL["score_batch"]
+
+SQL["union_train"] = f"""WITH {APP_SQL}
+SELECT loan_id, slice, round(total_loan, {R}) AS total_loan, CAST(is_default AS BIGINT) AS isDefault
+FROM app WHERE slice IN (0, 1)"""

@@ -435,8 +435,8 @@ def pairwise_interactions(spark, sf):
 @query
 def layer_norm(spark, sf):
     from ..operators import interact as I
-    e = _emb(spark, sf)
-    out = e.select("vec_id", F.posexplode(I.layer_norm(F.col("e"), EMB_FIELDS, EMB_DIM)).alias("pos", "v"))
+    e = I.layer_norm(_emb(spark, sf), "e", EMB_FIELDS, EMB_DIM, "n")
+    out = e.select("vec_id", F.posexplode("n").alias("pos", "v"))
     return finalize(out.select("vec_id", (F.col("pos") / EMB_DIM).cast("int").alias("f"),
                                (F.col("pos") % EMB_DIM).alias("k"), "v"))
 
@@ -731,3 +731,11 @@ def stream_score(spark, sf):
     sink = run_score_stream(spark, src, prep.test.schema, fd, "deepfm", parity_params("deepfm", dims), dims,
                             "loan_id")
     return finalize(spark.read.parquet(sink))
+
+
+@query
+def union_train(spark, sf):
+    """Both aligned train tables stacked (bag union; the reference keeps this path commented
+    out and trains on the internet table alone)."""
+    bank, internet, _, _ = _aligned(spark, sf)
+    return finalize(bank.unionByName(internet).select("loan_id", "slice", "total_loan", "isDefault"))

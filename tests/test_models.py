@@ -22,7 +22,7 @@ def test_fm_second_order_equals_pair_sum(spark):
 def test_spark_layer_norm_matches_numpy(spark):
     rows = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", "embedding").limit(20).collect()
     df = spark.createDataFrame([(r["vec_id"], [float(x) for x in r["embedding"]]) for r in rows], "vec_id long, e array<double>")
-    got = {r["vec_id"]: np.array(r["n"]) for r in df.select("vec_id", I.layer_norm(F.col("e"), 4, 16).alias("n")).collect()}
+    got = {r["vec_id"]: np.array(r["n"]) for r in I.layer_norm(df, "e", 4, 16, "n").collect()}
     for r in rows:
         x = np.asarray(r["embedding"], dtype=float).reshape(4, 16)
         assert np.allclose(got[r["vec_id"]], Mo.layer_norm(x).ravel(), atol=1e-9)

@@ -112,3 +112,14 @@ def test_wrong_record_width_fails(spark):
     with pytest.raises(Exception):
         check_width(df, 3).collect()
     assert check_width(df, 2).count() == 1
+
+
+def test_drift_report_and_alignment(spark):
+    from riskloom.operators.align import align_common_columns
+    bank = spark.createDataFrame([(1, 2.0, "x", 1)], "loan_id long, a double, bank_only string, isDefault int")
+    net = spark.createDataFrame([(2, 3.0, 0, 5)], "loan_id long, a double, is_default int, net_only long")
+    test = spark.createDataFrame([(3, 4.0)], "loan_id long, a double")
+    b, n, t, rep = align_common_columns(bank, net, test)
+    assert b.columns == n.columns == ["loan_id", "a", "isDefault"]
+    assert t.columns == ["loan_id", "a"]
+    assert rep.left_only == ("bank_only",) and rep.right_only == ("net_only",) and rep.common_count == 3
