@@ -34,3 +34,26 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) == 6 and set(df.columns) == {"fold", "isDefault", "n", "mean_scaled_loan"}
+
+
+INVARIANT = ["backfill_global", "backfill_by_key", "stratified_kfold", "undersample_balance",
+             "auc_exact", "early_stop_epoch", "feature_dictionary", "renumber_rows"]
+
+
+@pytest.mark.parametrize("name", INVARIANT)
+def test_same_result_for_any_bucketing(spark, name):
+    """Changing the shuffle partition count changes every bucket count and partitioning;
+    the answer must not move."""
+    from collections import Counter
+    from oracle_compare import rows_of
+    fn = E.queries()[name]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    try:
+        for parts in ("3", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            df = fn(spark, SF_SMALL)
+            out.append(Counter(rows_of(df.columns, [tuple(r) for r in df.collect()])))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert out[0] == out[1]
