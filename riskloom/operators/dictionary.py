@@ -38,7 +38,7 @@ def freq_dictionary(df: DataFrame, col: str, order_key: str, n_buckets: int | No
 
 
 def freq_dictionaries(df: DataFrame, cols: list[str], order_key: str,
-                      n_buckets: int | None = None) -> dict[str, DataFrame]:
+                      n_buckets: int | None = None, with_sizes: bool = False):
     """``freq_dictionary`` for several columns from one scan: the columns are unpivoted to
     (field, value) and counted in one aggregate; codes are ranked per field."""
     long = df.select(order_key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
@@ -52,7 +52,12 @@ def freq_dictionaries(df: DataFrame, cols: list[str], order_key: str,
         bucketed, ["neg_cnt", "first_seen"], ordered.BUCKET, partition_by=["field"], out="code",
         summary_broadcast=True).select("field", "value", F.col("code").cast("long").alias("code"),
                                        "cnt", "first_seen"))
-    return {c: ranked.where(F.col("field") == c).drop("field") for c in cols}
+    dicts = {c: ranked.where(F.col("field") == c).drop("field") for c in cols}
+    if not with_sizes:
+        return dicts
+    # one row per field: bounded by the number of dictionary columns
+    sizes = {r["field"]: int(r["count"]) for r in ranked.groupBy("field").count().collect()}
+    return dicts, {c: sizes.get(c, 0) for c in cols}
 
 
 def apply_dictionary(df: DataFrame, col: str, dictionary: DataFrame, out: str | None = None,

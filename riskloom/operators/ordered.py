@@ -43,6 +43,39 @@ def hex_bucket(hex_col: Column | str, digits: int = 3) -> Column:
     return F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
 
 
+def _numeric_input(df: DataFrame, col: str) -> Column:
+    dtype = dict(df.dtypes)[col]
+    if dtype == "date":
+        return F.unix_date(F.col(col)).cast("double")
+    if dtype.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    return F.col(col).cast("double")
+
+
+def quantile_splits(df: DataFrame, col: str, n_buckets: int, relative_error: float = 1e-4) -> list[float]:
+    """Split points for ``n_buckets`` roughly even buckets of a numeric/temporal column:
+    one approximate-quantile job; ``n_buckets`` numbers come back to the driver."""
+    if n_buckets <= 1:
+        return [float("-inf"), float("inf")]
+    tmp = "_oq_in"
+    staged = df.select(_numeric_input(df, col).alias(tmp))
+    qd = QuantileDiscretizer(numBuckets=n_buckets, inputCol=tmp, outputCol="_oq_b",
+                             relativeError=relative_error, handleInvalid="keep")
+    return list(qd.fit(staged).getSplits())
+
+
+def with_bucket_splits(df: DataFrame, col: str, splits: list[float], out: str = BUCKET) -> DataFrame:
+    """Bucket = index of the split interval holding ``col`` (monotone in ``col``; nulls and
+    NaN go to the last bucket)."""
+    if len(splits) <= 2:
+        return df.withColumn(out, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+    tmp = "_oq_in"
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
+    return (b.transform(df.withColumn(tmp, _numeric_input(df, col)))
+            .withColumn(out, F.col(out).cast("int")).drop(tmp))
+
+
 def with_quantile_bucket(df: DataFrame, col: str, n_buckets: int,
                          relative_error: float = 1e-4, out: str = BUCKET) -> DataFrame:
     """Add a bucket column that is monotone in a numeric/timestamp ``col``.
@@ -50,18 +83,7 @@ def with_quantile_bucket(df: DataFrame, col: str, n_buckets: int,
     The split points are approximate quantiles (one aggregate job; ``n_buckets`` numbers come
     back to the driver). Any split points keep the order exact; quantiles keep buckets even.
     """
-    if n_buckets <= 1:
-        return df.withColumn(out, F.lit(0))
-    tmp = "_oq_in"
-    src = F.col(col)
-    dtype = dict(df.dtypes)[col]
-    if dtype.startswith("timestamp") or dtype == "date":
-        src = F.unix_micros(F.col(col).cast("timestamp")) if dtype != "date" else F.unix_date(F.col(col))
-    staged = df.withColumn(tmp, src.cast("double"))
-    qd = QuantileDiscretizer(numBuckets=n_buckets, inputCol=tmp, outputCol=out,
-                             relativeError=relative_error, handleInvalid="keep")
-    model = qd.fit(staged)
-    return model.transform(staged).withColumn(out, F.col(out).cast("int")).drop(tmp)
+    return with_bucket_splits(df, col, quantile_splits(df, col, n_buckets, relative_error), out)
 
 
 def _local(kind: str, expr: Column, frame) -> Column:

@@ -105,7 +105,7 @@ def parity_params(model: str, d: Dims) -> dict[str, np.ndarray]:
 
 # ------------------------------------------------------------------ building blocks
 def sigmoid(z):
-    return 1.0 / (1.0 + np.exp(-z))
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -500.0, 500.0)))
 
 
 def relu(z):

@@ -65,11 +65,13 @@ def encode_categories(df: DataFrame, spec: CleanSpec, dictionaries: dict, fill:
 
 
 def backfill_all(df: DataFrame, key: str, n_buckets: int | None = None,
-                 partition_by=()) -> DataFrame:
-    """pandas ``fillna(method='bfill')`` over every column in key order."""
-    nb = n_buckets or default_buckets(df.sparkSession)
+                 partition_by=(), splits: list[float] | None = None) -> DataFrame:
+    """pandas ``fillna(method='bfill')`` over every column in key order. ``splits`` (key
+    bucket boundaries) may be shared between tables cut from the same key space."""
     cols = [c for c in df.columns if c != key and c not in partition_by]
-    b = ordered.with_quantile_bucket(df, key, nb)
+    if splits is None:
+        splits = ordered.quantile_splits(df.select(key), key, n_buckets or default_buckets(df.sparkSession))
+    b = ordered.with_bucket_splits(df, key, splits)
     return ordered.backfill(b, cols, [key], ordered.BUCKET, partition_by=partition_by).drop(ordered.BUCKET)
 
 
@@ -82,13 +84,15 @@ def prepare(bank: DataFrame, internet: DataFrame, test: DataFrame, roles: Roles,
         bank, internet, test, target=target, renames=spec.renames)
 
     # dictionaries are fitted on the bank table, applied to all three (unseen → null)
-    dicts = freq_dictionaries(bank_a, list(spec.freq_cols), key, n_buckets)
-    sizes = {c: d.count() for c, d in dicts.items()}
+    dicts, sizes = freq_dictionaries(bank_a, list(spec.freq_cols), key, n_buckets, with_sizes=True)
     train = encode_categories(internet_a, spec, dicts, spec.train_fill, sizes)
     test_c = encode_categories(test_a, spec, dicts, spec.test_fill, sizes)
-    test_f = backfill_all(test_c, key, n_buckets)
+    # one set of key buckets for both back-fills, from a narrow scan of the two key columns
+    splits = ordered.quantile_splits(internet_a.select(key).unionByName(test_a.select(key)), key,
+                                     n_buckets or default_buckets(bank.sparkSession))
+    test_f = backfill_all(test_c, key, splits=splits)
 
-    raw = materialize(backfill_all(train, key, n_buckets))
+    raw = materialize(backfill_all(train, key, splits=splits))
     # scaling covers every listed numeric column, ignored ones included (f1, title)
     numeric = [c for c in raw.columns if c in roles.numeric]
     scaler = fit_min_std(raw, numeric)
