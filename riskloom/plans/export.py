@@ -1,5 +1,5 @@
 """Fold export: cleaned table → feature dictionary → encoded records → stratified folds →
-(train, valid) copies per fold → partitioned Parquet."""
+Parquet partitioned by fold (each record once; splits are read with partition pruning)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.dictionary import FeatureDictionary, fit_feature_dictionary
 from ..operators.encode import encode_xi_xv
-from ..operators.split import expand_folds, stratified_kfold
+from ..operators.split import stratified_kfold
 from ..roles import Roles
 from ..sources.records import sink_folds
 
@@ -30,6 +30,5 @@ def export_folds(df: DataFrame, roles: Roles, k: int, seed: int, path: str,
                  fd: FeatureDictionary | None = None) -> Exported:
     enc, fd = encode_table(df, roles, seed, fd)
     folds = stratified_kfold(enc, "label", roles.key, k, seed)
-    expanded = expand_folds(folds, k).drop("fold")
-    sink_folds(expanded, path)
+    sink_folds(folds, path)
     return Exported(path, fd, enc)

@@ -349,11 +349,12 @@ def encode_xi_xv_q(spark, sf):
 
 def _exported(spark, sf):
     from ..session import shared_path
+    from ..sources.records import scan_splits
     from .export import export_folds as ef
     prep = _prepared(spark, sf, balance=False)
     path = shared_path(spark, "folds")
     ex = ef(prep.scaled, APP_ROLES, K, SEED, path)
-    return ex, spark.read.parquet(path)
+    return ex, scan_splits(spark, path, K)
 
 
 @query

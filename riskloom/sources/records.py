@@ -1,8 +1,11 @@
-"""Training-record sink and scans: one Parquet dataset partitioned by role and fold.
-
-Layout ``<root>/role=<train|valid>/fold=<i>/part-*.parquet`` with columns
-``key, xi array<int>, xv array<float>[, label float]``. Reading one fold is a partition-pruned
-scan; record width is checked on read.
+"""Training-record sink and scans.
+
+Each encoded record is stored once, in the folder of its validation fold:
+``<root>/fold_id=<i>/part-*.parquet`` with columns ``key, xi array<int>, xv array<float>,
+label float``. The (train, valid) sets of split i are read with partition pruning:
+valid = ``fold_id = i``, train = ``fold_id <> i``. Storing K role copies (the reference's
+layout) would multiply the written data by K for no information. Record width is checked on
+read.
 """
 
 from __future__ import annotations
@@ -13,23 +16,33 @@ from pyspark.sql import functions as F
 from ..operators.encode import check_width
 
 
-def sink_folds(expanded: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Write records of every (role, split) pair. ``expanded`` has ``role`` and ``split``."""
-    # every task writes its own files into each (role, fold) folder: no shuffle, and no
-    # task ever holds a whole fold; file size is bounded by maxRecordsPerFile
-    (expanded.withColumnRenamed("split", "fold_id")
+def sink_folds(folded: DataFrame, path: str, fold_col: str = "fold", mode: str = "overwrite") -> str:
+    """Write records once, partitioned by fold. Every task writes its own files into each
+    fold folder (no shuffle, no task ever holds a whole fold); file size is bounded by
+    maxRecordsPerFile."""
+    (folded.withColumnRenamed(fold_col, "fold_id")
      .write.mode(mode).option("maxRecordsPerFile", 1_000_000)
-     .partitionBy("role", "fold_id").parquet(path))
+     .partitionBy("fold_id").parquet(path))
     return path
 
 
 def scan_fold(spark: SparkSession, path: str, role: str, fold: int, field_size: int | None = None) -> DataFrame:
-    df = (spark.read.parquet(path)
-          .where((F.col("role") == role) & (F.col("fold_id") == fold))
-          .drop("role", "fold_id"))
+    """The train or valid records of split ``fold`` (partition-pruned scan)."""
+    df = spark.read.parquet(path)
+    sel = (F.col("fold_id") == fold) if role == "valid" else (F.col("fold_id") != fold)
+    df = df.where(sel).drop("fold_id")
     return check_width(df, field_size) if field_size else df
 
 
+def scan_splits(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """All (role, split) views at once: each stored record appears as ``valid`` in its own
+    split and ``train`` in the k-1 others (a generator on read, not stored copies)."""
+    df = spark.read.parquet(path)
+    return (df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+            .withColumn("role", F.when(F.col("fold_id") == F.col("split"), "valid").otherwise("train"))
+            .drop("fold_id").withColumnRenamed("split", "fold_id"))
+
+
 def sink_unlabelled(encoded: DataFrame, path: str, mode: str = "overwrite") -> str:
     encoded.drop("label").write.mode(mode).parquet(path)
     return path
