@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .models import FORWARD, Dims, mmoe_heads
 
 MAX_MODEL_FLOATS = 50_000_000
@@ -33,6 +34,7 @@ def score_batch(encoded: DataFrame, model: str, params: dict, dims: Dims, key: s
     """Score ``(key, xi, xv)`` rows. ``heads=True`` (MMoE) also returns both task scores."""
     _check_size(params)
     spark = encoded.sparkSession
+    ship_package(spark)
     bc = spark.sparkContext.broadcast((model, params, dims))
     key_type = dict(encoded.dtypes)[key]
 
