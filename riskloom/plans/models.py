@@ -299,28 +299,52 @@ def deepfm_grad(p, d: Dims, xi, xv, y, drop=None):
 
 
 def afm_grad(p, d: Dims, xi, xv, y, drop=None):
-    """As-reference attention (all pair weights 1): the pair sum equals the FM second order."""
-    if d.attention_mode != "as_reference":
-        raise NotImplementedError("training supports the as_reference attention mode")
+    """Attentional FM. ``as_reference``: every pair weight is 1, so the pair sum equals the
+    FM second order; ``paper``: a = softmax over pairs of h · relu(W p + b)."""
     drop = drop or {}
+    n, F_ = xi.shape
     e = embed(p, xi, xv)
     f1 = fm_first(p, xi, xv) * drop.get("fm0", 1.0)
     s = e.sum(axis=1)
     q = 0.5 * (s * s - (e * e).sum(axis=1))
     q2 = q * drop.get("fm1", 1.0)
-    z = f1 @ p["Wf"] + p["bf"] + q2 @ p["Ws"] + p["bs"] + q @ p["Wa"] + p["ba"]
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    if d.attention_mode == "as_reference":
+        afm = q
+    else:
+        ii, jj = np.triu_indices(F_, k=1)
+        P = e[:, ii, :] * e[:, jj, :]                       # (n, M, K)
+        pre = P @ p["Watt"] + p["batt"]                     # (n, M, T)
+        H = relu(pre)
+        a = softmax(H @ p["hatt"], axis=1)                  # (n, M)
+        afm = (a[..., None] * P).sum(axis=1)
+    z = f1 @ p["Wf"] + p["bf"] + q2 @ p["Ws"] + p["bs"] + afm @ p["Wa"] + p["ba"]
     prob = sigmoid(z)
     l1, dp1 = log_loss_terms(prob, y)
     loss = 2.0 * l1.sum()
     dz = 2.0 * dp1 * prob * (1 - prob)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
     g["Wf"], g["bf"] = f1.T @ dz, np.array(dz.sum())
     g["Ws"], g["bs"] = q2.T @ dz, np.array(dz.sum())
-    g["Wa"], g["ba"] = q.T @ dz, np.array(dz.sum())
+    g["Wa"], g["ba"] = afm.T @ dz, np.array(dz.sum())
     df1 = dz[:, None] * p["Wf"][None, :] * drop.get("fm0", 1.0)
     g["w1"] = _scatter(p["w1"].shape, xi, df1 * xv)
-    dq = dz[:, None] * (p["Ws"][None, :] * drop.get("fm1", 1.0) + p["Wa"][None, :])
-    de = dq[:, None, :] * (s[:, None, :] - e)
+    dq = dz[:, None] * p["Ws"][None, :] * drop.get("fm1", 1.0)
+    dafm = dz[:, None] * p["Wa"][None, :]
+    if d.attention_mode == "as_reference":
+        dq = dq + dafm
+        de = dq[:, None, :] * (s[:, None, :] - e)
+    else:
+        de = dq[:, None, :] * (s[:, None, :] - e)
+        da = (P * dafm[:, None, :]).sum(axis=2)             # (n, M)
+        dP = a[..., None] * dafm[:, None, :]
+        ds = a * (da - (a * da).sum(axis=1, keepdims=True))
+        g["hatt"] = np.einsum("nmt,nm->t", H, ds)
+        dpre = ds[..., None] * p["hatt"] * (pre > 0)
+        g["Watt"] = np.einsum("nmk,nmt->kt", P, dpre)
+        g["batt"] = dpre.sum(axis=(0, 1))
+        dP = dP + dpre @ p["Watt"].T
+        np.add.at(de, (slice(None), ii), dP * e[:, jj, :])
+        np.add.at(de, (slice(None), jj), dP * e[:, ii, :])
     g["emb"] = _scatter(p["emb"].shape, xi, de * xv[..., None])
     return loss, g
 

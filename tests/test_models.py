@@ -28,10 +28,12 @@ def test_spark_layer_norm_matches_numpy(spark):
         assert np.allclose(got[r["vec_id"]], Mo.layer_norm(x).ravel(), atol=1e-9)
 
 
-@pytest.mark.parametrize("model", ["deepfm", "afm", "mmoe"])
-def test_gradients_match_finite_differences(model):
+@pytest.mark.parametrize("model,mode", [("deepfm", "as_reference"), ("afm", "as_reference"),
+                                        ("afm", "paper"), ("mmoe", "as_reference")])
+def test_gradients_match_finite_differences(model, mode):
     rng = np.random.default_rng(0)
-    d = Mo.Dims(feature_dim=20, field_size=5, emb_dim=3, deep_layers=(4, 3), num_experts=3, units=4, task_hidden=(2, 3))
+    d = Mo.Dims(feature_dim=20, field_size=5, emb_dim=3, deep_layers=(4, 3), num_experts=3, units=4,
+                task_hidden=(2, 3), attention_mode=mode)
     p = {k: v + rng.normal(0, 0.3, np.shape(v)) for k, v in Mo.init_params(model, d, 1).items()}
     xi, xv = rng.integers(0, 20, (7, 5)), rng.normal(0, 1, (7, 5))
     y = rng.integers(0, 2, 7).astype(float)
