@@ -29,10 +29,6 @@ def as_double_array(c: Column | str) -> Column:
     return F.transform(c, lambda x: x.cast("double"))
 
 
-def _at(arr: Column, i: int) -> Column:
-    return F.get(arr, i)
-
-
 def field_vector(arr: Column, f: int, dim: int) -> Column:
     return F.slice(arr, f * dim + 1, dim)
 

@@ -200,8 +200,3 @@ def backfill(df: DataFrame, cols: list[str], order_cols: list[str], bucket: Colu
     res = running(df, aggs, order_cols, bucket, partition_by, descending=True, **kw)
     return res.select(*[F.col(f"_bf_{c}").alias(c) if c in cols else F.col(c)
                         for c in df.columns])
-
-
-def numeric_bucketed(df: DataFrame, order_col: str, n_buckets: int) -> DataFrame:
-    """Convenience: add quantile buckets of a numeric order key under ``BUCKET``."""
-    return with_quantile_bucket(df, order_col, n_buckets, out=BUCKET)

@@ -29,9 +29,11 @@ def _hash_ranked(df: DataFrame, key: str, seed, partition_by=(), out: str = "ran
     """0-based rank by md5(key:seed), then key, within ``partition_by``."""
     hex_digits = hex_digits or hex_digits_for(df.sparkSession)
     d = df.withColumn(HASH, ordered.hash_order_key(key, seed))
+    # with a class key the summary has (classes × buckets) rows: no fixed bound, so it takes
+    # the normal join (the ranked side is already partitioned by the keys; AQE may still
+    # broadcast it from runtime sizes); without one it is bucket-sized and broadcast
     r = ordered.row_number(d, [HASH, key], ordered.hex_bucket(HASH, hex_digits),
-                           partition_by=partition_by, out=out,
-                           summary_broadcast=True)
+                           partition_by=partition_by, out=out)
     return r.drop(HASH)
 
 
