@@ -10,12 +10,22 @@ BASE_DATE = "2007-06-01"
 
 
 def parse_date(col: Column | str, fmt: str | None = None, strict: bool = True) -> Column:
-    """Text or timestamp → timestamp. ``strict`` raises on bad text (as pandas does);
-    otherwise bad text becomes null."""
+    """Text → timestamp without time zone (wall-clock, like pandas ``to_datetime``), so the
+    result does not depend on the session time zone. ``strict`` raises on bad text (as
+    pandas does); otherwise bad text becomes null."""
     c = F.col(col) if isinstance(col, str) else col
-    if fmt is None:
-        return F.to_timestamp(c) if strict else F.try_to_timestamp(c)
-    return F.to_timestamp(c, fmt) if strict else F.try_to_timestamp(c, F.lit(fmt))
+    if strict:
+        return F.to_timestamp_ntz(c) if fmt is None else F.to_timestamp_ntz(c, F.lit(fmt))
+    parsed = F.try_to_timestamp(c) if fmt is None else F.try_to_timestamp(c, F.lit(fmt))
+    return F.when(parsed.isNull(), F.lit(None).cast("timestamp_ntz")).otherwise(
+        F.to_timestamp_ntz(c) if fmt is None else F.to_timestamp_ntz(c, F.lit(fmt)))
+
+
+def epoch_micros(col: Column | str) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a wall-clock timestamp (zone-free)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            c.cast("timestamp_ntz"))
 
 
 def days_since(col: Column | str, base: str = BASE_DATE) -> Column:

@@ -80,8 +80,9 @@ def filter_label_q(spark, sf):
 @query
 def parse_date_q(spark, sf):
     ev = read_table(spark, sf, "events")
+    from ..functions.dates import epoch_micros
     parsed = parse_date(F.col("ts").cast("string"))
-    return finalize(ev.select("event_id", F.unix_micros(parsed.cast("timestamp")).alias("ts_micros")))
+    return finalize(ev.select("event_id", epoch_micros(parsed).alias("ts_micros")))
 
 
 @query

@@ -37,7 +37,9 @@ def test_entry_runs(spark):
 
 
 INVARIANT = ["backfill_global", "backfill_by_key", "stratified_kfold", "undersample_balance",
-             "auc_exact", "early_stop_epoch", "feature_dictionary", "renumber_rows"]
+             "auc_exact", "early_stop_epoch", "feature_dictionary", "renumber_rows",
+             "freq_dictionary", "distinct_first_seen", "encode_xi_xv", "score_deepfm",
+             "oof_assemble", "sample_trials", "batch_rows"]
 
 
 @pytest.mark.parametrize("name", INVARIANT)
