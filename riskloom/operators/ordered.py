@@ -111,6 +111,11 @@ def _total(kind: str, expr: Column, order: list[Column], descending: bool) -> Co
         return F.min(expr)
     if kind == "last":
         # the non-null value latest in scan order inside the bucket
+        if len(order) == 1:
+            # ordering masked to null where the value is null: min_by/max_by skip those rows,
+            # and with fixed-width types the buffer hash-aggregates map-side (no sort)
+            ordering = F.when(expr.isNotNull(), order[0])
+            return F.min_by(expr, ordering) if descending else F.max_by(expr, ordering)
         tagged = F.when(expr.isNotNull(), F.struct(*order, expr.alias("_v")))
         return (F.min(tagged) if descending else F.max(tagged))["_v"]
     raise ValueError(kind)
