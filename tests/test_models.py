@@ -79,3 +79,17 @@ def test_training_loss_falls(spark):
     h = res.history
     assert h["train_loss"].iloc[-1] < h["train_loss"].iloc[0]
     assert h["valid_auc"].iloc[-1] > 0.9
+
+
+def test_local_sgd_mode_learns(spark):
+    from riskloom.plans.train import TrainConfig, fit
+    rng = np.random.default_rng(9)
+    d = Mo.Dims(feature_dim=12, field_size=3, emb_dim=4, deep_layers=(8,))
+    rows = []
+    for i in range(800):
+        xi = [rng.integers(0, 4), 4 + rng.integers(0, 4), 8 + rng.integers(0, 4)]
+        rows.append((i, [int(v) for v in xi], [1.0, 1.0, 1.0], float(xi[0] >= 2)))
+    df = spark.createDataFrame(rows, "k long, xi array<int>, xv array<float>, label float").repartition(4)
+    cfg = TrainConfig(epochs=3, learning_rate=0.01, dropout={}, mode="local", batch_size=32)
+    h = fit(df, df, "k", d, cfg).history
+    assert h["valid_auc"].iloc[-1] > 0.9 and h["valid_loss"].iloc[-1] < h["valid_loss"].iloc[0]
