@@ -9,7 +9,8 @@ from conftest import SF_SMALL
 
 SAMPLE = ["app_fixture", "freq_dictionary", "backfill_global", "backfill_by_key", "prepare_train",
           "stratified_kfold", "auc_exact", "auc_thresholded", "early_stop_epoch", "feature_dictionary",
-          "encode_xi_xv", "fm_second_order", "score_deepfm", "sample_trials", "oof_assemble"]
+          "encode_xi_xv", "fm_second_order", "score_deepfm", "sample_trials", "oof_assemble",
+          "export_folds", "scan_fold", "stream_score"]
 
 
 @pytest.fixture(scope="module")
