@@ -48,7 +48,9 @@ def _numeric_input(df: DataFrame, col: str) -> Column:
     if dtype == "date":
         return F.unix_date(F.col(col)).cast("double")
     if dtype.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+        # wall-clock microseconds: split points do not depend on the session time zone
+        from ..functions.dates import epoch_micros
+        return epoch_micros(col).cast("double")
     return F.col(col).cast("double")
 
 
