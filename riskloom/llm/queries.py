@@ -14,8 +14,13 @@ def _documents(spark, sf_dir):
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import secrets
-    return secrets.digest(_documents(spark, sf_dir))
+    from . import secret_scan
+    return secret_scan.digest(_documents(spark, sf_dir))
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+    return topk.digest(read_table(spark, sf_dir, "embeddings"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +38,19 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_documents(spark, sf_dir))
 
 
+def multilingual_vocabulary():
+    """The rank file that the byte-level BPE query uses (see the operator for any other)."""
+    import public_tokenizers
+
+    from .bpe import Vocabulary
+    return Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+    return bpe.digest(_documents(spark, sf_dir), multilingual_vocabulary())
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_fingerprints, op4_sharding, op6_source_mix)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_exact_top_k, op3_fingerprints, op4_sharding, op6_source_mix,
+                                    op9_byte_bpe)}
