@@ -26,6 +26,7 @@ from ..session import ship_package
 
 CHUNK = 32_768  # code points that a chunk owns
 OVERLAP = 1_024  # code points that it shares with the next one
+REACH = 3  # longest literal alternative of the pre-tokeniser's pattern ('ll, 're, 've)
 
 _codecs: dict[str, Codec] = {}
 
@@ -41,8 +42,16 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
 
-    def starts(self, text: str, offset: int = 0) -> list[int]:
-        return [m.start() + offset for m in self.pattern.finditer(text)]
+    def starts(self, text: str, offset: int = 0, more: bool = False, begin: int = 0, end: int | None = None) -> list[int]:
+        """Starts of the pre-tokens of text[begin:end]. ``more``: text follows, so a pre-token whose
+        match could have looked past the end is the last one whose start is sure."""
+        end = len(text) if end is None else end
+        found = []
+        for m in self.pattern.finditer(text, begin, end):
+            found.append(m.start() + offset)
+            if more and max(m.end() + 1, m.start() + REACH) > end:
+                break
+        return found
 
     def encode(self, segment: str) -> list[int]:
         return self.encoding.encode_ordinary(segment)
@@ -83,13 +92,8 @@ def stitch(codec: Codec, text: str, chunk_starts: list[list[int]], chunk: int =
             # no common start in the overlap: go on from the last sure start through chunk k
             end = min(len(text), (k + 1) * chunk + overlap)
             begin = sure[-1]
-            further = []
-            for m in codec.pattern.finditer(text, begin, end):
-                p = m.start()
-                further.append(p)
-                if p > begin and p >= border and p in known:
-                    at = p
-                    break
+            further = codec.starts(text, 0, end < len(text), begin, end)
+            at = next((p for p in further if p > begin and p >= border and p in known), None)
             if at is None:
                 sure = further
                 continue
@@ -143,7 +147,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text:
     def pre_tokenise(batches):
         codec = shared.value.codec()
         for batch in batches:
-            starts = [codec.starts(t, k * chunk) for k, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            n, k, piece = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            starts = [codec.starts(t, i * chunk, i * chunk + len(t) < size) for size, i, t in zip(n, k, piece, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.list_(pa.int32()))],
                                              names=[*batch.schema.names, "_starts"])
 
