@@ -37,3 +37,14 @@ def crc_of_id(doc_id: Column | str) -> Column:
 def uniform(*parts: Column | str) -> Column:
     """A repeatable number in [0, 1) from the hash of the parts."""
     return F.expr("1D") * F.shiftrightunsigned(F.xxhash64(*[column(p) for p in parts]), 11) / F.lit(float(1 << 53))
+
+
+def class_sample(df: DataFrame, label: str, per_class: int, *key: str) -> tuple[DataFrame, dict]:
+    """About ``per_class`` rows of every value of ``label`` (all, if fewer), drawn by the hash of
+    ``key``: each row by itself, so no class meets in one task. For fitting classifiers only.
+    The classes and their sizes come to the driver."""
+    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    rate = F.lit(0.0)
+    for value, n in sizes.items():
+        rate = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(rate)
+    return df.where(uniform(F.lit("class-sample"), *key) < rate), sizes

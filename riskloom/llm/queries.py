@@ -33,6 +33,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+    return langid.digest(_documents(spark, sf_dir))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
     return mixing.digest(_documents(spark, sf_dir))
@@ -51,6 +56,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_documents(spark, sf_dir), multilingual_vocabulary())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    return toxicity.digest(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_exact_top_k, op3_fingerprints, op4_sharding, op6_source_mix,
-                                    op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_exact_top_k, op3_fingerprints, op4_sharding, op5_language_id,
+                                    op6_source_mix, op9_byte_bpe, op10_toxicity)}

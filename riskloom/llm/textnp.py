@@ -21,6 +21,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+OTHER = np.ones(256, bool)  # all but ASCII letters and digits and the bytes of other characters
+OTHER[48:58] = OTHER[65:91] = OTHER[97:123] = OTHER[128:] = False
 LETTER = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))  # a random number per byte value
 BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -59,11 +61,11 @@ class Words:
     """The words of a list of texts. ``start``, ``end``: byte positions in ``raw``; ``doc``: index
     of the text; ``first[d] : first[d + 1]`` are the words of text d."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], separators: np.ndarray = SPACE):
         joined = b" ".join(texts) + b" "
         self.raw = np.frombuffer(joined, np.uint8)
         self.low = LOWER[self.raw]
-        blank = SPACE[self.raw]
+        blank = separators[self.raw]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).view(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -71,12 +73,19 @@ class Words:
         self.first = np.searchsorted(self.start, self.begin)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of every lower-cased word (a polynomial in the bytes' random numbers)."""
+        self._sums = None
+
+    def span_hashes(self, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
+        """64-bit hash of lower-cased byte spans (a polynomial in the bytes' random numbers)."""
         up, down = powers(len(self.low))
-        sums = np.zeros(len(self.low) + 1, U)
-        np.cumsum(LETTER[self.low] * up[: len(self.low)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+        if self._sums is None:
+            self._sums = np.zeros(len(self.low) + 1, U)
+            np.cumsum(LETTER[self.low] * up[: len(self.low)], out=self._sums[1:])
+        return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(U) + U(kind << 32))
+
+    def hashes(self) -> np.ndarray:
+        """Hash of every lower-cased word."""
+        return self.span_hashes(self.start, self.end)
 
     def text(self, i: int) -> bytes:
         return self.low[self.start[i]:self.end[i]].tobytes()
