@@ -43,6 +43,13 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_documents(spark, sf_dir))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import lm
+    return lm.digest(_documents(spark, sf_dir), lm.Vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def multilingual_vocabulary():
     """The rank file that the byte-level BPE query uses (see the operator for any other)."""
     import public_tokenizers
@@ -63,4 +70,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_exact_top_k, op3_fingerprints, op4_sharding, op5_language_id,
-                                    op6_source_mix, op9_byte_bpe, op10_toxicity)}
+                                    op6_source_mix, op8_lm_score, op9_byte_bpe, op10_toxicity)}
