@@ -43,6 +43,11 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+    return jaccard_join.digest(_documents(spark, sf_dir))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,4 +75,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_exact_top_k, op3_fingerprints, op4_sharding, op5_language_id,
-                                    op6_source_mix, op8_lm_score, op9_byte_bpe, op10_toxicity)}
+                                    op6_source_mix, op7_ngram_jaccard_join, op8_lm_score, op9_byte_bpe, op10_toxicity)}
