@@ -73,6 +73,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_exact_top_k, op3_fingerprints, op4_sharding, op5_language_id,
-                                    op6_source_mix, op7_ngram_jaccard_join, op8_lm_score, op9_byte_bpe, op10_toxicity)}
+                                    op6_source_mix, op7_ngram_jaccard_join, op8_lm_score, op9_byte_bpe, op10_toxicity, pipeline)}
