@@ -417,8 +417,9 @@ def digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row with the smallest id of every class, all columns; rows without an id stay."""
     kept = classes(df, doc_id, text).where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")).distinct()
-    met = df.join(kept, df[doc_id] == kept["_kept"]).drop("_kept")
-    # equal rows of a kept id: one of them
-    twin = Window.partitionBy(doc_id, text).orderBy(F.xxhash64(*df.columns))
-    first = met.withColumn("_row", F.row_number().over(twin)).where("_row = 1").drop("_row")
+    rows = df.select(F.struct("*").alias("_r"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    met = rows.join(kept, rows["_id"] == kept["_kept"])
+    # equal texts of a kept id: one row of them
+    twin = Window.partitionBy("_id", "_text").orderBy(F.xxhash64("_r"))
+    first = met.withColumn("_no", F.row_number().over(twin)).where("_no = 1").select("_r.*")
     return first.unionByName(df.where(F.col(doc_id).isNull()))

@@ -167,13 +167,11 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
     counts = plan(df, doc_id, source, text).select(
         *[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")], "n", "copies")
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = df.withColumn("_size", words)
     key = ["_doc_id", "_source", "_size"]
-    rows = rows.withColumn("_doc_id", F.col(doc_id)).withColumn("_source", F.col(source))
-    order = Window.partitionBy(*key).orderBy(F.xxhash64(*df.columns))
+    rows = df.select(F.struct("*").alias("_r"), F.col(doc_id).alias("_doc_id"), F.col(source).alias("_source"), words.alias("_size"))
+    order = Window.partitionBy(*key).orderBy(F.xxhash64("_r"))
     numbered = rows.withColumn("_row", F.row_number().over(order))
     on = [numbered[c].eqNullSafe(counts[c]) for c in key]
     met = numbered.join(counts, on[0] & on[1] & on[2])
-    return (met.withColumn("_times", _share(F.col("_row")).cast("int")).where(F.col("_times") > 0)
-            .select(*[numbered[c] for c in df.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_t"))
-            .drop("_t"))
+    times = met.select("_r", _share(F.col("_row")).cast("int").alias("_times")).where("_times > 0")
+    return times.select("_r", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_r.*")

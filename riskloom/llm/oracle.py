@@ -2,6 +2,80 @@
 
 from __future__ import annotations
 
+from .secret_scan import ACCESS, ALLOWED, ASSIGN, CLASSES, HEX, KINDS, MIN_ASSIGNED, WINDOW, clog2, sum_limit
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def secret_scan() -> str:
+    """Windows are enumerated and counted from scratch here, one row per window and symbol."""
+    def matches(kind: str, pattern: str) -> str:
+        return f"""
+SELECT doc_id, {KINDS.index(kind)} AS k, unnest(range(len(m))) AS i, unnest(m) AS s,
+       unnest(list_transform(range(len(m)), lambda i: list_sum(list_transform(g[1:i + 1], lambda x: length(x)))
+              + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0)))::BIGINT AS a
+FROM (SELECT doc_id, regexp_extract_all(t, {_q(pattern)}, 0) AS m, string_split_regex(t, {_q(pattern)}) AS g
+      FROM docs WHERE regexp_matches(t, {_q(pattern)}))"""
+
+    base = "\nUNION ALL\n".join(matches(k, p) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)))
+    cand = "\nUNION ALL\n".join(matches(k, c[1]) for k, c in CLASSES.items())
+    limit = "CASE k " + " ".join(f"WHEN {KINDS.index(k)} THEN {sum_limit(c[2])}" for k, c in CLASSES.items()) + " END"
+    names = "[" + ", ".join(_q(k) for k in KINDS) + "]"
+    shown = f"({names})[k + 1] || ':' || a || ':' || e"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({base}),
+base AS (SELECT doc_id, k, a, a + length(s) AS e FROM found
+         WHERE k <> 0 OR length(regexp_extract(s, {_q("^" + ASSIGN + "$")}, 2)) >= {MIN_ASSIGNED}),
+cand AS (SELECT row_number() OVER () AS c, * FROM ({cand}) WHERE NOT regexp_matches(s, {_q(ALLOWED)})),
+win AS (SELECT c, k, s, a, doc_id, unnest(range(length(s) - {WINDOW} + 1)) AS w FROM cand),
+sym AS (SELECT c, w, unnest(string_split(s[w + 1:w + {WINDOW}], '')) AS x FROM win),
+cnt AS (SELECT c, w, x, count(*) AS n FROM sym GROUP BY ALL),
+ent AS (SELECT c, w, sum(({clog2()})[n + 1]) AS total FROM cnt GROUP BY ALL),
+hits AS (SELECT doc_id, k, any_value(a) + min(w) AS a, any_value(a) + max(w) + {WINDOW} AS e
+         FROM win JOIN ent USING (c, w) WHERE total <= {limit} GROUP BY c, doc_id, k),
+extra AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.a <= h.a AND h.e <= b.e)),
+spans AS (SELECT *, true AS b FROM base UNION ALL SELECT doc_id, k, a, e, false FROM extra),
+listed AS (SELECT doc_id, count(*) FILTER (b AND k = 0) AS n_assign, count(*) FILTER (b AND k = 1) AS n_access,
+                  count(*) FILTER (b AND k = 2) AS n_hex,
+                  coalesce(string_agg({shown}, ',' ORDER BY a, k, e) FILTER (b), '') AS base,
+                  string_agg({shown}, ',' ORDER BY a, k, e) AS spans
+           FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN listed l ON l.doc_id = d.doc_id"""
+
+
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20"""
+
+JACCARD_JOIN = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION
+  SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)"""
+
 
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": secret_scan(), "op2_exact_top_k": TOP_K, "op7_ngram_jaccard_join": JACCARD_JOIN}
