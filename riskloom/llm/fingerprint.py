@@ -18,6 +18,7 @@ from .common import SPACE, shuffle_partitions
 
 K = 256
 WORDS = 5
+MOST_BUCKETS = 50_000
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -93,10 +94,10 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def bucket_splits(df: DataFrame, order: str, rows_per_bucket: int = 1000) -> list[float]:
-    """Approximate quantiles of ``order``: at most 50,000 numbers come to the driver, whatever
+    """Approximate quantiles of ``order``: at most MOST_BUCKETS numbers come to the driver, whatever
     the input (beyond that the buckets grow)."""
     known = df.select(order).where(F.col(order).isNotNull())
-    buckets = max(1, min(50_000, known.count() // rows_per_bucket))
+    buckets = max(1, min(MOST_BUCKETS, known.count() // rows_per_bucket))
     return quantile_splits(known, order, buckets, relative_error=1 / (4 * buckets))
 
 
@@ -125,7 +126,8 @@ def digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
 
     # heads: the smallest (id, text) of each bucket, found on ids first so that few texts move
     firsts = cut.where(F.col("_id").isNotNull()).groupBy("_bucket").agg(F.min("_id").alias("_id"))
-    heads = (docs.join(firsts, "_id").groupBy("_bucket").agg(F.min("_text").alias("_head")))
+    # one row per bucket, of which there are at most MOST_BUCKETS
+    heads = (docs.join(F.broadcast(firsts), "_id").groupBy("_bucket").agg(F.min("_text").alias("_head")))
     ring = Window.orderBy("_bucket")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = heads.select("_bucket", F.coalesce(F.lead("_head").over(ring), F.first("_head").over(whole)).alias("_edge"))
