@@ -86,7 +86,9 @@ def stitch(codec: Codec, text: str, chunk_starts: list[list[int]], chunk: int =
     sure = chunk_starts[0]
     for k in range(1, len(chunk_starts)):
         border, theirs = k * chunk, chunk_starts[k]
-        known = set(theirs)
+        # a segment must not end in white space: how its last run splits depends on what follows
+        fits = [p for p in theirs if not text[p - 1].isspace()]
+        known = set(fits)
         at = next((p for p in sure if p >= border and p in known), None)
         if at is None:
             # no common start in the overlap: go on from the last sure start through chunk k

@@ -82,8 +82,9 @@ def sketch_of_group(df: DataFrame, keys: list[str], sketch: str, k: int = K) ->
 
 
 def printed(sketch: Column) -> Column:
-    """The sketch's hashes as big-endian bytes in base64."""
-    return F.base64(F.unhex(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")))
+    """The sketch's hashes as big-endian bytes in base64, on one line."""
+    data = F.unhex(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
 
 
 def edited(text: Column, following: Column) -> Column:
