@@ -50,8 +50,8 @@ BLOCK = 256
 
 
 def clog2(window: int = WINDOW) -> list[int]:
-    """round(1e6 * c * log2 c) for c = 0..window."""
-    return [0] + [round(1e6 * c * math.log2(c)) for c in range(1, window + 1)]
+    """round(1e6 * c * log2 c) for c = 0..window + 1 (one symbol enters before one leaves)."""
+    return [0] + [round(1e6 * c * math.log2(c)) for c in range(1, window + 2)]
 
 
 def sum_limit(bits: float, window: int = WINDOW) -> int:

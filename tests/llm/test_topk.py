@@ -26,7 +26,7 @@ def got(df):
 def test_matches_brute_force_with_ties_and_bad_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 4]) for i in range(160)]
-    rows += [(160, None), (161, [1.0, None, 0, 0, 0, 0]), (162, [float("nan")] * 6), (180, [float("inf")] * 6),
+    rows += [(160, None), (161, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (162, [float("nan")] * 6), (180, [float("inf")] * 6),
              (None, [1.0] * 6), (200, []), (201, [0.0] * 6)]
     df = frame(spark, rows)
     expected = sorted(brute(rows, 5, 20))
