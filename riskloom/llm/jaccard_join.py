@@ -396,7 +396,8 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     sizes = member.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).where("m > 1")
     member = member.join(sizes, "comp")
     member = tiled(member, F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)), "node")
-    texts = docs.join(member.select("id", "node", "comp", "ta", "tb"), "id")
+    # by sorted shuffles at every size: the members grow with the input
+    texts = docs.join(member.select("id", "node", "comp", "ta", "tb").hint("merge"), "id")
     link = staged(verified_links(texts, words), "join-links")
 
     root = components(link).withColumnRenamed("v", "node")
