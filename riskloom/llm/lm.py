@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import crc_of_id, shuffle_partitions, staged
-from .textnp import U, Words, batches, mix
+from .textnp import U, Words, batches, mix, powers
 
 MARK = "▁"  # the vocabulary's word mark
 PRIOR = 1_000.0  # pseudo-counts of the vocabulary's own weights
-TEXT_BYTES = 2 << 20  # texts handled together
+TEXT_BYTES = 1 << 20  # texts handled together
 TYPES = 400_000  # distinct words that a task keeps before it starts afresh
-POSTINGS = 3_000_000  # tokens of a block
+POSTINGS = 1_500_000  # tokens of a block
 END = mix(np.array([0xE0D], U))[0]  # hash of the end token
 
 
@@ -97,12 +97,16 @@ class Vocabulary:
         return seen
 
 
+FIRST = mix(np.array([0xF1857], U))[0]  # added to the hash of a word-initial piece
+
+
 def piece_hash(data: bytes, kind: int) -> np.uint64:
+    """The polynomial of the bytes (no mark, if word-initial)."""
     if not data:
-        return mix(np.array([kind << 32], U))[0]
+        return FIRST
     w = Words.__new__(Words)
     w.low, w._sums = np.frombuffer(data, np.uint8), None
-    return w.span_hashes(np.array([0]), np.array([len(data)]), kind)[0]
+    return (w.sums()[len(data):] + (FIRST if kind else U(0)))[0]
 
 
 class Lattice:
@@ -133,14 +137,17 @@ class Lattice:
 
     def _same_length(self, words, start, n, counts, expected):
         log = self.v.log
+        at = start + np.arange(n + 1)[:, None]
+        sums, down = words.sums()[at], powers(len(words.low))[1][at[:-1]]
         forward = np.full((n + 1, len(start)), -np.inf)
         forward[0] = log[self.v.mark]
         arcs = []
         for i in range(1, n + 1):
             here = forward[i]
             for j in range(max(0, i - self.v.longest), i):
+                span = (sums[i] - sums[j]) * down[j]
                 for first in ((0, 1) if j == 0 else (0,)):
-                    rows, piece = self._find(words.span_hashes(start + j, start + i, kind=first))
+                    rows, piece = self._find(span + FIRST if first else span)
                     if len(rows):
                         add = log[piece] if first else forward[j, rows] + log[piece]
                         here[rows] = np.logaddexp(here[rows], add)
@@ -200,16 +207,6 @@ def gathered(words: Words, which: np.ndarray) -> Words:
     return w
 
 
-def _joined(parts: list[Words]) -> Words:
-    w = Words.__new__(Words)
-    offset = np.concatenate(([0], np.cumsum([len(p.low) for p in parts])))
-    w.low = np.concatenate([p.low for p in parts])
-    w.start = np.concatenate([p.start + o for p, o in zip(parts, offset, strict=False)])
-    w.end = np.concatenate([p.end + o for p, o in zip(parts, offset, strict=False)])
-    w._sums = None
-    return w
-
-
 def expected_counts(docs: DataFrame, text: str, vocabulary: Vocabulary) -> tuple[np.ndarray, float]:
     """Expected pieces and number of texts, over all rows of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -221,8 +218,10 @@ def expected_counts(docs: DataFrame, text: str, vocabulary: Vocabulary) -> tuple
         types, fresh, counts, n = Types(), [], np.zeros(0), 0
 
         def settle():
-            if fresh:
-                lattice.run(_joined(fresh), counts, expected)
+            at = 0
+            for part in fresh:
+                lattice.run(part, counts[at:at + len(part.start)], expected)
+                at += len(part.start)
 
         for batch in parts:
             texts = batch.column(0).cast(pa.binary()).to_pylist()

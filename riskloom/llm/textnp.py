@@ -75,13 +75,19 @@ class Words:
 
         self._sums = None
 
-    def span_hashes(self, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
-        """64-bit hash of lower-cased byte spans (a polynomial in the bytes' random numbers)."""
-        up, down = powers(len(self.low))
+    def sums(self) -> np.ndarray:
+        """Running sums of the bytes' random numbers times powers: a span's difference, brought
+        back by the power of its start, is a polynomial in its bytes wherever it stands."""
         if self._sums is None:
+            up, _ = powers(len(self.low))
             self._sums = np.zeros(len(self.low) + 1, U)
             np.cumsum(LETTER[self.low] * up[: len(self.low)], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(U) + U(kind << 32))
+        return self._sums
+
+    def span_hashes(self, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
+        """64-bit hash of lower-cased byte spans."""
+        sums, (_, down) = self.sums(), powers(len(self.low))
+        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) + U(kind << 32))
 
     def hashes(self) -> np.ndarray:
         """Hash of every lower-cased word."""
