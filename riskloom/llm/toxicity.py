@@ -172,8 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     of either class, equal texts once."""
     known = labels.where(F.col(label).isin(0, 1)).select(doc_id, F.col(label).cast("int").alias("_y"))
     drawn, sizes = class_sample(known, "_y", per_class, doc_id)
+    # the sample is a few thousand ids (two classes of about per_class), so it goes to the texts
     rows = (docs.where(F.col(text).isNotNull()).select(doc_id, text)
-            .join(drawn, doc_id).select(F.col(text), "_y").collect())
+            .join(F.broadcast(drawn), doc_id).select(F.col(text), "_y").collect())
     rows = sorted({(r[0], r[1]) for r in rows})
     n = sum(sizes.values())
     return train([r[0].encode() for r in rows], np.array([r[1] for r in rows], float), sizes.get(1, 0) / n if n else 0.0)
