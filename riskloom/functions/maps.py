@@ -34,5 +34,8 @@ def fill_constant(col: Column | str, value) -> Column:
 
 def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """pandas has one missing value, Spark two: turn float NaN into null."""
+    kinds = dict(df.dtypes)
     floats = [c for c, t in df.dtypes if t in ("double", "float") and (cols is None or c in cols)]
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(dict(df.dtypes)[c])) for c in floats})
+    if not floats:
+        return df
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(kinds[c])) for c in floats})

@@ -31,8 +31,8 @@ def freq_dictionary(df: DataFrame, col: str, order_key: str, n_buckets: int | No
     """
     counts = materialize(value_counts(df, col, order_key).withColumn("neg_cnt", -F.col("cnt")))
     nb = n_buckets or default_buckets(df.sparkSession)
-    bucketed = ordered.with_quantile_bucket(counts, "neg_cnt", nb)
-    ranked = ordered.row_number(bucketed, ["neg_cnt", "first_seen"], ordered.BUCKET, out="code")
+    bucketed = ordered.with_pair_bucket(counts, "neg_cnt", "first_seen", nb)
+    ranked = ordered.row_number(bucketed, ["neg_cnt", "first_seen"], ordered.BUCKET, out="code", stage=False)
     return materialize(ranked.select("value", F.col("code").cast("long").alias("code"),
                                      "cnt", "first_seen"))
 
@@ -47,10 +47,10 @@ def freq_dictionaries(df: DataFrame, cols: list[str], order_key: str,
                          .agg(F.count(F.lit(1)).alias("cnt"), F.min(order_key).alias("first_seen"))
                          .withColumn("neg_cnt", -F.col("cnt")))
     nb = n_buckets or default_buckets(df.sparkSession)
-    bucketed = ordered.with_quantile_bucket(counts, "neg_cnt", nb)
+    bucketed = ordered.with_pair_bucket(counts, "neg_cnt", "first_seen", nb)
     ranked = materialize(ordered.row_number(
         bucketed, ["neg_cnt", "first_seen"], ordered.BUCKET, partition_by=["field"], out="code",
-        summary_broadcast=True).select("field", "value", F.col("code").cast("long").alias("code"),
+        stage=False).select("field", "value", F.col("code").cast("long").alias("code"),
                                        "cnt", "first_seen"))
     dicts = {c: ranked.where(F.col("field") == c).drop("field") for c in cols}
     if not with_sizes:
@@ -75,17 +75,13 @@ def apply_dictionary(df: DataFrame, col: str, dictionary: DataFrame, out: str |
     return joined.select(*cols)
 
 
-def category_codes(df: DataFrame, col: str, max_values: int = 2_000_000) -> DataFrame:
+def category_codes(df: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
     """pandas ``astype('category').cat.codes`` dictionary: distinct non-null values in
-    alphabetical order → 0..n-1, as a ``(col, code)`` table. The value set becomes model
-    state, so its size is checked before the indexer fits it."""
-    from pyspark.ml.feature import StringIndexer
-    distinct = materialize(df.where(F.col(col).isNotNull()).select(col).distinct())
-    n = distinct.count()
-    if n > max_values:
-        raise ValueError(f"{col} has {n} distinct values, above the limit {max_values}")
-    model = StringIndexer(inputCol=col, outputCol="code", stringOrderType="alphabetAsc").fit(distinct)
-    return model.transform(distinct).select(col, F.col("code").cast("long").alias("code"))
+    alphabetical order → 0..n-1, as a ``(col, code)`` table, ranked by an ordered pass over
+    the text."""
+    distinct = materialize(df.where(F.col(col).isNotNull()).select(F.col(col), F.col(col).cast("string").alias("_text")).distinct())
+    b = ordered.with_quantile_bucket(distinct, "_text", n_buckets or default_buckets(df.sparkSession))
+    return ordered.row_number(b, ["_text"], ordered.BUCKET, out="code", stage=False).select(col, "code")
 
 
 def distinct_first_seen(df: DataFrame, col: str, order_key: str,
@@ -95,7 +91,7 @@ def distinct_first_seen(df: DataFrame, col: str, order_key: str,
                          .agg(F.min(order_key).alias("first_seen")))
     nb = n_buckets or default_buckets(df.sparkSession)
     b = ordered.with_quantile_bucket(firsts, "first_seen", nb)
-    return ordered.row_number(b, ["first_seen"], ordered.BUCKET, out="position").drop(ordered.BUCKET)
+    return ordered.row_number(b, ["first_seen"], ordered.BUCKET, out="position", stage=False).drop(ordered.BUCKET)
 
 
 @dataclass
@@ -157,7 +153,7 @@ def fit_feature_dictionary(df: DataFrame, roles: Roles, order_key: str | None =
         nb = n_buckets or default_buckets(spark)
         b = ordered.with_quantile_bucket(firsts, "first_seen", nb)
         ranked = ordered.row_number(b, ["first_seen"], ordered.BUCKET, partition_by=["field"],
-                                    out="rn", summary_broadcast=True)
+                                    out="rn", stage=False)
         off_map = F.create_map(*[x for c in cats for x in (F.lit(c), F.lit(offsets[c]))])
         pos_map = F.create_map(*[x for c in cats for x in (F.lit(c), F.lit(pos[c]))])
         cat_tab = ranked.select(

@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import shared_path
 
-# Fitted lookup tables up to this many rows are shipped to every task; larger ones are
+# Fitted lookup tables up to this many bytes are shipped to every task; larger ones are
 # joined by shuffle (AQE may still pick a broadcast from runtime sizes, and splits skew).
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 64 << 20
+TEXT_WIDTH = 64  # bytes reckoned for a text value
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a (small, fitted) table to the shared checkpoint folder and cut its lineage.
+    """Stage a table as Parquet in the shared folder and read it back: lineage is cut, columns
+    can be pruned, and the table survives the loss of any executor."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Reliable checkpoint, never a local one: the table survives the loss of any executor.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def table_bytes(df: DataFrame, rows: int) -> int:
+    """Bytes reckoned for ``rows`` rows of ``df``'s columns."""
+    width = sum(TEXT_WIDTH if t in ("string", "binary") or "<" in t else 8 for _, t in df.dtypes)
+    return rows * (width + 16)
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str = "left",
                right_rows: int | None = None,
-               max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join, broadcasting ``right`` only when its row count is known to be small.
+               max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Join, broadcasting ``right`` only when its reckoned size is known to be small.
 
     ``right_rows`` may be passed when the caller already knows the size; otherwise the
     right side is counted (callers pass materialised, aggregated tables, so this is cheap).
     """
     n = right.count() if right_rows is None else right_rows
-    if n <= max_broadcast_rows:
+    if table_bytes(right, n) <= max_broadcast_bytes:
         right = F.broadcast(right)
     return left.join(right, on, how)

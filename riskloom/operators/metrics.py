@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import default_buckets
 from . import ordered
+from .joins import materialize
 
 LOG_LOSS_EPS = 1e-7
 AUC_THRESHOLDS = 200
@@ -24,8 +25,21 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
 
+def scored_only(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Rows with a score and a label: a missing or NaN score has no rank, so neither AUC uses it."""
+    s = F.col(score).cast("double")
+    return df.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isNotNull())
+
+
+def missing_scores(df: DataFrame, score: str, label: str, by: list[str] | tuple = ()) -> DataFrame:
+    """Rows that the AUCs leave out, beside all rows."""
+    s = F.col(score).cast("double")
+    out = s.isNull() | F.isnan(s) | F.col(label).isNull()
+    return df.groupBy(*by).agg(F.sum(out.cast("long")).alias("missing"), F.count(F.lit(1)).alias("n"))
+
+
 def _score_table(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    return (df.groupBy(*by, F.col(score).cast("double").alias("s"))
+    return (scored_only(df, score, label).groupBy(*by, F.col(score).cast("double").alias("s"))
             .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("double").alias("pos"),
                  F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("double").alias("neg")))
 
@@ -34,15 +48,15 @@ def auc_exact(df: DataFrame, score: str, label: str, by: list[str] | tuple = (),
               n_buckets: int | None = None) -> DataFrame:
     """Exact ROC AUC (ties count half): Σ pos_s · (neg below s + ½ neg_s) / (P · N).
 
-    Distinct scores are ranked with the bucketed ordered pass (no single-task window).
+    Distinct scores are ranked with the bucketed ordered pass (no single-task window) over a
+    staged score table; rows without a score are left out (see ``missing_scores``).
     """
     by = list(by)
-    t = _score_table(df, score, label, by)
+    t = materialize(_score_table(df, score, label, by))
     nb = n_buckets or default_buckets(df.sparkSession)
     tb = ordered.with_quantile_bucket(t, "s", nb)
     run = ordered.running(tb, {"neg_below": ordered.Agg("sum", F.col("neg"))}, ["s"],
-                          ordered.BUCKET, partition_by=by, inclusive=False,
-                          summary_broadcast=True if not by else None)
+                          ordered.BUCKET, partition_by=by, inclusive=False, stage=False)
     agg = run.groupBy(*by).agg(
         F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("u"),
         F.sum("pos").alias("p"), F.sum("neg").alias("n"))
@@ -56,9 +70,10 @@ def auc_thresholded(df: DataFrame, score: str, label: str, by: list[str] | tuple
 
     A score p is above threshold j (j = 0..T-1, t_j = j/(T-1)) iff p > t_j; bucket
     b = max(1, ceil(p·(T-1))) puts it above thresholds 0..b-1. At most T rows per group
-    remain after the first aggregation.
+    remain after the first aggregation. Rows without a score are left out.
     """
     by = list(by)
+    df = scored_only(df, score, label)
     tm1 = num_thresholds - 1
     p = F.col(score).cast("double")
     b = F.least(F.greatest(F.lit(1), F.ceil(F.round(p * tm1, 9)).cast("int")), F.lit(tm1 + 1))
@@ -137,14 +152,12 @@ def early_stop_epoch(history: DataFrame, run: str, epoch: str, metric: str,
 
 def cv_summary(scores: DataFrame, by: list[str], fold: str, score: str, label: str) -> DataFrame:
     """Mean of per-fold AUCs beside the pooled out-of-fold AUC, per ``by`` group."""
-    per_fold = auc_exact(scores, score, label, by=[*by, fold])
-    mean = per_fold.groupBy(*by).agg(F.avg("auc").alias("mean_fold_auc"),
-                                     F.count(F.lit(1)).alias("folds"))
-    pooled = auc_exact(scores, score, label, by=by).withColumnRenamed("auc", "pooled_auc")
-    if not by:  # both sides are one row: join on a constant key
-        return (mean.withColumn("_one", F.lit(1)).join(pooled.withColumn("_one", F.lit(1)), "_one")
-                .drop("_one"))
-    return mean.join(pooled, by)
+    per_fold = auc_exact(scores, score, label, by=[*by, fold]).select(*by, "auc", F.lit(None).cast("double").alias("_all"))
+    pooled = auc_exact(scores, score, label, by=by).select(*by, F.lit(None).cast("double").alias("auc"),
+                                                           F.col("auc").alias("_all"))
+    # one aggregate over folds + 1 rows per group; no join
+    return per_fold.unionByName(pooled).groupBy(*by).agg(
+        F.avg("auc").alias("mean_fold_auc"), F.count("auc").alias("folds"), F.max("_all").alias("pooled_auc"))
 
 
 def best_trial(trials: DataFrame, objective: str, direction: str = "maximize",

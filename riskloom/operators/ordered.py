@@ -8,9 +8,12 @@ md5 order key). Each pass is then:
 1. a local window inside each (group, bucket) — many balanced tasks;
 2. one summary row per (group, bucket) (count, sum, max, last non-null, ...);
 3. a tiny window over those summaries in bucket order gives each bucket its carry;
-4. the carry is joined back and combined with the local value.
+4. the carry is joined back and combined with the local value (the session's own size check
+   decides whether the summary is broadcast).
 
-The result depends only on the data, never on how it is partitioned.
+The bucketed input is staged as Parquet first: the window and the summary read that, so the
+plan above an ordered pass runs once. The result depends only on the data, never on how it
+is partitioned.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import materialize
+
 BUCKET = "_obucket"
 
 
@@ -43,8 +48,30 @@ def hex_bucket(hex_col: Column | str, digits: int = 3) -> Column:
     return F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
 
 
-def _numeric_input(df: DataFrame, col: str) -> Column:
+class Splits(list):
+    """Split points of a key; ``prefix``: bytes that all values of a text key begin with."""
+    prefix = 0
+
+
+TEXT_BYTES = 6  # bytes of a text key, after the common prefix, that place it in a bucket
+
+
+def common_prefix(df: DataFrame, col: str) -> int:
+    """Bytes shared by the smallest and the largest value, and so by all of them."""
+    low, high = df.agg(F.min(col), F.max(col)).first()
+    a, b = (low or "").encode(), (high or "").encode()
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def _numeric_input(df: DataFrame, col: str, prefix: int = 0) -> Column:
+    """The key as a number that never decreases along the key's order."""
     dtype = dict(df.dtypes)[col]
+    if dtype == "string":
+        head = F.substring(F.col(col).cast("binary"), prefix + 1, TEXT_BYTES)
+        return F.conv(F.rpad(F.hex(head), 2 * TEXT_BYTES, "0"), 16, 10).cast("double")
     if dtype == "date":
         return F.unix_date(F.col(col)).cast("double")
     if dtype.startswith("timestamp"):
@@ -54,16 +81,20 @@ def _numeric_input(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("double")
 
 
-def quantile_splits(df: DataFrame, col: str, n_buckets: int, relative_error: float = 1e-4) -> list[float]:
-    """Split points for ``n_buckets`` roughly even buckets of a numeric/temporal column:
-    one approximate-quantile job; ``n_buckets`` numbers come back to the driver."""
+def quantile_splits(df: DataFrame, col: str, n_buckets: int, relative_error: float | None = None) -> Splits:
+    """Split points for ``n_buckets`` roughly even buckets of a numeric, temporal or text
+    column: one approximate-quantile job; ``n_buckets`` numbers come back to the driver. The
+    error follows the bucket count, so that many buckets stay distinct."""
     if n_buckets <= 1:
-        return [float("-inf"), float("inf")]
+        return Splits([float("-inf"), float("inf")])
     tmp = "_oq_in"
-    staged = df.select(_numeric_input(df, col).alias(tmp))
+    prefix = common_prefix(df, col) if dict(df.dtypes)[col] == "string" else 0
+    staged = df.select(_numeric_input(df, col, prefix).alias(tmp))
     qd = QuantileDiscretizer(numBuckets=n_buckets, inputCol=tmp, outputCol="_oq_b",
-                             relativeError=relative_error, handleInvalid="keep")
-    return list(qd.fit(staged).getSplits())
+                             relativeError=relative_error or 1 / (4 * n_buckets), handleInvalid="keep")
+    out = Splits(qd.fit(staged).getSplits())
+    out.prefix = prefix
+    return out
 
 
 def with_bucket_splits(df: DataFrame, col: str, splits: list[float], out: str = BUCKET) -> DataFrame:
@@ -73,14 +104,27 @@ def with_bucket_splits(df: DataFrame, col: str, splits: list[float], out: str =
         return df.withColumn(out, F.lit(0))
     from pyspark.ml.feature import Bucketizer
     tmp = "_oq_in"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return (b.transform(df.withColumn(tmp, _numeric_input(df, col)))
-            .withColumn(out, F.col(out).cast("int")).drop(tmp))
+    b = Bucketizer(splits=list(splits), inputCol=tmp, outputCol=out, handleInvalid="keep")
+    return (b.transform(df.withColumn(tmp, _numeric_input(df, col, getattr(splits, "prefix", 0))))
+             .withColumn(out, F.col(out).cast("int")).drop(tmp))
+
+
+def with_pair_bucket(df: DataFrame, major: str, minor: str, n_buckets: int, out: str = BUCKET) -> DataFrame:
+    """Bucket column that is monotone in (``major``, ``minor``): the whole numbers of ``major``
+    plus the place of ``minor`` in its range, so that many rows of one ``major`` are spread."""
+    prefix = common_prefix(df, minor) if dict(df.dtypes)[minor] == "string" else 0
+    place = _numeric_input(df, minor, prefix)
+    low, high = df.agg(F.min(place), F.max(place)).first()
+    if low is None:
+        return df.withColumn(out, F.lit(0))
+    tmp = "_oq_pair"
+    d = df.withColumn(tmp, F.col(major).cast("double") + (place - low) / F.lit(float(high - low) + 1.0))
+    return with_quantile_bucket(d, tmp, n_buckets, out=out).drop(tmp)
 
 
 def with_quantile_bucket(df: DataFrame, col: str, n_buckets: int,
-                         relative_error: float = 1e-4, out: str = BUCKET) -> DataFrame:
-    """Add a bucket column that is monotone in a numeric/timestamp ``col``.
+                         relative_error: float | None = None, out: str = BUCKET) -> DataFrame:
+    """Add a bucket column that is monotone in a numeric, timestamp or text ``col``.
 
     The split points are approximate quantiles (one aggregate job; ``n_buckets`` numbers come
     back to the driver). Any split points keep the order exact; quantiles keep buckets even.
@@ -149,17 +193,19 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
 
 def running(df: DataFrame, aggs: dict[str, Agg], order_cols: list[str], bucket: Column | str,
             partition_by: list[str] | tuple = (), inclusive: bool = True,
-            descending: bool = False, summary_broadcast: bool | None = None) -> DataFrame:
+            descending: bool = False, stage: bool = True) -> DataFrame:
     """Add running aggregates over the global order ``order_cols`` (unique, ascending unless
     ``descending``) within each ``partition_by`` group.
 
     ``bucket`` must be non-decreasing in ``order_cols`` (descending: still computed on the
     ascending order; the scan runs from high to low buckets). ``inclusive`` includes the
-    current row.
+    current row. ``stage=False``: ``df`` is already a staged table, cheap to read twice.
     """
     pby = list(partition_by)
     bcol = F.col(bucket) if isinstance(bucket, str) else bucket
     d = df.withColumn(BUCKET, bcol)
+    if stage:
+        d = materialize(d)
     keys = [*pby, BUCKET]
     order = [F.col(c) for c in order_cols]
     scan = [o.desc() for o in order] if descending else order
@@ -169,8 +215,8 @@ def running(df: DataFrame, aggs: dict[str, Agg], order_cols: list[str], bucket:
     local_cols = {f"_l_{n}": _local(a.kind, a.expr, frame) for n, a in aggs.items()}
     with_local = d.select("*", *[c.alias(n) for n, c in local_cols.items()])
 
-    # Per-bucket totals straight from the input with map-side partial aggregation: one extra
-    # scan and a bucket-sized shuffle; the window above keeps the only full-size exchange.
+    # Per-bucket totals with map-side partial aggregation: one more scan of the staged rows and
+    # a bucket-sized shuffle; the window above keeps the only full-size exchange.
     totals = d.groupBy(*keys).agg(
         *[_total(a.kind, a.expr, order, descending).alias(f"_t_{n}") for n, a in aggs.items()])
     bscan = F.col(BUCKET).desc() if descending else F.col(BUCKET)
@@ -179,11 +225,6 @@ def running(df: DataFrame, aggs: dict[str, Agg], order_cols: list[str], bucket:
     carries = totals.select(
         *keys, *[_carry(a.kind, F.col(f"_t_{n}"), bframe).alias(f"_c_{n}")
                  for n, a in aggs.items()])
-    if summary_broadcast is None:
-        # without a group key the summary has one row per bucket: a proven bound
-        summary_broadcast = not pby
-    if summary_broadcast:
-        carries = F.broadcast(carries)
     joined = with_local.join(carries, keys, "left")
     out = joined.select(
         *[F.col(c) for c in df.columns],

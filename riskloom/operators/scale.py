@@ -8,9 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.maps import nan_to_null
+
 
 def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """Long table (column, min, std_pop, non_null): one aggregate pass, nulls skipped."""
+    df = nan_to_null(df, cols)
     aggs = []
     for c in cols:
         aggs += [F.min(c).cast("double").alias(f"{c}__min"),
@@ -27,7 +30,7 @@ class MinStdScaler:
     stats: dict[str, tuple[float | None, float | None]]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return apply_columns(df, list(self.stats), lambda c, s: _scaled(c, *s), self.stats)
+        return apply_columns(nan_to_null(df, list(self.stats)), list(self.stats), lambda c, s: _scaled(c, *s), self.stats)
 
 
 def _scaled(c: Column, lo, sd) -> Column:
@@ -41,6 +44,7 @@ def fit_min_std(df: DataFrame, cols: list[str]) -> MinStdScaler:
     """One aggregate job; 2 numbers per column come back to the driver."""
     if not cols:
         return MinStdScaler({})
+    df = nan_to_null(df, cols)
     row = df.agg(*[x for c in cols for x in (F.min(c).cast("double").alias(f"{c}__min"),
                                              F.stddev_pop(c).alias(f"{c}__std"))]).first()
     return MinStdScaler({c: (row[f"{c}__min"], row[f"{c}__std"]) for c in cols})

@@ -63,17 +63,14 @@ def hash_top_n(df: DataFrame, key: str, seed, n: int, hex_digits: int | None = N
     hex_digits = hex_digits or hex_digits_for(df.sparkSession)
     d = df.withColumn(HASH, ordered.hash_order_key(key, seed)).withColumn(
         "_hb", ordered.hex_bucket(HASH, hex_digits))
-    counts = {r["_hb"]: int(r["n"]) for r in
-              d.groupBy("_hb").agg(F.count(F.lit(1)).alias("n")).collect()}  # ≤ 16**digits rows
-    below, cut, need = 0, None, n
-    for b in sorted(counts):
-        if below + counts[b] >= n:
-            cut, need = b, n - below
-            break
-        below += counts[b]
-    if cut is None:
-        return df
     from pyspark.sql import Window
+    counts = d.groupBy("_hb").agg(F.count(F.lit(1)).alias("n"))
+    # running totals over the bucket table (at most 16**digits rows); one row comes back
+    upto = counts.select("_hb", "n", F.sum("n").over(Window.orderBy("_hb")).alias("upto"))
+    first = upto.where(F.col("upto") >= n).agg(F.min(F.struct("_hb", "n", "upto")).alias("c")).first()["c"]
+    if first is None:
+        return df
+    cut, need = first["_hb"], n - (first["upto"] - first["n"])
     whole = d.where(F.col("_hb") < cut)
     w = Window.partitionBy("_hb").orderBy(HASH, key)
     edge = (d.where(F.col("_hb") == cut).withColumn("_r", F.row_number().over(w))

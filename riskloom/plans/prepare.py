@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import BASE_DATE, date_features
 from ..functions.maps import (CLASS_MAP, WORK_YEAR_MAP, WORK_YEAR_TEST_FILL,
-                              WORK_YEAR_TRAIN_FILL, fill_constant, map_literal)
+                              WORK_YEAR_TRAIN_FILL, fill_constant, map_literal, nan_to_null)
 from ..operators import ordered
 from ..operators.align import DriftReport, align_common_columns
 from ..operators.dictionary import apply_dictionary, freq_dictionaries
@@ -69,6 +69,7 @@ def backfill_all(df: DataFrame, key: str, n_buckets: int | None = None,
     """pandas ``fillna(method='bfill')`` over every column in key order. ``splits`` (key
     bucket boundaries) may be shared between tables cut from the same key space."""
     cols = [c for c in df.columns if c != key and c not in partition_by]
+    df = nan_to_null(df, cols)
     if splits is None:
         splits = ordered.quantile_splits(df.select(key), key, n_buckets or default_buckets(df.sparkSession))
     b = ordered.with_bucket_splits(df, key, splits)
@@ -80,8 +81,12 @@ def prepare(bank: DataFrame, internet: DataFrame, test: DataFrame, roles: Roles,
             balance: bool = True) -> Prepared:
     spec = spec or CleanSpec()
     key, target = roles.key, roles.target
+    bank, internet, test = (nan_to_null(t) for t in (bank, internet, test))
     bank_a, internet_a, test_a, report = align_common_columns(
         bank, internet, test, target=target, renames=spec.renames)
+    # a misspelt role name would turn a column into a categorical feature: warn here
+    made = ["issue_date_y", "issue_date_m", "issue_date_diff"]
+    roles.validate([*internet_a.columns, *made])
 
     # dictionaries are fitted on the bank table, applied to all three (unseen → null)
     dicts, sizes = freq_dictionaries(bank_a, list(spec.freq_cols), key, n_buckets, with_sizes=True)
