@@ -170,9 +170,12 @@ def afm_forward(p, d: Dims, xi, xv):
     e = embed(p, xi, xv)
     y1 = fm_first(p, xi, xv) @ p["Wf"] + p["bf"]
     y2 = fm_second(e) @ p["Ws"] + p["bs"]
-    pairs = pair_products(e)
-    a = afm_attention(p, d, pairs)
-    afm = (a[..., None] * pairs).sum(axis=1)
+    if d.attention_mode == "as_reference":
+        afm = fm_second(e)  # every pair weight is 1: the sum of the pairs, without the pairs
+    else:
+        pairs = pair_products(e)
+        a = afm_attention(p, d, pairs)
+        afm = (a[..., None] * pairs).sum(axis=1)
     ya = afm @ p["Wa"] + p["ba"]
     return sigmoid(y1 + y2 + ya)
 

@@ -214,7 +214,7 @@ SQL["prepare_test"] = f"WITH {PREPARED} SELECT {_fin(TEST_COLS, PREP_TYPES)} FRO
 SQL["undersample_balance"] = f"""WITH {PREPARED}
 SELECT {_fin(('loan_id', 'isDefault', 'total_loan'), SCALED_TYPES)} FROM balanced"""
 SQL["union_classes"] = f"""WITH {PREPARED}
-SELECT CAST(isDefault AS BIGINT) AS isDefault, count(*) AS n FROM balanced GROUP BY isDefault"""
+SELECT {_fin(('loan_id', 'isDefault', 'f0', 'industry'), SCALED_TYPES)} FROM balanced"""
 
 SQL["renumber_rows"] = f"""WITH {APP_SQL}
 SELECT loan_id, row_number() OVER (ORDER BY loan_id) - 1 AS "index" FROM app WHERE slice = 1"""
@@ -272,7 +272,7 @@ m AS (SELECT avg(-quality * ln(p + 1e-7) - (1 - quality) * ln(1 - p + 1e-7)) AS
 SELECT round(loss1, {R}) AS loss1, round(loss2, {R}) AS loss2, round(loss1 + loss2, {R}) AS loss FROM m"""
 
 SQL["accuracy_exact"] = f"""WITH {SCORED}
-SELECT round(avg(CASE WHEN round(p) = y THEN 1.0 ELSE 0.0 END), {R}) AS accuracy FROM scored"""
+SELECT round(avg(CASE WHEN least(greatest(p * 3 - 1, 0.0), 1.0) = y THEN 1.0 ELSE 0.0 END), {R}) AS accuracy FROM scored"""
 
 SQL["accuracy_at"] = f"""WITH {SCORED}
 SELECT round(avg(CASE WHEN (CASE WHEN p > 0.1 THEN 1.0 ELSE 0.0 END) = y THEN 1.0 ELSE 0.0 END), {R})
@@ -398,8 +398,8 @@ SELECT role, CAST(fold_id AS BIGINT) AS fold_id, count(*) AS n, round(sum(label)
 FROM expanded GROUP BY role, fold_id"""
 
 SQL["scan_fold"] = f"""WITH {ENCODED}
-SELECT loan_id, array_to_string(xi, ',') AS xi, round(label, {R}) AS label FROM expanded
-WHERE role = 'train' AND fold_id = 0"""
+SELECT loan_id, role, CAST(fold_id AS BIGINT) AS fold_id, array_to_string(xi, ',') AS xi, round(label, {R}) AS label
+FROM expanded"""
 
 SQL["scan_unlabelled"] = f"""WITH {ENCODED}
 SELECT loan_id, array_to_string(xi, ',') AS xi, round(xv_sum, {R}) AS xv_sum FROM enc_te"""
@@ -588,9 +588,9 @@ FROM z JOIN nn USING (loan_id)"""
 SQL["scan_csv"] = SQL["app_fixture"]
 
 SQL["scan_clean_bundle"] = f"""WITH {PREPARED}
-SELECT 'scaled' AS role, count(*) AS n, round(sum(total_loan), 4) AS total_loan_sum, round(sum(f0), 4) AS f0_sum FROM scaled
-UNION ALL SELECT 'raw', count(*), round(sum(total_loan), 4), round(sum(f0), 4) FROM raw
-UNION ALL SELECT 'test', count(*), round(sum(total_loan), 4), round(sum(f0), 4) FROM test_clean"""
+SELECT loan_id, round(total_loan, {R}) AS total_loan, round(f0, {R}) AS f0, CAST(industry AS BIGINT) AS industry, 'scaled' AS role FROM scaled
+UNION ALL SELECT loan_id, round(total_loan, {R}), round(f0, {R}), CAST(industry AS BIGINT), 'raw' FROM raw
+UNION ALL SELECT loan_id, round(total_loan, {R}), round(f0, {R}), CAST(industry AS BIGINT), 'test' FROM test_clean"""
 
 SQL["metrics_history"] = f"""WITH h AS (
   SELECT user_id AS run, event_id, value AS metric,
@@ -648,3 +648,66 @@ SQL["stream_score"] = SQL["score_batch"]
 SQL["union_train"] = f"""WITH {APP_SQL}
 SELECT loan_id, slice, round(total_loan, {R}) AS total_loan, CAST(is_default AS BIGINT) AS isDefault
 FROM app WHERE slice IN (0, 1)"""
+
+
+# ------------------------------------------------------------------ missing values, text keys
+_MISSING = SCORED + """,
+part AS (SELECT * FROM scored WHERE event_id % 5 <> 0 AND event_id % 7 <> 0)"""
+SQL["auc_with_missing_scores"] = f"""WITH {_MISSING}, {_auc('part')},
+b AS (SELECT least(greatest(1, CAST(ceil(round(p * 199, 9)) AS INTEGER)), 200) AS b,
+             sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM part GROUP BY 1),
+cnt AS (SELECT j, coalesce(sum(pos), 0) AS tp, coalesce(sum(neg), 0) AS fp
+        FROM (SELECT range AS j FROM range(0, 200)) g LEFT JOIN b ON b.b > g.j GROUP BY j),
+rates AS (SELECT j, tp / (SELECT sum(pos) FROM b) AS tpr, fp / (SELECT sum(neg) FROM b) AS fpr FROM cnt),
+seg AS (SELECT tpr, fpr, lead(tpr) OVER (ORDER BY j) AS tpr2, lead(fpr) OVER (ORDER BY j) AS fpr2 FROM rates)
+SELECT 'auc_exact' AS name, round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), {R}) AS value FROM auc_r
+UNION ALL SELECT 'auc_thresholded', round(sum((fpr - fpr2) * (tpr + tpr2) / 2.0), {R}) FROM seg WHERE tpr2 IS NOT NULL
+UNION ALL SELECT 'missing', count(*)::DOUBLE FROM scored WHERE event_id % 5 = 0 OR event_id % 7 = 0"""
+
+_NAN = """gaps AS (SELECT loan_id, CASE WHEN loan_id % 7 = 0 THEN NULL ELSE total_loan END AS total_loan,
+  CASE WHEN loan_id % 11 = 0 THEN NULL ELSE f0 END AS f0, f1, f2 FROM app)"""
+SQL["scale_with_nan"] = f"""WITH {APP_SQL}, {_NAN}, {_scaled('sc', 'gaps', _SC, _SC[1:])}
+SELECT {_fin(_SC)} FROM sc"""
+SQL["backfill_with_nan"] = f"""WITH {APP_SQL}, {_NAN}, {_bfill('bf', 'gaps', _SC)}
+SELECT {_fin(_SC)} FROM bf"""
+
+SQL["renumber_text_keys"] = """WITH k AS (SELECT l_orderkey || '-' || l_linenumber AS line_key FROM lineitem)
+SELECT line_key, row_number() OVER (ORDER BY line_key) - 1 AS "index" FROM k"""
+
+# ------------------------------------------------------------------ one training step, evaluation by head
+# training counts a missing value as 0
+REC0 = REC.replace("rec AS (SELECT loan_id, unnest(xi) AS fid, unnest(xv) AS xv, unnest(range(0, 10)) AS f FROM enc)",
+                   "rec AS (SELECT loan_id, fid, coalesce(xv, 0) AS xv, f FROM (SELECT loan_id, unnest(xi) AS fid, "
+                   "unnest(xv) AS xv, unnest(range(0, 10)) AS f FROM enc))")
+
+SQL["gradient_step_deepfm"] = f"""WITH {REC0},
+{_deepfm_sql()},
+s AS (SELECT z.loan_id, e.label AS y, 1 / (1 + exp(-z)) AS p FROM z JOIN enc e ON e.loan_id = z.loan_id),
+d AS (SELECT *, -y * ln(p + 1e-7) - (1 - y) * ln(1 - p + 1e-7) AS l,
+             2 * (-y / (p + 1e-7) + (1 - y) / (1 - p + 1e-7)) * p * (1 - p) AS dz FROM s),
+g AS (SELECT fid, sum(dz * {w_dense(9, 'f', 0)} * xv) AS v FROM rec JOIN d USING (loan_id) GROUP BY fid)
+SELECT 'loss' AS name, -1 AS i, round(2 * sum(l), 4) AS value FROM d
+UNION ALL SELECT 'rows', -1, count(*)::DOUBLE FROM d
+UNION ALL SELECT 'bout', -1, round(sum(dz), 4) FROM d
+UNION ALL SELECT 'w1', i, round(coalesce(v, 0), 4) FROM (SELECT range AS i FROM range(0, (SELECT sum(size) FROM fd_sizes)::BIGINT)) r
+LEFT JOIN g ON g.fid = r.i"""
+
+_HEAD_AUC = """b{h} AS (SELECT least(greatest(1, CAST(ceil(round(s{h} * 199, 9)) AS INTEGER)), 200) AS b,
+             sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM s GROUP BY 1),
+c{h} AS (SELECT j, coalesce(sum(pos), 0) AS tp, coalesce(sum(neg), 0) AS fp
+        FROM (SELECT range AS j FROM range(0, 200)) g LEFT JOIN b{h} ON b{h}.b > g.j GROUP BY j),
+r{h} AS (SELECT j, tp / (SELECT sum(pos) FROM b{h}) AS tpr, fp / (SELECT sum(neg) FROM b{h}) AS fpr FROM c{h}),
+q{h} AS (SELECT tpr, fpr, lead(tpr) OVER (ORDER BY j) AS tpr2, lead(fpr) OVER (ORDER BY j) AS fpr2 FROM r{h}),
+a{h} AS (SELECT sum((fpr - fpr2) * (tpr + tpr2) / 2.0) AS auc FROM q{h} WHERE tpr2 IS NOT NULL)"""
+SQL["mmoe_head_metrics"] = f"""WITH {REC0},
+{_mmoe_sql()},
+s AS (SELECT a.loan_id, 1 / (1 + exp(-a.x)) AS s1, 1 / (1 + exp(-b.x)) AS s2, e.label AS y
+      FROM t1_4 a JOIN t2_4 b USING (loan_id) JOIN enc e ON e.loan_id = a.loan_id),
+{_HEAD_AUC.format(h=1)},
+{_HEAD_AUC.format(h=2)}
+SELECT round(avg(-y * ln(s1 + 1e-7) - (1 - y) * ln(1 - s1 + 1e-7) - y * ln(s2 + 1e-7) - (1 - y) * ln(1 - s2 + 1e-7)), {R}) AS loss,
+       round((SELECT auc FROM a1), {R}) AS auc, round((SELECT auc FROM a2), {R}) AS auc_2, count(*) AS n FROM s"""
+
+SQL["oof_predictions_once"] = f"""WITH {PREPARED}
+SELECT loan_id, CAST((row_number() OVER (PARTITION BY isDefault ORDER BY {_hash('loan_id')}, loan_id) - 1) % {K} AS BIGINT) AS fold,
+       CAST(1 AS BIGINT) AS times, CAST(isDefault AS DOUBLE) AS label, CAST(1 AS BIGINT) AS is_probability FROM scaled"""

@@ -191,8 +191,8 @@ def undersample_balance_q(spark, sf):
 
 @query
 def union_classes(spark, sf):
-    bal = _prepared(spark, sf).balanced
-    return finalize(M.class_counts(bal, "isDefault"))
+    """Minority rows and the drawn majority rows, stacked."""
+    return finalize(_prepared(spark, sf).balanced.select("loan_id", "isDefault", "f0", "industry"))
 
 
 # ---------------------------------------------------------------- splitting and ordering
@@ -280,7 +280,8 @@ def two_head_loss_q(spark, sf):
 
 @query
 def accuracy_exact(spark, sf):
-    ev = _scored_events(spark, sf).withColumn("p", F.round(F.col("p")))
+    """Raw scores; those that reach an end of the scale are the only ones that can equal a label."""
+    ev = _scored_events(spark, sf).withColumn("p", F.least(F.greatest(F.col("p") * 3 - 1, F.lit(0.0)), F.lit(1.0)))
     return finalize(M.accuracy(ev, "p", "y"))
 
 
@@ -376,10 +377,14 @@ def sink_folds_q(spark, sf):
 
 @query
 def scan_fold_q(spark, sf):
+    """Both roles of every split, each by its own pruned scan."""
+    from functools import reduce
     from ..sources.records import scan_fold
     ex, _ = _exported(spark, sf)
-    rec = scan_fold(spark, ex.path, "train", 0, ex.fd.field_size)
-    return finalize(rec.select("loan_id", _xi_text().alias("xi"), "label"))
+    parts = [scan_fold(spark, ex.path, role, i, ex.fd.field_size).select(
+        "loan_id", F.lit(role).alias("role"), F.lit(i).alias("fold_id"), _xi_text().alias("xi"), "label")
+        for role in ("train", "valid") for i in range(K)]
+    return finalize(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 @query
@@ -568,9 +573,7 @@ def scan_clean_bundle(spark, sf):
     paths = write_bundle({"scaled": prep.scaled, "raw": prep.raw, "test": prep.test},
                          shared_path(spark, "bundle"))
     tabs = read_bundle(spark, paths)
-    parts = [t.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total_loan"), 4).alias("total_loan_sum"),
-                   F.round(F.sum("f0"), 4).alias("f0_sum")).withColumn("role", F.lit(name))
-             for name, t in tabs.items()]
+    parts = [t.select("loan_id", "total_loan", "f0", "industry", F.lit(name).alias("role")) for name, t in tabs.items()]
     return finalize(reduce(lambda a, b: a.unionByName(b), parts))
 
 
@@ -629,36 +632,35 @@ def best_trial(spark, sf):
 
 # ---------------------------------------------------------------- training and search (no SQL oracle)
 def _folded_records(spark, sf):
+    from ..operators.joins import materialize
     prep, enc, fd = _encoded(spark, sf)
-    return prep, S.stratified_kfold(enc, "label", "loan_id", K, SEED), fd
+    return prep, materialize(S.stratified_kfold(enc, "label", "loan_id", K, SEED)), fd
 
 
-def _history_df(spark, hist):
-    return finalize(spark.createDataFrame(hist[["run", "epoch", "train_loss", "valid_loss", "valid_auc"]]))
 
-
-def _train_one(spark, sf, model, epochs=3, mode="sync"):
+def _training(spark, sf, models, epochs, **cfg):
+    """(per-fold rows, history table) of the models, trained on every split of exported records."""
+    from ..session import shared_path
+    from ..sources.files import read_history
     from .models import Dims
-    from .train import TrainConfig, fit
-    _, folded, fd = _folded_records(spark, sf)
-    dims = Dims(feature_dim=fd.feature_dim, field_size=fd.field_size)
-    cfg = TrainConfig(model=model, epochs=epochs, steps_per_epoch=2, learning_rate=0.01,
-                      mode=mode, batch_size=32)
-    res = fit(folded.where(F.col("fold") != 0), folded.where(F.col("fold") == 0), "loan_id", dims, cfg,
-              run=f"{model}-fold0")
-    return _history_df(spark, res.history)
+    from .train import TrainConfig
+    from .train import cv_by_model as cvm
+    ex, _ = _exported(spark, sf)
+    dims = Dims(feature_dim=ex.fd.feature_dim, field_size=ex.fd.field_size)
+    cfgs = [TrainConfig(model=m, epochs=epochs, learning_rate=0.01, **cfg) for m in models]
+    path = shared_path(spark, "history")
+    rows = cvm(spark, ex.path, "loan_id", dims, cfgs, K, save_to=shared_path(spark, "weights"), history_to=path)
+    return rows, read_history(spark, path)
 
 
-@query
-def train_deepfm(spark, sf):
-    return _train_one(spark, sf, "deepfm")
+def _train_one(spark, sf, model):
+    _, history = _training(spark, sf, [model], 3, steps_per_epoch=2)
+    return finalize(history.drop("seconds"))
 
 
 @query
-def train_deepfm_local(spark, sf):
-    """DeepFM with the reference's 32-row mini-batches: local Adam per partition, weights
-    averaged each epoch."""
-    return _train_one(spark, sf, "deepfm", mode="local")
+def train_deepfm(spark, sf):
+    return _train_one(spark, sf, "deepfm")
 
 
 @query
@@ -673,58 +675,131 @@ def train_mmoe(spark, sf):
 
 @query
 def cv_by_model(spark, sf):
-    from .models import Dims
-    from .train import TrainConfig
-    from .train import cv_by_model as cvm
-    _, folded, fd = _folded_records(spark, sf)
-    dims = Dims(feature_dim=fd.feature_dim, field_size=fd.field_size)
-    cfg = TrainConfig(model="deepfm", epochs=2, steps_per_epoch=1, learning_rate=0.01)
-    return finalize(spark.createDataFrame(cvm(folded, "loan_id", dims, cfg, K)))
+    """All three networks on all folds, with a stop rule short enough to fire."""
+    rows, _ = _training(spark, sf, ["deepfm", "afm", "mmoe"], 4, patience=2, min_history=2)
+    return finalize(spark.createDataFrame(rows))
+
+
+@query
+def gradient_step_deepfm(spark, sf):
+    """Loss, rows and the gradient of the output bias and of every first-order weight over all
+    records, at the formula weights, without dropout."""
+    import pandas as pd
+
+    from .train import gradient_sum
+    enc, dims, p = _model_inputs(spark, sf, "deepfm")
+    loss, n, g = gradient_sum(enc, "loan_id", "deepfm", p, dims, 0, 0, 0, 1, {})
+    rows = [("loss", -1, loss), ("rows", -1, float(n)), ("bout", -1, float(g["bout"]))]
+    rows += [("w1", i, float(v)) for i, v in enumerate(g["w1"])]
+    return finalize(spark.createDataFrame(pd.DataFrame(rows, columns=["name", "i", "value"])), 4)
+
+
+@query
+def mmoe_head_metrics(spark, sf):
+    """Both heads' loss and AUC at the formula weights: evaluation sees what training minimises."""
+    import pandas as pd
+
+    from .train import evaluate
+    enc, dims, p = _model_inputs(spark, sf, "mmoe")
+    ev = evaluate(enc, "loan_id", "mmoe", p, dims)
+    return finalize(spark.createDataFrame(pd.DataFrame([ev])))
+
+
+@query
+def auc_with_missing_scores(spark, sf):
+    """Scores missing by key arithmetic (null) or NaN: both AUCs leave them out, and they are counted."""
+    from functools import reduce
+    ev = _scored_events(spark, sf).withColumn(
+        "p", F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("double"))
+        .when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("p")))
+    exact = M.auc_exact(ev, "p", "y").withColumnRenamed("auc", "auc_exact")
+    steps = M.auc_thresholded(ev, "p", "y").withColumnRenamed("auc", "auc_thresholded")
+    parts = [("auc_exact", exact), ("auc_thresholded", steps), ("missing", M.missing_scores(ev, "p", "y").select("missing"))]
+    return finalize(reduce(lambda a, b: a.unionByName(b), [
+        d.select(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n, d in parts]))
+
+
+def _app_with_nan(spark, sf):
+    app = app_view(spark, sf).select("loan_id", "total_loan", "f0", "f1", "f2")
+    nan = F.lit(float("nan"))
+    return app.withColumns({"total_loan": F.when(F.col("loan_id") % 7 == 0, nan).otherwise(F.col("total_loan")),
+                            "f0": F.when(F.col("loan_id") % 11 == 0, nan).otherwise(F.col("f0"))})
+
+
+@query
+def scale_with_nan(spark, sf):
+    """NaN is a missing value: it stays missing and leaves the column's statistics alone."""
+    return finalize(scale_min_std(_app_with_nan(spark, sf), ["total_loan", "f0", "f1", "f2"]))
+
+
+@query
+def backfill_with_nan(spark, sf):
+    return finalize(backfill_all(_app_with_nan(spark, sf), "loan_id"))
+
+
+@query
+def renumber_text_keys(spark, sf):
+    """Row numbers in the order of a text key."""
+    li = read_table(spark, sf, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("line_key"))
+    return finalize(S.renumber_rows(li, "line_key"))
 
 
 def _mllib_frame(spark, sf):
     prep = _prepared(spark, sf, balance=False)
-    feats = APP_ROLES.used(prep.scaled.columns)
+    used = APP_ROLES.used(prep.scaled.columns)
+    numeric = [c for c in used if APP_ROLES.kind(c) == "numeric"]
     folded = S.stratified_kfold(prep.scaled, "isDefault", "loan_id", K, SEED)
-    return folded, feats
+    return folded, numeric, [c for c in used if c not in numeric]
+
+
+def _gbt(spark, sf):
+    from .tune import gbt_cv
+    folded, numeric, cats = _mllib_frame(spark, sf)
+    return gbt_cv(folded, "loan_id", numeric, cats, "isDefault", "fold", K,
+                  {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1}, SEED, patience=5)
 
 
 @query
 def train_gbt_cv(spark, sf):
-    from .tune import gbt_cv
-    folded, feats = _mllib_frame(spark, sf)
-    rows, _ = gbt_cv(folded, "loan_id", feats, "isDefault", "fold", K,
-                     {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1}, SEED)
-    return finalize(rows)
+    return finalize(_gbt(spark, sf)[0])
+
+
+@query
+def oof_predictions_once(spark, sf):
+    """Every labelled row is predicted exactly once, by the model of its own fold; scores are
+    probabilities (the invariant of the out-of-fold assembly, over trained trees)."""
+    _, oof = _gbt(spark, sf)
+    return finalize(oof.groupBy("loan_id", "fold").agg(
+        F.count(F.lit(1)).alias("times"), F.max("label").alias("label"),
+        F.min(((F.col("p") >= 0) & (F.col("p") <= 1)).cast("int")).alias("is_probability")))
+
+
+def _mllib(spark, sf, make):
+    from .tune import mllib_cv
+    folded, numeric, cats = _mllib_frame(spark, sf)
+    oof = mllib_cv(folded, "loan_id", numeric, cats, "isDefault", "fold", K, make)
+    return finalize(M.auc_exact(oof, "p", "label", by=["fold"]))
 
 
 @query
 def train_fm(spark, sf):
     from pyspark.ml.classification import FMClassifier
-    from .tune import mllib_cv
-    folded, feats = _mllib_frame(spark, sf)
-    return finalize(mllib_cv(folded, "loan_id", feats, "isDefault", "fold", K,
-                             lambda: FMClassifier(factorSize=8, maxIter=20, seed=SEED)))
+    return _mllib(spark, sf, lambda width: FMClassifier(factorSize=8, maxIter=20, seed=SEED))
 
 
 @query
 def train_mlp(spark, sf):
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from .tune import mllib_cv
-    folded, feats = _mllib_frame(spark, sf)
-    return finalize(mllib_cv(folded, "loan_id", feats, "isDefault", "fold", K,
-                             lambda: MultilayerPerceptronClassifier(layers=[len(feats), 32, 32, 2],
-                                                                    maxIter=20, seed=SEED)))
+    return _mllib(spark, sf, lambda width: MultilayerPerceptronClassifier(layers=[width, 32, 32, 2], maxIter=20, seed=SEED))
 
 
 @query
 def random_search(spark, sf):
+    """20 sampled trials of the mappable boosting parameters, each over all folds."""
     from .tune import random_search_cv
-    folded, feats = _mllib_frame(spark, sf)
-    trials = [{"trial_id": i, "n_estimators": 5 + 5 * i, "max_depth": 3 + i, "learning_rate": 0.1,
-               "feature_fraction": 0.5 + 0.2 * i} for i in range(3)]
-    res = random_search_cv(folded, feats, "isDefault", "fold", trials, SEED)
-    return finalize(spark.createDataFrame(res))
+    folded, numeric, cats = _mllib_frame(spark, sf)
+    return finalize(random_search_cv(folded, "loan_id", numeric, cats, "isDefault", "fold", 20, SEED))
 
 
 # ---------------------------------------------------------------- streaming

@@ -1,4 +1,4 @@
-"""Batch scoring: encoded records → score, vectorised per Arrow batch in ``mapInPandas``.
+"""Batch scoring: encoded records → score, vectorised per Arrow batch in ``mapInArrow``.
 
 The model (a few thousand floats) is broadcast once; every task scores its own partitions.
 No shuffle, no driver round trip; the key is kept beside the score.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,16 @@ def stack_records(pdf: pd.DataFrame, field_size: int):
     return xi, xv
 
 
+def arrow_records(batch: pa.RecordBatch, field_size: int):
+    """(xi, xv) of a batch as (rows, fields) arrays: the list columns' values are one buffer, so
+    no row is touched by itself. Missing values become NaN."""
+    def flat(name, dtype):
+        values = batch.column(batch.schema.get_field_index(name)).flatten()
+        return values.to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, field_size)
+
+    return flat("xi", np.int64), flat("xv", np.float64)
+
+
 def score_batch(encoded: DataFrame, model: str, params: dict, dims: Dims, key: str,
                 out: str = "score", heads: bool = False) -> DataFrame:
     """Score ``(key, xi, xv)`` rows. ``heads=True`` (MMoE) also returns both task scores."""
@@ -41,20 +52,20 @@ def score_batch(encoded: DataFrame, model: str, params: dict, dims: Dims, key: s
     def run(batches):
         m, p, d = bc.value
         fwd = FORWARD[m]
-        for pdf in batches:
-            if len(pdf) == 0:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            xi, xv = stack_records(pdf, d.field_size)
-            res = {key: pdf[key].to_numpy(), out: fwd(p, d, xi, xv)}
+            xi, xv = arrow_records(batch, d.field_size)
+            res = {key: batch.column(0), out: pa.array(fwd(p, d, xi, xv))}
             if heads:
                 s1, s2 = mmoe_heads(p, d, xi, xv)
-                res[f"{out}_1"], res[f"{out}_2"] = s1, s2
-            yield pd.DataFrame(res)
+                res[f"{out}_1"], res[f"{out}_2"] = pa.array(s1), pa.array(s2)
+            yield pa.RecordBatch.from_pydict(res)
 
     schema = f"`{key}` {key_type}, `{out}` double"
     if heads:
         schema += f", `{out}_1` double, `{out}_2` double"
-    scored = encoded.select(key, "xi", "xv").mapInPandas(run, schema)
+    scored = encoded.select(key, "xi", "xv").mapInArrow(run, schema)
     # a missing input value gives NaN in NumPy; report it as null
     cols = [c for c in scored.columns if c != key]
     return scored.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in cols})
