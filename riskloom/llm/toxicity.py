@@ -24,7 +24,7 @@ from ..session import ship_package
 from .common import class_sample, crc_of_id
 from .textnp import OTHER, Words, batches
 
-PER_CLASS = 3_000
+PER_CLASS = 2_000
 FEATURES = 512
 LEAST_DOCS = 3
 LEAST_CHI_SQUARE = 25.0
