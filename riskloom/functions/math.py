@@ -1,4 +1,4 @@
-"""Activation and normalisation expressions on columns and array columns."""
+"""Normalisation expressions on array columns."""
 
 from __future__ import annotations
 
@@ -6,25 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def sigmoid(c: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-c))
-
-
-def relu(c: Column) -> Column:
-    return F.greatest(c, F.lit(0.0))
-
-
 def array_softmax(arr: Column) -> Column:
     """Softmax of a numeric array column, max-shifted for stability."""
     m = F.array_max(arr)
     ex = F.transform(arr, lambda x: F.exp(x - m))
     total = F.aggregate(ex, F.lit(0.0), lambda acc, x: acc + x)
     return F.transform(ex, lambda x: x / total)
-
-
-def array_dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def array_sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)

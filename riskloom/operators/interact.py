@@ -70,16 +70,19 @@ def pair_dots(arr: Column, n_fields: int, dim: int) -> Column:
 
 
 def layer_norm(df: DataFrame, col: str, n_fields: int, dim: int, out: str,
-               eps: float = LN_EPS) -> DataFrame:
-    """Add ``out``: each field's embedding normalised over its ``dim`` entries (unit scale,
-    zero shift); variance as E[x²] − μ² so each field's slice is summed twice, not nested."""
+               scale=None, shift=None, eps: float = LN_EPS) -> DataFrame:
+    """Add ``out``: each field's embedding normalised over its ``dim`` entries, then scaled and
+    shifted per entry by learned weights (default: unit scale, zero shift); variance as
+    E[x²] − μ² so each field's slice is summed twice, not nested."""
     arr = F.col(col)
+    g = lit_array(np.ones(dim) if scale is None else scale)   # dim numbers
+    b = lit_array(np.zeros(dim) if shift is None else shift)
     parts = []
     for f in range(n_fields):
         v = field_vector(arr, f, dim)
         mu = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / dim
         var = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / dim - mu * mu
-        parts.append(F.transform(v, lambda x: (x - mu) / F.sqrt(var + eps)))
+        parts.append(F.transform(v, lambda x, k: (x - mu) / F.sqrt(var + eps) * F.get(g, k) + F.get(b, k)))
     return df.withColumn(out, F.flatten(F.array(*parts)))
 
 
@@ -125,21 +128,26 @@ def attention_pool(df: DataFrame, col: str, n_fields: int, dim: int, out: str,
 
 # ------------------------------------------------------------------ table (long) forms
 def embedding_table(spark, emb: np.ndarray) -> DataFrame:
-    """Model weights as a table (feature_id, k, w): feature_dim × emb_dim rows."""
+    """Model weights as a table (feature_id, w array): one row per feature id."""
     import pandas as pd
-    n, k = emb.shape
-    ids, ks = np.indices((n, k))
-    pdf = pd.DataFrame({"feature_id": ids.ravel().astype("int64"), "k": ks.ravel().astype("int32"),
-                        "w": emb.ravel().astype("float64")})
-    return spark.createDataFrame(pdf)
+    pdf = pd.DataFrame({"feature_id": np.arange(len(emb), dtype="int64"), "w": [row.tolist() for row in emb.astype("float64")]})
+    return spark.createDataFrame(pdf, "feature_id bigint, w array<double>")
 
 
 def embedding_lookup(long: DataFrame, emb_table: DataFrame, emb_rows: int | None = None) -> DataFrame:
-    """Gather: (key, field, feature_id, value) ⋈ (feature_id, k, w). The weight table is
-    model-sized; it is broadcast only after its row count is checked."""
+    """Gather: (key, field, feature_id, value) ⋈ (feature_id, w array): one row per (key, field).
+    The weight table is broadcast only after its size is checked."""
     return sized_join(long, emb_table, "feature_id", "inner", right_rows=emb_rows)
 
 
 def embedding_scaled(looked_up: DataFrame) -> DataFrame:
-    """Scale each gathered embedding by its field value."""
-    return looked_up.withColumn("v", F.col("w") * F.col("value"))
+    """Scale each gathered embedding by its field value (array ``v``)."""
+    return looked_up.withColumn("v", F.transform("w", lambda x: x * F.col("value")))
+
+
+def first_order(long: DataFrame, weights: np.ndarray, key: str) -> DataFrame:
+    """(key, fm1): Σ w[feature_id] · value per record, null where a value is missing. The weights
+    are a table like the embeddings, not literals of the plan."""
+    table = embedding_table(long.sparkSession, np.asarray(weights).reshape(-1, 1))
+    met = embedding_lookup(long, table, len(weights))
+    return met.groupBy(key).agg(F.when(F.count("value") == F.count(F.lit(1)), F.sum(F.get("w", F.lit(0)) * F.col("value"))).alias("fm1"))

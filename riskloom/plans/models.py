@@ -59,6 +59,14 @@ def f_att_h(t):
     return ((t * 5 + 1) % 7) / 7.0 - 0.5
 
 
+def f_ln_scale(k):
+    return 0.5 + ((k * 5 + 3) % 11) / 11.0
+
+
+def f_ln_shift(k):
+    return ((k * 7 + 2) % 13) / 13.0 - 0.5
+
+
 def _grid(fn, *shape):
     idx = np.indices(shape)
     return fn(*idx).astype(np.float64)
@@ -76,6 +84,7 @@ def parity_params(model: str, d: Dims) -> dict[str, np.ndarray]:
         n_in = (F_ + K if d.use_fm else 0) + (d.deep_layers[-1] if d.use_deep else 0)
         p["Wout"] = _grid(lambda i: f_dense(9, i, 0), n_in)
         p["bout"] = np.array(0.01)
+        p["ln_scale"], p["ln_shift"] = _grid(f_ln_scale, K), _grid(f_ln_shift, K)
     elif model == "afm":
         p["Wf"] = _grid(lambda i: f_dense(20, i, 0), F_)
         p["bf"] = np.array(f_bias(20, 0))
@@ -145,7 +154,7 @@ def pair_products(e):
 
 # ------------------------------------------------------------------ forward passes
 def deepfm_forward(p, d: Dims, xi, xv):
-    e = layer_norm(embed(p, xi, xv))
+    e = layer_norm(embed(p, xi, xv)) * p["ln_scale"] + p["ln_shift"]
     parts = []
     if d.use_fm:
         parts += [fm_first(p, xi, xv), fm_second(e)]
@@ -253,7 +262,8 @@ def deepfm_grad(p, d: Dims, xi, xv, y, drop=None):
     mu = e0.mean(axis=-1, keepdims=True)
     var = ((e0 - mu) ** 2).mean(axis=-1, keepdims=True)
     inv = 1.0 / np.sqrt(var + LN_EPS)
-    e = (e0 - mu) * inv
+    norm = (e0 - mu) * inv
+    e = norm * p["ln_scale"] + p["ln_shift"]
     parts, acts = [], []
     if d.use_fm:
         y1 = fm_first(p, xi, xv) * drop.get("fm0", 1.0)
@@ -296,31 +306,39 @@ def deepfm_grad(p, d: Dims, xi, xv, y, drop=None):
             g[f"b{l}"] = da.sum(axis=0)
             dh = da @ p[f"W{l}"].T
         de += (dh * drop.get("deep0", 1.0)).reshape(n, F_, K)
-    de0 = _ln_backward(de, e, inv)
+    g["ln_scale"], g["ln_shift"] = (de * norm).sum(axis=(0, 1)), de.sum(axis=(0, 1))
+    de0 = _ln_backward(de * p["ln_scale"], norm, inv)
     g["emb"] = _scatter(p["emb"].shape, xi, de0 * xv[..., None])
     return loss, g
 
 
 def afm_grad(p, d: Dims, xi, xv, y, drop=None):
     """Attentional FM. ``as_reference``: every pair weight is 1, so the pair sum equals the
-    FM second order; ``paper``: a = softmax over pairs of h · relu(W p + b)."""
+    FM second order; ``paper``: a = softmax over pairs of h · relu(W p + b). With dropout the
+    pair weights are masked (mask ``att``), and the pairs are needed in either mode."""
     drop = drop or {}
     n, F_ = xi.shape
+    keep = drop.get("att")
+    plain = d.attention_mode == "as_reference" and keep is None
     e = embed(p, xi, xv)
     f1 = fm_first(p, xi, xv) * drop.get("fm0", 1.0)
     s = e.sum(axis=1)
     q = 0.5 * (s * s - (e * e).sum(axis=1))
     q2 = q * drop.get("fm1", 1.0)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    if d.attention_mode == "as_reference":
+    if plain:
         afm = q
     else:
         ii, jj = np.triu_indices(F_, k=1)
         P = e[:, ii, :] * e[:, jj, :]                       # (n, M, K)
-        pre = P @ p["Watt"] + p["batt"]                     # (n, M, T)
-        H = relu(pre)
-        a = softmax(H @ p["hatt"], axis=1)                  # (n, M)
-        afm = (a[..., None] * P).sum(axis=1)
+        keep = np.ones(P.shape[:2]) if keep is None else keep
+        if d.attention_mode == "as_reference":
+            a = np.ones(P.shape[:2])
+        else:
+            pre = P @ p["Watt"] + p["batt"]                 # (n, M, T)
+            H = relu(pre)
+            a = softmax(H @ p["hatt"], axis=1)              # (n, M)
+        afm = ((a * keep)[..., None] * P).sum(axis=1)
     z = f1 @ p["Wf"] + p["bf"] + q2 @ p["Ws"] + p["bs"] + afm @ p["Wa"] + p["ba"]
     prob = sigmoid(z)
     l1, dp1 = log_loss_terms(prob, y)
@@ -333,19 +351,20 @@ def afm_grad(p, d: Dims, xi, xv, y, drop=None):
     g["w1"] = _scatter(p["w1"].shape, xi, df1 * xv)
     dq = dz[:, None] * p["Ws"][None, :] * drop.get("fm1", 1.0)
     dafm = dz[:, None] * p["Wa"][None, :]
-    if d.attention_mode == "as_reference":
+    if plain:
         dq = dq + dafm
         de = dq[:, None, :] * (s[:, None, :] - e)
     else:
         de = dq[:, None, :] * (s[:, None, :] - e)
-        da = (P * dafm[:, None, :]).sum(axis=2)             # (n, M)
-        dP = a[..., None] * dafm[:, None, :]
-        ds = a * (da - (a * da).sum(axis=1, keepdims=True))
-        g["hatt"] = np.einsum("nmt,nm->t", H, ds)
-        dpre = ds[..., None] * p["hatt"] * (pre > 0)
-        g["Watt"] = np.einsum("nmk,nmt->kt", P, dpre)
-        g["batt"] = dpre.sum(axis=(0, 1))
-        dP = dP + dpre @ p["Watt"].T
+        dP = (a * keep)[..., None] * dafm[:, None, :]
+        if d.attention_mode != "as_reference":
+            da = (P * dafm[:, None, :]).sum(axis=2) * keep  # (n, M)
+            ds = a * (da - (a * da).sum(axis=1, keepdims=True))
+            g["hatt"] = np.einsum("nmt,nm->t", H, ds)
+            dpre = ds[..., None] * p["hatt"] * (pre > 0)
+            g["Watt"] = np.einsum("nmk,nmt->kt", P, dpre)
+            g["batt"] = dpre.sum(axis=(0, 1))
+            dP = dP + dpre @ p["Watt"].T
         np.add.at(de, (slice(None), ii), dP * e[:, jj, :])
         np.add.at(de, (slice(None), jj), dP * e[:, ii, :])
     g["emb"] = _scatter(p["emb"].shape, xi, de * xv[..., None])
@@ -399,10 +418,12 @@ GRAD = {"deepfm": deepfm_grad, "afm": afm_grad, "mmoe": mmoe_grad}
 
 
 def dropout_masks(model: str, d: Dims, keys, step: int, rates: dict) -> dict:
-    """Training-time masks per block (rates: fm0, fm1, deep0, deep1, ...)."""
+    """Training-time masks per block (rates: fm0, fm1, att, deep0, deep1, ...)."""
     if model == "mmoe" or not rates:
         return {}
     widths = {"fm0": d.field_size, "fm1": d.emb_dim, "deep0": d.field_size * d.emb_dim}
+    if model == "afm":
+        widths["att"] = d.field_size * (d.field_size - 1) // 2
     for l, w in enumerate(d.deep_layers):
         widths[f"deep{l + 1}"] = w
     return {k: hash_mask(keys, step, i + 1, widths[k], r)
@@ -422,6 +443,8 @@ def init_params(model: str, d: Dims, seed: int) -> dict:
             out[k] = rng.normal(0.0, np.sqrt(2.0 / (shape[0] + shape[-1])), shape)
         elif k == "bout":
             out[k] = np.array(0.01)
+        elif k == "ln_scale":
+            out[k] = np.ones(shape)
         else:
             out[k] = np.zeros(shape)
     return out

@@ -6,7 +6,7 @@ to 6 places and integers cast to BIGINT, as ``plans.common.finalize`` does on th
 
 from __future__ import annotations
 
-from ..functions.maps import PRIORITY_CLASS_MAP, WORK_YEAR_MAP
+from ..functions.maps import CLASS_MAP, PRIORITY_CLASS_MAP, WORK_YEAR_MAP
 from ..sources.fixtures import APP_SQL
 
 SEED = 42
@@ -173,6 +173,9 @@ SELECT loan_id,
        CAST({_case("coalesce(work_year, '10+ years')", WORK_YEAR_MAP)} AS BIGINT) AS work_year,
        CAST({_case('class_raw', PRIORITY_CLASS_MAP)} AS BIGINT) AS class_code FROM app"""
 
+SQL["map_class_letters"] = f"""SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag,
+       CAST({_case('l_returnflag', CLASS_MAP)} AS BIGINT) AS class_code FROM lineitem"""
+
 SQL["categorical_codes"] = f"""WITH {APP_SQL},
 codes AS (SELECT industry, row_number() OVER (ORDER BY industry) - 1 AS code
           FROM (SELECT DISTINCT industry FROM app WHERE industry IS NOT NULL))
@@ -439,6 +442,10 @@ def w_att_h(t) -> str:
     return f"(((({t}) * 5 + 1) % 7) / 7.0 - 0.5)"
 
 
+def w_ln(x, k) -> str:
+    return f"(({x}) * (0.5 + ((({k}) * 5 + 3) % 11) / 11.0) + (((({k}) * 7 + 2) % 13) / 13.0 - 0.5))"
+
+
 EMB_LONG = """el AS (
   SELECT vec_id, idx // 16 AS f, idx % 16 AS k, v FROM (
     SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, 64)) AS idx FROM embeddings))"""
@@ -453,7 +460,7 @@ FROM el a JOIN el b ON a.vec_id = b.vec_id AND a.k = b.k AND a.f < b.f GROUP BY
 
 SQL["layer_norm"] = f"""WITH {EMB_LONG}
 SELECT vec_id, CAST(f AS BIGINT) AS f, CAST(k AS BIGINT) AS k,
-       round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-12), {R}) AS v
+       round({w_ln("(v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-12)", "k")}, {R}) AS v
 FROM el WINDOW w AS (PARTITION BY vec_id, f)"""
 
 SQL["attention_pool"] = f"""WITH {EMB_LONG},
@@ -508,7 +515,7 @@ SELECT loan_id, NULL FROM rec GROUP BY loan_id HAVING count(xv) < 10"""
 
 
 def _deepfm_sql(layers=(32, 32), F_=10, K_=8) -> str:
-    ctes = [f"""ln AS (SELECT loan_id, f, k, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-12) AS v
+    ctes = [f"""ln AS (SELECT loan_id, f, k, {w_ln("(v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-12)", "k")} AS v
        FROM e WINDOW w AS (PARTITION BY loan_id, f))""",
             f"y1 AS (SELECT loan_id, f AS i, {w_first('fid')} * xv AS x FROM rec)",
             f"""y2 AS (SELECT loan_id, {F_} + k AS i, 0.5 * (sum(v) * sum(v) - sum(v * v)) AS x

@@ -110,6 +110,15 @@ def map_literal_q(spark, sf):
         map_literal("class_raw", PRIORITY_CLASS_MAP).alias("class_code")))
 
 
+@query
+def map_class_letters(spark, sf):
+    """The loan classes' literal table (A to G) over a letter column; other letters give null."""
+    from ..functions.maps import CLASS_MAP
+    li = read_table(spark, sf, "lineitem")
+    return finalize(li.select("l_orderkey", "l_linenumber", "l_returnflag",
+                              map_literal("l_returnflag", CLASS_MAP).alias("class_code")))
+
+
 @query
 def categorical_codes(spark, sf):
     """pandas ``astype('category')`` codes: alphabetical rank of the value, null → -1."""
@@ -442,7 +451,10 @@ def pairwise_interactions(spark, sf):
 @query
 def layer_norm(spark, sf):
     from ..operators import interact as I
-    e = I.layer_norm(_emb(spark, sf), "e", EMB_FIELDS, EMB_DIM, "n")
+    from .models import f_ln_scale, f_ln_shift
+    import numpy as np
+    ks = np.arange(EMB_DIM)
+    e = I.layer_norm(_emb(spark, sf), "e", EMB_FIELDS, EMB_DIM, "n", f_ln_scale(ks), f_ln_shift(ks))
     out = e.select("vec_id", F.posexplode("n").alias("pos", "v"))
     return finalize(out.select("vec_id", (F.col("pos") / EMB_DIM).cast("int").alias("f"),
                                (F.col("pos") % EMB_DIM).alias("k"), "v"))
@@ -503,8 +515,8 @@ def embedding_lookup(spark, sf):
     from ..operators.encode import long_form
     enc, dims, p = _model_inputs(spark, sf, "deepfm")
     emb = I.embedding_table(spark, p["emb"])
-    looked = I.embedding_lookup(long_form(enc, "loan_id"), emb, emb_rows=p["emb"].size)
-    return finalize(looked.select("loan_id", "field", "feature_id", "k", "w"))
+    looked = I.embedding_lookup(long_form(enc, "loan_id"), emb, emb_rows=len(p["emb"]))
+    return finalize(looked.select("loan_id", "field", "feature_id", F.posexplode("w").alias("k", "w")))
 
 
 @query
@@ -513,18 +525,16 @@ def embedding_scaled(spark, sf):
     from ..operators.encode import long_form
     enc, dims, p = _model_inputs(spark, sf, "deepfm")
     emb = I.embedding_table(spark, p["emb"])
-    looked = I.embedding_scaled(I.embedding_lookup(long_form(enc, "loan_id"), emb, emb_rows=p["emb"].size))
-    return finalize(looked.select("loan_id", "field", "k", "v"))
+    looked = I.embedding_scaled(I.embedding_lookup(long_form(enc, "loan_id"), emb, emb_rows=len(p["emb"])))
+    return finalize(looked.select("loan_id", "field", F.posexplode("v").alias("k", "v")))
 
 
 @query
 def fm_first_order(spark, sf):
     from ..operators import interact as I
+    from ..operators.encode import long_form
     enc, dims, p = _model_inputs(spark, sf, "deepfm")
-    w1 = I.lit_array(p["w1"])
-    fm1 = F.aggregate(F.zip_with("xi", "xv", lambda i, v: F.get(w1, i) * v.cast("double")),
-                      F.lit(0.0), lambda a, x: a + x)
-    return finalize(enc.select("loan_id", fm1.alias("fm1")))
+    return finalize(I.first_order(long_form(enc, "loan_id"), p["w1"], "loan_id"))
 
 
 def _scored(spark, sf, model, test=False, heads=False):

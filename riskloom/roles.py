@@ -59,8 +59,6 @@ LOAN_IGNORE = (
     "knowing_outstanding_loan", "known_dero",
 )
 LOAN_TARGET = "isDefault"
-LOAN_TEST_DROP = ("earlies_credit_mon", "loan_id", "user_id")
-K_FOLDS = 3
 
 LOAN_ROLES = Roles(numeric=LOAN_NUMERIC, ignore=LOAN_IGNORE, target=LOAN_TARGET, key="loan_id")
 

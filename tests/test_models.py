@@ -37,7 +37,7 @@ def test_gradients_match_finite_differences(model, mode):
     p = {k: v + rng.normal(0, 0.3, np.shape(v)) for k, v in Mo.init_params(model, d, 1).items()}
     xi, xv = rng.integers(0, 20, (7, 5)), rng.normal(0, 1, (7, 5))
     y = rng.integers(0, 2, 7).astype(float)
-    drop = Mo.dropout_masks(model, d, np.arange(7), 3, {"fm0": 0.5, "deep1": 0.5})
+    drop = Mo.dropout_masks(model, d, np.arange(7), 3, {"fm0": 0.5, "att": 0.5, "deep1": 0.5})
     _, g = Mo.GRAD[model](p, d, xi, xv, y, drop)
     for k, v in p.items():
         for idx in list(np.ndindex(np.shape(v)))[:4]:

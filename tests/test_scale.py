@@ -53,3 +53,10 @@ def test_missing_scores_do_not_move_the_auc(spark):
     for auc in (M.auc_exact, M.auc_thresholded):
         assert abs(auc(ev, "p", "y").first()["auc"] - auc(holes, "p", "y").first()["auc"]) < 1e-12
     assert tuple(M.missing_scores(holes, "p", "y").first()) == (250, 1250)
+
+
+def test_loan_roles():
+    from riskloom.roles import LOAN_ROLES
+    cols = ["loan_id", "total_loan", "f1", "title", "class", "issue_date_y", "isDefault"]
+    assert [LOAN_ROLES.kind(c) for c in cols] == ["ignore", "numeric", "ignore", "ignore", "categorical", "numeric", "ignore"]
+    assert LOAN_ROLES.used(cols) == ["total_loan", "class", "issue_date_y"]
