@@ -718,3 +718,5 @@ SELECT round(avg(-y * ln(s1 + 1e-7) - (1 - y) * ln(1 - s1 + 1e-7) - y * ln(s2 +
 SQL["oof_predictions_once"] = f"""WITH {PREPARED}
 SELECT loan_id, CAST((row_number() OVER (PARTITION BY isDefault ORDER BY {_hash('loan_id')}, loan_id) - 1) % {K} AS BIGINT) AS fold,
        CAST(1 AS BIGINT) AS times, CAST(isDefault AS DOUBLE) AS label, CAST(1 AS BIGINT) AS is_probability FROM scaled"""
+
+SQL["score_deepfm_joined"] = SQL["score_deepfm"]

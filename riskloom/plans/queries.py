@@ -548,6 +548,18 @@ def score_deepfm(spark, sf):
     return _scored(spark, sf, "deepfm")
 
 
+@query
+def score_deepfm_joined(spark, sf):
+    """The same scores with the feature weights joined instead of broadcast."""
+    import numpy as np
+    from ..operators import interact as I
+    from .score import score_joined
+    enc, dims, p = _model_inputs(spark, sf, "deepfm")
+    table = I.embedding_table(spark, np.column_stack([p["emb"], p["w1"]]))
+    dense = {k: v for k, v in p.items() if k not in ("emb", "w1")}
+    return finalize(score_joined(enc, "deepfm", dense, table, dims, "loan_id"))
+
+
 @query
 def score_afm(spark, sf):
     return _scored(spark, sf, "afm")
