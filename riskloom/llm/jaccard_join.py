@@ -108,9 +108,19 @@ def frequent_shingles(texts: DataFrame, words: int = WORDS) -> np.ndarray:
         if size:
             yield settle()
 
-    found = texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.col("n").desc(), "h").limit(FREQUENT).collect()
-    return np.array([r[0] for r in reversed(top)], np.int64).view(U)
+    level = F.floor(8 * F.log2("n")).cast("int")
+    found = staged(texts.mapInArrow(run, "h bigint, n bigint").groupBy("h")
+                   .agg(F.sum("n").cast("double").alias("n")).withColumn("level", level), "join-frequent")
+    # the lowest level from which on at most FREQUENT shingles lie: a few hundred rows tell it, and
+    # only those shingles come to the driver, whatever the number of tasks
+    cut, held = None, 0
+    for r in sorted(found.groupBy("level").count().collect(), reverse=True):
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        cut = r["level"]
+    top = [] if cut is None else sorted((r["n"], r["h"]) for r in found.where(F.col("level") >= cut).collect())
+    return np.array([h for _, h in top], np.int64).view(U)
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS) -> DataFrame:
