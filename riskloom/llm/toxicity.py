@@ -95,12 +95,16 @@ def swapped(text: bytes, table: dict[bytes, bytes]) -> bytes | None:
 
 def chi_square(keys: np.ndarray, docs: np.ndarray, toxic: np.ndarray, n_features: int, least: int) -> np.ndarray:
     """Features in at least ``least`` texts with the largest chi-square between presence and label."""
-    key, place, n = np.unique(keys, return_inverse=True, return_counts=True)
-    pos = np.bincount(place, weights=toxic[docs], minlength=len(key))
+    key, n = np.unique(keys, return_counts=True)
+    key, n = key[n >= least], n[n >= least]
+    if not len(key):
+        return key
+    place = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+    mine = key[place] == keys
+    pos = np.bincount(place[mine], weights=toxic[docs[mine]], minlength=len(key))
     total, positives = len(toxic), float(toxic.sum())
     a, b, c, d = pos, n - pos, positives - pos, total - positives - (n - pos)
     chi = total * (a * d - b * c) ** 2 / np.maximum(1.0, (a + b) * (c + d) * (a + c) * (b + d))
-    chi[n < least] = 0
     best = np.argsort(-chi, kind="stable")[:n_features]
     return key[best[chi[best] > LEAST_CHI_SQUARE]]
 
