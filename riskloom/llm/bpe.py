@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +76,15 @@ class Vocabulary:
         return _codecs[self.key]
 
 
+def small(batches, most_bytes: int = 1 << 20):
+    """The batches' rows in slices of about a megabyte: ids and starts as Python lists take many
+    times the text's memory."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most_bytes // max(1, batch.nbytes))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def stitch(codec: Codec, text: str, chunk_starts: list[list[int]], chunk: int = CHUNK,
            overlap: int = OVERLAP) -> list[int]:
     """Sure pre-token starts, one or more per chunk border, that cut the text into segments.
@@ -121,7 +131,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text:
     docs = df.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     id_type = dict(docs.dtypes)[doc_id]
     names = [c.split()[0] for c in finished.split(", ")]
-    finish = finish or (lambda codec, ids: (ids,))
+    finish = finish or (lambda codec, ids: (np.array(ids, np.int32),))
 
     def rows(ids_column, results, schema):
         return pa.RecordBatch.from_arrays(
@@ -130,10 +140,9 @@ def encode(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text:
 
     def whole(batches):
         codec = shared.value.codec()
-        for batch in batches:
-            if batch.num_rows:
-                out = [finish(codec, codec.encode(t)) for t in batch.column(1).to_pylist()]
-                yield rows(batch.column(0), out, pa.schema([pa.field(doc_id, batch.schema.field(0).type), *types]))
+        for batch in small(batches):
+            out = [finish(codec, codec.encode(t)) for t in batch.column(1).to_pylist()]
+            yield rows(batch.column(0), out, pa.schema([pa.field(doc_id, batch.schema.field(0).type), *types]))
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -148,9 +157,10 @@ def encode(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text:
 
     def pre_tokenise(batches):
         codec = shared.value.codec()
-        for batch in batches:
+        for batch in small(batches):
             n, k, piece = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            starts = [codec.starts(t, i * chunk, i * chunk + len(t) < size) for size, i, t in zip(n, k, piece, strict=True)]
+            starts = [np.array(codec.starts(t, i * chunk, i * chunk + len(t) < size), np.int32)
+                      for size, i, t in zip(n, k, piece, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.list_(pa.int32()))],
                                              names=[*batch.schema.names, "_starts"])
 
@@ -177,7 +187,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", ids: s
 
     def run(batches):
         codec = shared.value.codec()
-        for batch in batches:
+        for batch in small(batches):
             data = [codec.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=[doc_id, "data"])
 
