@@ -163,15 +163,24 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS) -> Dat
     return docs.mapInArrow(run, f"id {kind}, n int, node bigint, gkey bigint, prefix array<bigint>, bits binary")
 
 
+RUN_BYTES = 4 << 20
+
+
+def sliced(parts):
+    """The parts' rows in slices of about a megabyte."""
+    for batch in parts:
+        step = max(1, (batch.num_rows << 20) // max(1, batch.nbytes))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def runs(parts, key_columns: int):
     """Tables of whole runs: rows sorted by the first columns, never split between two tables, in
-    pieces of a few ten thousand rows (or one run)."""
+    pieces of a few thousand rows or megabytes (or one run)."""
     held = []
-    for batch in parts:
-        if not batch.num_rows:
-            continue
+    for batch in sliced(parts):
         held.append(batch)
-        if sum(b.num_rows for b in held) < 20_000:
+        if sum(b.num_rows for b in held) < 20_000 and sum(b.nbytes for b in held) < RUN_BYTES:
             continue
         t = pa.Table.from_batches(held).combine_chunks()
         keys = [t.column(k).to_numpy() for k in range(key_columns)]
