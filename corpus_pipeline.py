@@ -26,10 +26,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(rows, model, ["_row"]).where("predicted = 0").select("_row.*")
 
 
+# near copies: shingles of five words, resemblance of 0.8 or more
+NEAR_WORDS, NEAR_LEAST = 5, (80, 100)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every class of linked documents; rows without an id
     and texts without words stay."""
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, words=NEAR_WORDS, least=NEAR_LEAST)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

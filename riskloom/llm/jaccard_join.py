@@ -1,7 +1,7 @@
 """N-gram Jaccard join: grouped prefix join over word shingle sets, and the classes it links.
 
-A text's set holds the hashes of its distinct three-word shingles. Two texts link when
-100 * |intersection| >= 90 * |union|.
+A text's set holds the hashes of its distinct shingles of ``words`` words. Two texts link when
+least[1] * |intersection| >= least[0] * |union|. The defaults are op7's contract: three words, 90/100.
 
 1. Shingles that are frequent within blocks of texts are ranked last; the others go by hash. Any
    fixed order gives right results; this one keeps frequent shingles out of the prefixes.
@@ -19,7 +19,7 @@ A text's set holds the hashes of its distinct three-word shingles. Two texts lin
 No pair of a group is dropped; pairs that are already linked through others are not looked at.
 
 Defined results: null text, and text without words, has an empty set and links with nothing; a text
-of one or two words is one shingle; rows without an id get the id of the class of their set if
+of fewer words than a shingle is one shingle; rows without an id get the id of the class of their set if
 other rows have that set (else null) and link nothing themselves; rows with equal ids are separate;
 an empty table gives no rows; other columns are ignored. Sets are compared by 64-bit hashes.
 """
@@ -123,7 +123,7 @@ def frequent_shingles(texts: DataFrame, words: int = WORDS) -> np.ndarray:
     return np.array([h for _, h in top], np.int64).view(U)
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS) -> DataFrame:
+def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, least=LEAST) -> DataFrame:
     """id, n, node (hash of the set), gkey (hash of prefix and size), prefix, bits."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))  # at most FREQUENT numbers
@@ -139,7 +139,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS) -> Dat
                     if not n:
                         rows.append((0, 0, 0, [], b""))
                         continue
-                    size = prefix_size(n)
+                    size = prefix_size(n, least)
                     at = np.searchsorted(keys, s)
                     often = np.zeros(n, bool)
                     inside = at < len(keys)
@@ -254,7 +254,7 @@ class Bitmaps:
         return out
 
 
-def near_pairs(key: np.ndarray, n: np.ndarray, rho: np.ndarray, bits: Bitmaps, side: np.ndarray):
+def near_pairs(key: np.ndarray, n: np.ndarray, rho: np.ndarray, bits: Bitmaps, side: np.ndarray, least=LEAST):
     """Pairs (i, j) of one key that sizes and bitmaps allow; rows are sorted by key and n. Yields
     arrays, nearer neighbours in the order first. ``side``: pairs of different non-zero sides only
     (0: any)."""
@@ -264,18 +264,18 @@ def near_pairs(key: np.ndarray, n: np.ndarray, rho: np.ndarray, bits: Bitmaps, s
         step += 1
         i = i[i + step < len(key)]
         j = i + step
-        ok = (key[i] == key[j]) & (LEAST[1] * n[i].astype(np.int64) >= LEAST[0] * n[j].astype(np.int64))
+        ok = (key[i] == key[j]) & (least[1] * n[i].astype(np.int64) >= least[0] * n[j].astype(np.int64))
         i, j = i[ok], j[ok]
         if not len(i):
             return
         cross = (side[i] == 0) | (side[i] != side[j])
         a, b = i[cross], j[cross]
-        most = most_difference((n[a] + n[b]).astype(np.int64)) + rho[a] + rho[b]
+        most = most_difference((n[a] + n[b]).astype(np.int64), least) + rho[a] + rho[b]
         near = bits.distance(a, b) <= most
         yield a[near], b[near]
 
 
-def candidate_links(entries: DataFrame) -> DataFrame:
+def candidate_links(entries: DataFrame, least=LEAST) -> DataFrame:
     """(a, b) group links: per meeting (token, ta, tb) a spanning forest of the pairs that pass."""
     def run(parts):
         for t in runs(parts, 3):
@@ -292,12 +292,12 @@ def candidate_links(entries: DataFrame) -> DataFrame:
             out = []
             small = np.flatnonzero(~large)
             if len(small):
-                for a, b in near_pairs(key[small], cols["n"][small], cols["rho"][small], Bitmaps([blobs[x] for x in small]), side[small]):
+                for a, b in near_pairs(key[small], cols["n"][small], cols["rho"][small], Bitmaps([blobs[x] for x in small]), side[small], least):
                     out.append((small[a], small[b]))
             for k in np.flatnonzero(length > SMALL).tolist():
                 mine = np.arange(np.searchsorted(key, k), np.searchsorted(key, k, side="right"))
                 label = np.arange(len(mine))
-                for a, b in near_pairs(key[mine], cols["n"][mine], cols["rho"][mine], Bitmaps([blobs[x] for x in mine]), side[mine]):
+                for a, b in near_pairs(key[mine], cols["n"][mine], cols["rho"][mine], Bitmaps([blobs[x] for x in mine]), side[mine], least):
                     apart = label[a] != label[b]
                     for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
                         if label[x] != label[y]:
@@ -311,7 +311,7 @@ def candidate_links(entries: DataFrame) -> DataFrame:
     return near.select("token", "ta", "tb", "n", "gkey", "rho", "tile", "bits").mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(sets: list[np.ndarray]) -> np.ndarray:
+def linked(sets: list[np.ndarray], least=LEAST) -> np.ndarray:
     """Label (index of a member) per set: components of the exact links."""
     size = np.array([len(s) for s in sets], np.int64)
     label = np.full(len(sets), -1)
@@ -345,14 +345,14 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
             at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
             common = np.bincount(who[at], minlength=len(sets))
             union = size + size[x] - common
-            near = np.flatnonzero(open_ & (common > 0) & (LEAST[1] * common >= LEAST[0] * union))
+            near = np.flatnonzero(open_ & (common > 0) & (least[1] * common >= least[0] * union))
             open_[near] = False
             label[near] = start
             queue += near.tolist()
     return label
 
 
-def verified_links(texts: DataFrame, words: int = WORDS) -> DataFrame:
+def verified_links(texts: DataFrame, words: int = WORDS, least=LEAST) -> DataFrame:
     """(a, b) node links inside (comp, ta, tb): a star per component of exact links."""
     def run(parts):
         for t in runs(parts, 3):
@@ -373,7 +373,7 @@ def verified_links(texts: DataFrame, words: int = WORDS) -> DataFrame:
                             sets.append(s)
                             names.append(node[k])
                 if len(sets) > 1:
-                    label = linked(sets)
+                    label = linked(sets, least)
                     names = np.array(names)
                     far = np.flatnonzero(label != np.arange(len(label)))
                     out.append((names[label[far]], names[far]))
@@ -392,12 +392,12 @@ def tiled(df: DataFrame, tiles, name: str) -> DataFrame:
     return df.withColumn("ta", F.least("tile", "_other")).withColumn("tb", F.greatest("tile", "_other")).drop("_tiles", "_other")
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least=LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id and set_hash (equal for equal sets) of every row."""
     ship_package(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     frequent = frequent_shingles(docs.select("text"), words)
-    rows = staged(signatures(docs, frequent, words), "join-signatures")
+    rows = staged(signatures(docs, frequent, words, least), "join-signatures")
 
     group = staged(groups(rows.where("n > 0").select("gkey", "node", "n", "prefix", "bits")), "join-groups")
     token = group.select("gkey", F.explode("prefix").alias("token"))
@@ -405,7 +405,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     entries = shared.join(group.select("gkey", "n", "rho", "bits"), "gkey")
     entries = tiled(entries, F.ceil(F.col("df") / TILE), "gkey")
     several = group.where("nodes > 1").select(F.col("gkey").alias("a"), F.col("gkey").alias("b"))
-    loose = components(candidate_links(entries).union(several))
+    loose = components(candidate_links(entries, least).union(several))
 
     node = rows.where("n > 0").groupBy("node").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("gkey").alias("gkey"), F.first("n").alias("n"))
@@ -417,7 +417,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     member = tiled(member, F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)), "node")
     # by sorted shuffles at every size: the members grow with the input
     texts = docs.join(member.select("id", "node", "comp", "ta", "tb").hint("merge"), "id")
-    link = staged(verified_links(texts, words), "join-links")
+    link = staged(verified_links(texts, words, least), "join-links")
 
     root = components(link).withColumnRenamed("v", "node")
     least = node.join(root, "node")
@@ -434,9 +434,9 @@ def digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return classes(df, doc_id, text).drop("set_hash")
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least=LEAST) -> DataFrame:
     """The row with the smallest id of every class, all columns; rows without an id stay."""
-    kept = classes(df, doc_id, text).where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")).distinct()
+    kept = classes(df, doc_id, text, words, least).where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")).distinct()
     rows = df.select(F.struct("*").alias("_r"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     met = rows.join(kept, rows["_id"] == kept["_kept"])
     # equal texts of a kept id: one row of them
