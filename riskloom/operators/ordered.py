@@ -19,6 +19,8 @@ is partitioned.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import nextafter
+from os.path import commonprefix
 
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
@@ -129,7 +131,36 @@ def with_quantile_bucket(df: DataFrame, col: str, n_buckets: int,
     The split points are approximate quantiles (one aggregate job; ``n_buckets`` numbers come
     back to the driver). Any split points keep the order exact; quantiles keep buckets even.
     """
-    return with_bucket_splits(df, col, quantile_splits(df, col, n_buckets, relative_error), out)
+    d = with_bucket_splits(df, col, quantile_splits(df, col, n_buckets, relative_error), out)
+    return _resplit_text(d, col, n_buckets, out) if n_buckets > 1 and dict(df.dtypes)[col] == "string" else d
+
+
+REFINE_BYTES = 4  # with a bucket number below 2**21, exact in a double
+
+
+def _resplit_text(d: DataFrame, col: str, n_buckets: int, out: str) -> DataFrame:
+    """Split a text key's buckets by the bytes after each bucket's own common prefix, until none
+    with different keys holds more than twice its share. A heavy run of equal bytes is a split
+    point, and with the next number after it a bucket of its own, so each round reads further. A row
+    per bucket comes to the driver."""
+    spark, before = d.sparkSession, None
+    while True:
+        info = d.groupBy(out).agg(F.count(col).alias("n"), F.min(col).alias("low"), F.max(col).alias("high")).collect()
+        share = sum(r["n"] for r in info) / n_buckets
+        large = sorted((r["low"], r["high"]) for r in info if r["n"] > 2 * share + 1 and r["low"] != r["high"])
+        if not large or large == before:
+            return d
+        before = large
+        own = [(r[out], len(commonprefix([(r["low"] or "").encode(), (r["high"] or "").encode()]))) for r in info]
+        at = spark.createDataFrame(own, "_ob int, _op int")
+        head = F.substring(F.col(col).cast("binary"), F.col("_op") + 1, F.lit(REFINE_BYTES))
+        place = F.conv(F.rpad(F.hex(head), 2 * REFINE_BYTES, "0"), 16, 10).cast("double")
+        d = (d.join(at, d[out] == at["_ob"], "left")
+             .withColumn("_oq_text", F.col(out) * F.lit(float(1 << 8 * REFINE_BYTES)) + place).drop("_ob", "_op", out))
+        cuts = quantile_splits(d, "_oq_text", n_buckets)
+        inner = [c for c in cuts if abs(c) != float("inf")]
+        cuts = Splits([float("-inf"), *sorted({*inner, *(nextafter(c, float("inf")) for c in inner)}), float("inf")])
+        d = with_bucket_splits(d, "_oq_text", cuts, out).drop("_oq_text")
 
 
 def _local(kind: str, expr: Column, frame) -> Column:
