@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.split import expand_folds, stratified_kfold
 from riskloom.sources.fixtures import app_view
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_stratified_folds_balanced(spark):

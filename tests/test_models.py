@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import interact as I
 from riskloom.plans import models as Mo
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_fm_second_order_equals_pair_sum(spark):

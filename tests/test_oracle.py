@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 from oracle_compare import compare, duck
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 SAMPLE = ["app_fixture", "freq_dictionary", "backfill_global", "backfill_by_key", "prepare_train",
           "stratified_kfold", "auc_exact", "auc_thresholded", "early_stop_epoch", "feature_dictionary",

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from riskloom.operators import dictionary as D
 from riskloom.operators import metrics as M
 from riskloom.operators import ordered
