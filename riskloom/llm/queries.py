@@ -73,6 +73,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vector_codes
+    return vector_codes.digest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+    return simhash.digest(_documents(spark, sf_dir))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+    return divergence.digest(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -80,4 +95,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_exact_top_k, op3_fingerprints, op4_sharding, op5_language_id,
-                                    op6_source_mix, op7_ngram_jaccard_join, op8_lm_score, op9_byte_bpe, op10_toxicity, pipeline)}
+                                    op6_source_mix, op7_ngram_jaccard_join, op8_lm_score, op9_byte_bpe, op10_toxicity,
+                                    op11_vector_codes, op12_simhash, op13_source_divergence, pipeline)}
