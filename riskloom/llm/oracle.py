@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secret_scan import ACCESS, ALLOWED, ASSIGN, CLASSES, HEX, KINDS, MIN_ASSIGNED, WINDOW, clog2, sum_limit
+from .secret_scan import ACCESS, ALLOWED, ASSIGN, CLASSES, HEX, KINDS, MIN_ASSIGNED, PLACEHOLDERS, WINDOW, any_case, clog2, sum_limit
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -13,21 +13,24 @@ def _q(s: str) -> str:
 
 def secret_scan() -> str:
     """Windows are enumerated and counted from scratch here, one row per window and symbol."""
-    def matches(kind: str, pattern: str) -> str:
+    def matches(kind: str, pattern: str, t: str = "t") -> str:
         return f"""
 SELECT doc_id, {KINDS.index(kind)} AS k, unnest(range(len(m))) AS i, unnest(m) AS s,
        unnest(list_transform(range(len(m)), lambda i: list_sum(list_transform(g[1:i + 1], lambda x: length(x)))
               + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0)))::BIGINT AS a
-FROM (SELECT doc_id, regexp_extract_all(t, {_q(pattern)}, 0) AS m, string_split_regex(t, {_q(pattern)}) AS g
-      FROM docs WHERE regexp_matches(t, {_q(pattern)}))"""
+FROM (SELECT doc_id, regexp_extract_all({t}, {_q(pattern)}, 0) AS m, string_split_regex({t}, {_q(pattern)}) AS g
+      FROM docs WHERE regexp_matches({t}, {_q(pattern)}))"""
 
     base = "\nUNION ALL\n".join(matches(k, p) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)))
-    cand = "\nUNION ALL\n".join(matches(k, c[1]) for k, c in CLASSES.items())
+    cand = "\nUNION ALL\n".join(matches(k, c[1], "clean") for k, c in CLASSES.items())
     limit = "CASE k " + " ".join(f"WHEN {KINDS.index(k)} THEN {sum_limit(c[2])}" for k, c in CLASSES.items()) + " END"
+    clean = "coalesce(text, '')"
+    for word in PLACEHOLDERS:
+        clean = f"regexp_replace({clean}, {_q(any_case(word))}, {_q(' ' * len(word))}, 'g')"
     names = "[" + ", ".join(_q(k) for k in KINDS) + "]"
     shown = f"({names})[k + 1] || ':' || a || ':' || e"
     return f"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, {clean} AS clean FROM documents),
 found AS ({base}),
 base AS (SELECT doc_id, k, a, a + length(s) AS e FROM found
          WHERE k <> 0 OR length(regexp_extract(s, {_q("^" + ASSIGN + "$")}, 2)) >= {MIN_ASSIGNED}),

@@ -39,10 +39,10 @@ CLASSES = {
                 r"[A-Za-z0-9+/_-]{%d,}" % WINDOW, 3.65),
     "ent_hex": ("0123456789abcdefABCDEF", r"[0-9a-fA-F]{%d,}" % WINDOW, 3.0),
 }
-# Allow-list: words joined by - _ / or +, plain numbers, and placeholders.
-ALLOWED = (r"^[0-9]+$|^([A-Z]?[a-z]+|[A-Z]+)([-_/+]+([A-Z]?[a-z]+|[A-Z]+))*$"
-           r"|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]"
-           r"|[Cc][Hh][Aa][Nn][Gg][Ee][Mm][Ee]|[Xx]{6,}")
+# Allow-list: words joined by - _ / or +, and plain numbers.
+ALLOWED = r"^[0-9]+$|^([A-Z]?[a-z]+|[A-Z]+)([-_/+]+([A-Z]?[a-z]+|[A-Z]+))*$"
+# Placeholders, in either case: no window holds a part of one.
+PLACEHOLDERS = ("placeholder", "changeme", "example", "xxxxxx")
 
 SPAN = "struct<start:int,rank:int,end:int>"
 SPANS = f"array<{SPAN}>"
@@ -144,6 +144,18 @@ def _entropy_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS)).cast(SPANS)
 
 
+def any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" for c in word)
+
+
+def blanked(text: Column) -> Column:
+    """The text with a blank for every character of a placeholder, so that positions stay."""
+    clean = text
+    for word in PLACEHOLDERS:
+        clean = F.regexp_replace(clean, any_case(word), " " * len(word))
+    return F.when(text.rlike("|".join(map(any_case, PLACEHOLDERS))), clean).otherwise(text)
+
+
 def base_spans(text: Column) -> Column:
     assign = _plain_spans(text, "assign", ASSIGN,
                           lambda m: F.length(F.regexp_extract(m, f"^{ASSIGN}$", 2)) >= MIN_ASSIGNED)
@@ -162,7 +174,8 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataF
     sorted). Code points, end exclusive."""
     t = df.select(*[column(k) for k in keep], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     t = t.withColumn("base", base_spans(F.col("_text")))
-    t = t.withColumn("_ent", F.concat(*[_entropy_spans(F.col("_text"), k) for k in CLASSES]))
+    t = t.withColumn("_clean", blanked(F.col("_text")))
+    t = t.withColumn("_ent", F.concat(*[_entropy_spans(F.col("_clean"), k) for k in CLASSES]))
     extra = F.filter(F.col("_ent"), lambda e: ~F.exists(
         F.col("base"), lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
     return t.select(*keep, F.col("_text").alias("scanned_text"), "base",
