@@ -27,8 +27,9 @@ an empty table gives no rows; other columns are ignored. Sets are compared by 64
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -68,6 +69,23 @@ def shingle_sets(texts: list[bytes], words: int = WORDS):
             yield np.zeros(0, U)
 
 
+def set_hash(s: np.ndarray) -> int:
+    """Of a sorted set that is not empty; equal for equal sets."""
+    place = np.arange(1, len(s) + 1, dtype=U)
+    return int(mix(np.array([np.bitwise_xor.reduce(mix(s * U(0x9E3779B97F4A7C15) + place)) + U(len(s))], U)).view(np.int64)[0])
+
+
+def set_hashes(text: Column, words: int = WORDS) -> Column:
+    """The set hash of every text; null without words."""
+    @F.pandas_udf("bigint")
+    def run(texts: pd.Series) -> pd.Series:
+        data = [t.encode() for t in texts.fillna("")]
+        return pd.Series([set_hash(s) if len(s) else None for i, j in batches(data) for s in shingle_sets(data[i:j], words)],
+                         dtype="Int64")
+
+    return run(text)
+
+
 def prefix_size(n: int, least=LEAST) -> int:
     return n - -(-least[0] * n // least[1]) + 1 if n else 0
 
@@ -149,9 +167,8 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, least=
                         last = s[often][np.argsort(rank[at[often]])]
                         rare = np.concatenate([rare, last[:size - len(rare)]])
                     place = np.arange(1, n + 1, dtype=U)
-                    node = mix(np.array([np.bitwise_xor.reduce(mix(s * U(0x9E3779B97F4A7C15) + place)) + U(n)], U))
                     head = mix(np.array([np.bitwise_xor.reduce(mix(rare + place[:size])) + U(n)], U))
-                    rows.append((n, int(node.view(np.int64)[0]), int(head.view(np.int64)[0]),
+                    rows.append((n, set_hash(s), int(head.view(np.int64)[0]),
                                  rare.view(np.int64), bitmap(s).tobytes()))
             n, node, gkey, prefix, bits = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -365,10 +382,8 @@ def verified_links(texts: DataFrame, words: int = WORDS, least=LEAST) -> DataFra
                 data = t.column("text").slice(a, b - a).cast(pa.binary()).to_pylist()
                 for i, j in batches(data):
                     for k, s in enumerate(shingle_sets(data[i:j], words), a + i):
-                        place = np.arange(1, len(s) + 1, dtype=U)
-                        own = mix(np.array([np.bitwise_xor.reduce(mix(s * U(0x9E3779B97F4A7C15) + place)) + U(len(s))], U))
                         # rows of the same id with another text came along: not this node
-                        if len(s) and int(own.view(np.int64)[0]) == node[k] and node[k] not in seen:
+                        if len(s) and set_hash(s) == node[k] and node[k] not in seen:
                             seen.add(node[k])
                             sets.append(s)
                             names.append(node[k])
@@ -393,7 +408,8 @@ def tiled(df: DataFrame, tiles, name: str) -> DataFrame:
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least=LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id and set_hash (equal for equal sets) of every row."""
+    """doc_id, n_shingles, component_id, set_hash (equal for equal sets) and class_hash (equal for
+    linked sets; component_id is too, but repeated ids may share it) of every row."""
     ship_package(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     frequent = frequent_shingles(docs.select("text"), words)
@@ -420,26 +436,35 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     link = staged(verified_links(texts, words, least), "join-links")
 
     root = components(link).withColumnRenamed("v", "node")
-    least = node.join(root, "node")
-    named = least.groupBy("root").agg(F.min("id").alias("component_id"))
-    ids = least.select("node", "root").join(named, "root").select("node", "component_id")
+    met = node.join(root, "node")
+    named = met.groupBy("root").agg(F.min("id").alias("component_id"))
+    ids = met.select("node", "root").join(named, "root").select("node", "root", "component_id")
     known = (node.where("copies > 1").select("node", F.col("id").alias("_own")).join(ids, "node", "full")
-             .select("node", F.coalesce("component_id", "_own").alias("component_id")))
+             .select("node", "root", F.coalesce("component_id", "_own").alias("component_id")))
     out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(known, "node", "left")
     return out.select(F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"),
-                      F.coalesce("component_id", "id").alias("component_id"), F.col("node").alias("set_hash"))
+                      F.coalesce("component_id", "id").alias("component_id"), F.col("node").alias("set_hash"),
+                      F.coalesce("root", "node").alias("class_hash"))
 
 
 def digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return classes(df, doc_id, text).drop("set_hash")
+    return classes(df, doc_id, text).drop("set_hash", "class_hash")
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least=LEAST) -> DataFrame:
-    """The row with the smallest id of every class, all columns; rows without an id stay."""
-    kept = classes(df, doc_id, text, words, least).where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")).distinct()
-    rows = df.select(F.struct("*").alias("_r"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    met = rows.join(kept, rows["_id"] == kept["_kept"])
-    # equal texts of a kept id: one row of them
-    twin = Window.partitionBy("_id", "_text").orderBy(F.xxhash64("_r"))
-    first = met.withColumn("_no", F.row_number().over(twin)).where("_no = 1").select("_r.*")
-    return first.unionByName(df.where(F.col(doc_id).isNull()))
+    """One row of every class, all columns: of the rows with the class's smallest id whose own set
+    is in the class, one (the smallest by hash, if there are several). Rows without an id and rows
+    without words stay."""
+    own = classes(df, doc_id, text, words, least).where(F.col("set_hash").isNotNull() & (F.col(doc_id) == F.col("component_id")))
+    found = own.groupBy("class_hash", "set_hash").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("id"))
+    # an id with several texts of one class: the smallest set stands for the class
+    first = F.min(F.struct(F.col("set_hash").alias("_set"), F.col("n").alias("_rows"), F.col("id").alias("_first"))).alias("k")
+    kept = staged(found.groupBy("class_hash").agg(first).select("k.*"), "join-kept")
+    rows = df.select(F.struct("*").alias("_r"), F.col(doc_id).alias("_id"), set_hashes(F.col(text), words).alias("_own"))
+    met = rows.join(kept.where("_rows = 1"), (F.col("_id") == F.col("_first")) & (F.col("_own") == F.col("_set")), "left")
+    out = met.where(F.col("_id").isNull() | F.col("_own").isNull() | F.col("_first").isNotNull()).select("_r.*")
+    repeated = kept.where("_rows > 1")
+    if not repeated.isEmpty():
+        same = rows.join(repeated, (F.col("_id") == F.col("_first")) & (F.col("_own") == F.col("_set")))
+        out = out.unionByName(same.groupBy("_first", "_set").agg(F.min_by("_r", F.xxhash64("_r")).alias("_r")).select("_r.*"))
+    return out

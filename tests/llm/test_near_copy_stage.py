@@ -55,3 +55,19 @@ def test_near_copy_stage_matches_brute_force(spark):
         kept = first_of_each(rows, 5, 80)
         assert kept != first_of_each(rows, 3, 90)
         assert sorted(r["doc_id"] for r in C.drop_near_copies(spark, df, SF).collect()) == kept
+
+
+def test_one_id_on_several_texts_and_repeated_rows(spark):
+    """Rows are chosen by id and class: a copy does not stay because its id is the first of another class."""
+    t, u, v = (" ".join(f"{c}{i}" for i in range(30)) for c in "tuv")
+    rows = [(2, t), (5, t), (5, u), (5, u), (6, u.upper()), (7, v), (7, v + " end"), (8, v), (9, ""), (9, None), (9, None), (None, t), (None, None)]
+    out = C.drop_near_copies(spark, frame(spark, [(i, x, "en", None) for i, x in rows]), SF).collect()
+    got = Counter((r["doc_id"], (r["text"] or "").split()[:1] == ["v0"] or r["text"]) for r in out)
+    assert got == Counter([(2, t), (5, u), (7, True), (9, ""), (9, None), (9, None), (None, t), (None, None)])
+
+
+def test_a_row_that_is_a_third_of_the_table(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, t, "en", "a")] * 300 + [(1, f"only {i} of its own kind here", "en", "a") for i in range(300)] + [(2000 + i, t, "en", "b") for i in range(300)]
+    out = C.drop_near_copies(spark, frame(spark, rows), SF).collect()
+    assert Counter(r["text"] for r in out) == Counter({t: 1} | {f"only {i} of its own kind here": 1 for i in range(300)})

@@ -44,7 +44,8 @@ def test_whole_run_follows_its_stages(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     scores = {r["doc_id"]: r["predicted"] for r in toxicity.digest(docs, labels).collect()}
     kept = docs.where(F.col("doc_id").isin([i for i, p in scores.items() if not p]))
-    classes = {r["doc_id"]: r["component_id"] for r in jaccard_join.digest(kept).collect()}
+    near = jaccard_join.classes(kept, words=C.NEAR_WORDS, least=C.NEAR_LEAST)
+    classes = {r["doc_id"]: r["component_id"] for r in near.collect()}
     first = kept.where(F.col("doc_id").isin([i for i, c in classes.items() if i == c]))
     clean = C.redact_secrets(spark, first, SF)
     sizes = {r["doc_id"]: len(words(r["text"])) for r in clean.collect()}
@@ -55,7 +56,8 @@ def test_whole_run_follows_its_stages(spark):
     assert all(list(r["ids"]) == ids[r["doc_id"]] and r["n_tokens"] == len(r["ids"]) for r in got)
 
 
-@pytest.mark.parametrize("name", ["op1_secret_scan", "op2_exact_top_k", "op7_ngram_jaccard_join"])
+@pytest.mark.parametrize("name", ["op1_secret_scan", "op2_exact_top_k", "op7_ngram_jaccard_join", "op11_vector_codes",
+                                  "op13_source_divergence"])
 def test_queries_match_their_sql(spark, name):
     import __spark_entry__ as E
     from oracle_compare import compare, duck
