@@ -24,6 +24,7 @@ vocabulary's own scores are the model; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import zlib
 
 import numpy as np
@@ -302,7 +303,9 @@ def score(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: s
     ship_package(spark)
     held_out = F.lit(False) if held_out is None else held_out
     docs = df.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    vocabulary.learned(*expected_counts(docs.where(~F.col("held_out")), "text", vocabulary))
+    counts = expected_counts(docs.where(~F.col("held_out")), "text", vocabulary)
+    vocabulary = copy.copy(vocabulary)  # the caller's stays as it is
+    vocabulary.learned(*counts)
     shared = spark.sparkContext.broadcast(vocabulary)
     buckets = shuffle_partitions(spark)
     id_type = dict(docs.dtypes)["doc_id"]
