@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..roles import Roles
 from ..session import default_buckets
 from . import ordered
-from .joins import materialize, sized_join
+from .joins import lookup_join, materialize
 
 
 def value_counts(df: DataFrame, col: str, order_key: str) -> DataFrame:
@@ -68,7 +68,7 @@ def apply_dictionary(df: DataFrame, col: str, dictionary: DataFrame, out: str |
     key = F.col(col)
     if dict(lookup.dtypes)["_dv"] != dict(df.dtypes)[col]:
         key = key.cast(dict(lookup.dtypes)["_dv"])
-    joined = sized_join(df, lookup, key == F.col("_dv"), "left", right_rows=dict_rows)
+    joined = lookup_join(df, lookup, key, "_dv", right_rows=dict_rows)
     cols = [F.col("_dc").alias(out) if c == out else F.col(c) for c in df.columns]
     if out not in df.columns:
         cols.append(F.col("_dc").alias(out))

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dictionary import FeatureDictionary, impute_id
-from .joins import MAX_BROADCAST_BYTES, sized_join, table_bytes
+from .joins import MAX_BROADCAST_BYTES, lookup_join, table_bytes
 
 
 def lookup_ids(df: DataFrame, fd: FeatureDictionary, seed: int = 42,
                impute: bool = True) -> DataFrame:
     """Add ``_id_<field>`` for every categorical field: the value's feature id, or (unseen /
     null) the field's seeded smallest-or-largest id. One lookup join per field; a lookup side is
-    broadcast only while all broadcast sides together stay within the bound."""
+    broadcast only while all broadcast sides together stay within the bound. Beyond it the rows
+    are staged, nulls and heavy values keep out of the shuffle, and the rest is joined by it."""
     out = df
     room = MAX_BROADCAST_BYTES
     for f in fd.fields:
@@ -21,8 +22,7 @@ def lookup_ids(df: DataFrame, fd: FeatureDictionary, seed: int = 42,
             continue
         lookup = (fd.table.where((F.col("field") == f) & (F.col("kind") == "categorical"))
                   .select(F.col("value").alias(f"_v_{f}"), F.col("feature_id").alias(f"_id_{f}")))
-        out = sized_join(out, lookup, F.col(f).cast("string") == F.col(f"_v_{f}"), "left",
-                         right_rows=fd.sizes[f], max_broadcast_bytes=room).drop(f"_v_{f}")
+        out = lookup_join(out, lookup, F.col(f).cast("string"), f"_v_{f}", right_rows=fd.sizes[f], max_broadcast_bytes=room)
         if table_bytes(lookup, fd.sizes[f]) <= room:
             room -= table_bytes(lookup, fd.sizes[f])
         if impute:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import array_softmax
-from .joins import sized_join
+from .joins import lookup_join
 
 LN_EPS = 1e-12
 
@@ -134,10 +134,13 @@ def embedding_table(spark, emb: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pdf, "feature_id bigint, w array<double>")
 
 
-def embedding_lookup(long: DataFrame, emb_table: DataFrame, emb_rows: int | None = None) -> DataFrame:
+def embedding_lookup(long: DataFrame, emb_table: DataFrame, emb_rows: int | None = None,
+                     emb_width: int | None = None) -> DataFrame:
     """Gather: (key, field, feature_id, value) ⋈ (feature_id, w array): one row per (key, field).
-    The weight table is broadcast only after its size is checked."""
-    return sized_join(long, emb_table, "feature_id", "inner", right_rows=emb_rows)
+    The weight table is broadcast only after its size is checked; beyond that, ids that many records
+    hold (a numeric field's id is in all of them) keep out of the shuffle."""
+    return lookup_join(long, emb_table, "feature_id", "feature_id", "inner", right_rows=emb_rows,
+                       row_bytes=emb_width and 32 + 8 * emb_width)
 
 
 def embedding_scaled(looked_up: DataFrame) -> DataFrame:

@@ -85,11 +85,12 @@ def skew_lookup(left: DataFrame, right: DataFrame, left_key: Column | str, right
 
 def lookup_join(left: DataFrame, right: DataFrame, left_key: Column | str, right_key: str, how: str = "left",
                 right_rows: int | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-                share: float = HEAVY_SHARE) -> DataFrame:
-    """A lookup on a unique key: ``right`` is broadcast while its reckoned bytes are within the
-    bound; beyond it ``left`` is staged and goes by ``skew_lookup``. ``right_key`` is dropped."""
+                share: float = HEAVY_SHARE, row_bytes: int | None = None) -> DataFrame:
+    """A lookup on a unique key: ``right`` is broadcast while its reckoned bytes (``row_bytes`` a
+    row, where the caller knows them) are within the bound; beyond it ``left`` is staged and goes by
+    ``skew_lookup``. ``right_key`` is dropped."""
     n = right.count() if right_rows is None else right_rows
-    if table_bytes(right, n) <= max_broadcast_bytes:
+    if (n * row_bytes if row_bytes else table_bytes(right, n)) <= max_broadcast_bytes:
         k = F.col(left_key) if isinstance(left_key, str) else left_key
         right = right.withColumnRenamed(right_key, "_rk")
         return left.join(F.broadcast(right), k.cast(dict(right.dtypes)["_rk"]) == F.col("_rk"), how).drop("_rk")

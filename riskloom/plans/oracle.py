@@ -514,7 +514,7 @@ UNION ALL
 SELECT loan_id, NULL FROM rec GROUP BY loan_id HAVING count(xv) < 10"""
 
 
-def _deepfm_sql(layers=(32, 32), F_=10, K_=8) -> str:
+def _deepfm_sql(layers=(32, 32), F_=10, K_=8, fm=True, deep=True) -> str:
     ctes = [f"""ln AS (SELECT loan_id, f, k, {w_ln("(v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-12)", "k")} AS v
        FROM e WINDOW w AS (PARTITION BY loan_id, f))""",
             f"y1 AS (SELECT loan_id, f AS i, {w_first('fid')} * xv AS x FROM rec)",
@@ -526,8 +526,9 @@ def _deepfm_sql(layers=(32, 32), F_=10, K_=8) -> str:
          greatest(sum(h.x * {w_dense(l, 'h.d', 'j.j')}) + {w_bias(l, 'j.j')}, 0) AS x
        FROM h{l} h CROSS JOIN (SELECT range AS j FROM range(0, {width})) j GROUP BY h.loan_id, j.j)""")
     last = len(layers)
-    ctes.append(f"""cat AS (SELECT loan_id, i, x FROM y1 UNION ALL SELECT loan_id, i, x FROM y2
-       UNION ALL SELECT loan_id, {F_ + K_} + d, x FROM h{last})""")
+    parts = ["SELECT loan_id, i, x FROM y1", "SELECT loan_id, i, x FROM y2"] if fm else []
+    parts += [f"SELECT loan_id, {F_ + K_ if fm else 0} + d AS i, x FROM h{last}"] if deep else []
+    ctes.append(f"cat AS ({' UNION ALL '.join(parts)})")
     ctes.append(f"z AS (SELECT loan_id, sum(x * {w_dense(9, 'i', 0)}) + 0.01 AS z FROM cat GROUP BY loan_id)")
     return ",\n".join(ctes)
 
@@ -537,6 +538,12 @@ SQL["score_deepfm"] = f"""WITH {REC},
 SELECT z.loan_id, CASE WHEN nn.nn < 10 THEN NULL ELSE round(1 / (1 + exp(-z)), {R}) END AS score
 FROM z JOIN nn USING (loan_id)"""
 
+for _name, _on in (("score_fm_only", {"deep": False}), ("score_deep_only", {"fm": False})):
+    SQL[_name] = f"""WITH {REC},
+{_deepfm_sql(**_on)}
+SELECT z.loan_id, CASE WHEN nn.nn < 10 THEN NULL ELSE round(1 / (1 + exp(-z)), {R}) END AS score
+FROM z JOIN nn USING (loan_id)"""
+
 _AFM = f"""y1 AS (SELECT loan_id, sum({w_first('fid')} * xv * {w_dense(20, 'f', 0)}) + {w_bias(20, 0)} AS y
        FROM rec GROUP BY loan_id),
 fm2 AS (SELECT loan_id, k, 0.5 * (sum(v) * sum(v) - sum(v * v)) AS x FROM e GROUP BY loan_id, k),
@@ -699,6 +706,29 @@ UNION ALL SELECT 'bout', -1, round(sum(dz), 4) FROM d
 UNION ALL SELECT 'w1', i, round(coalesce(v, 0), 4) FROM (SELECT range AS i FROM range(0, (SELECT sum(size) FROM fd_sizes)::BIGINT)) r
 LEFT JOIN g ON g.fid = r.i"""
 
+_DZ = """d AS (SELECT *, 2 * (-y / (p + 1e-7) + (1 - y) / (1 - p + 1e-7)) * p * (1 - p) AS dz FROM s)"""
+_IDS = "(SELECT range AS i FROM range(0, (SELECT sum(size) FROM fd_sizes)::BIGINT)) r"
+SQL["gradient_step_sparse"] = f"""SELECT * FROM (WITH {REC0},
+{_AFM},
+s AS (SELECT y1.loan_id, en.label AS y, 1 / (1 + exp(-(y1.y + y2.y + ya.y))) AS p
+      FROM y1 JOIN y2 USING (loan_id) JOIN ya USING (loan_id) JOIN enc en ON en.loan_id = y1.loan_id),
+{_DZ},
+sk AS (SELECT loan_id, k, sum(v) AS s FROM e GROUP BY loan_id, k),
+g AS (SELECT e.fid, e.k, sum(d.dz * ({w_dense(21, 'e.k', 0)} + {w_dense(22, 'e.k', 0)}) * (sk.s - e.v) * rec.xv) AS g
+      FROM e JOIN d USING (loan_id) JOIN sk ON sk.loan_id = e.loan_id AND sk.k = e.k
+      JOIN rec ON rec.loan_id = e.loan_id AND rec.f = e.f GROUP BY e.fid, e.k
+      UNION ALL SELECT fid, 8, sum(dz * {w_dense(20, 'f', 0)} * xv) FROM rec JOIN d USING (loan_id) GROUP BY fid)
+SELECT 'afm' AS model, r.i AS feature_id, kk.k, round(CASE WHEN kk.k < 8 THEN {w_emb('r.i', 'kk.k')} ELSE {w_first('r.i')} END
+         - coalesce(g.g, 0) / (SELECT count(*) FROM d), {R}) AS w
+FROM {_IDS} CROSS JOIN (SELECT range AS k FROM range(0, 9)) kk LEFT JOIN g ON g.fid = r.i AND g.k = kk.k)
+UNION ALL SELECT * FROM (WITH {REC0},
+{_deepfm_sql()},
+s AS (SELECT z.loan_id, en.label AS y, 1 / (1 + exp(-z)) AS p FROM z JOIN enc en ON en.loan_id = z.loan_id),
+{_DZ},
+g AS (SELECT fid, sum(dz * {w_dense(9, 'f', 0)} * xv) AS g FROM rec JOIN d USING (loan_id) GROUP BY fid)
+SELECT 'deepfm' AS model, r.i AS feature_id, 8 AS k, round({w_first('r.i')} - coalesce(g.g, 0) / (SELECT count(*) FROM d), {R}) AS w
+FROM {_IDS} LEFT JOIN g ON g.fid = r.i)"""
+
 _HEAD_AUC = """b{h} AS (SELECT least(greatest(1, CAST(ceil(round(s{h} * 199, 9)) AS INTEGER)), 200) AS b,
              sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM s GROUP BY 1),
 c{h} AS (SELECT j, coalesce(sum(pos), 0) AS tp, coalesce(sum(neg), 0) AS fp

@@ -548,14 +548,35 @@ def score_deepfm(spark, sf):
     return _scored(spark, sf, "deepfm")
 
 
+def _scored_part(spark, sf, **switches):
+    """DeepFM with one of its branches alone."""
+    from dataclasses import replace
+
+    from .models import parity_params
+    from .score import score_batch
+    enc, dims, _ = _model_inputs(spark, sf, "deepfm")
+    dims = replace(dims, **switches)
+    return finalize(score_batch(enc, "deepfm", parity_params("deepfm", dims), dims, "loan_id"))
+
+
+@query
+def score_fm_only(spark, sf):
+    return _scored_part(spark, sf, use_deep=False)
+
+
+@query
+def score_deep_only(spark, sf):
+    return _scored_part(spark, sf, use_fm=False)
+
+
 @query
 def score_deepfm_joined(spark, sf):
     """The same scores with the feature weights joined instead of broadcast."""
-    import numpy as np
-    from ..operators import interact as I
+    from . import models
     from .score import score_joined
+    from .sparse_train import formula_weights
     enc, dims, p = _model_inputs(spark, sf, "deepfm")
-    table = I.embedding_table(spark, np.column_stack([p["emb"], p["w1"]]))
+    table = formula_weights(spark, dims.feature_dim, models.f_emb, models.f_w1, dims.emb_dim)
     dense = {k: v for k, v in p.items() if k not in ("emb", "w1")}
     return finalize(score_joined(enc, "deepfm", dense, table, dims, "loan_id"))
 
@@ -633,11 +654,13 @@ def apply_columns(spark, sf):
 
 @query
 def oof_assemble(spark, sf):
-    from ..operators.assemble import target_mean_oof
+    """Each fold's predictions (label means of the other folds) scattered back onto all rows."""
+    from ..operators import assemble
     app = app_view(spark, sf).select("loan_id", "industry", "is_default")
     folds = S.stratified_kfold(app, "is_default", "loan_id", K, SEED)
-    return finalize(target_mean_oof(folds, "loan_id", "industry", "is_default", "fold", K)
-                    .select("loan_id", "fold", "oof"))
+    means = assemble.target_mean_oof(folds, "loan_id", "industry", "is_default", "fold", K)
+    per_fold = [means.where(F.col("fold") == i).select("loan_id", F.col("oof").alias("pred")) for i in range(K)]
+    return finalize(assemble.oof_assemble(per_fold, folds.select("loan_id", "fold"), "loan_id"))
 
 
 @query
@@ -716,6 +739,30 @@ def gradient_step_deepfm(spark, sf):
     return finalize(spark.createDataFrame(pd.DataFrame(rows, columns=["name", "i", "value"])), 4)
 
 
+@query
+def gradient_step_sparse(spark, sf):
+    """All feature weights after one step of plain gradient descent (rate 1) over all records, kept as
+    a table: AFM's embeddings (k 0 to 7) and first order (k 8), and DeepFM's first order."""
+    import numpy as np
+
+    from ..session import shared_path
+    from ..sources.records import SlicedRecords, sink_sliced
+    from . import models
+    from .sparse_train import WeightTable, formula_weights, train_step
+    from .train import TrainConfig
+    enc, dims, _ = _model_inputs(spark, sf, "deepfm")
+    path = sink_sliced(enc.withColumn("fold", F.lit(0)), shared_path(spark, "sliced"), "loan_id", 16)
+    rows, out = SlicedRecords(spark, path), []
+    for model in ("afm", "deepfm"):
+        dense = {k: v for k, v in models.parity_params(model, dims).items() if k not in ("emb", "w1")}
+        cfg = TrainConfig(model=model, optimizer="momentum", learning_rate=1.0, dropout={})
+        table = WeightTable(formula_weights(spark, dims.feature_dim, models.f_emb, models.f_w1, dims.emb_dim), cfg)
+        train_step(rows, table, dense, tuple({k: np.zeros_like(v) for k, v in dense.items()} for _ in range(2)),
+                   "loan_id", dims, cfg, 1)
+        out.append(table.weights(2).select(F.lit(model).alias("model"), "feature_id", F.posexplode("w").alias("k", "w")))
+    return finalize(out[0].unionByName(out[1].where(F.col("k") == dims.emb_dim)))
+
+
 @query
 def mmoe_head_metrics(spark, sf):
     """Both heads' loss and AUC at the formula weights: evaluation sees what training minimises."""

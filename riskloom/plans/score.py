@@ -7,7 +7,6 @@ No shuffle, no driver round trip; the key is kept beside the score.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +27,6 @@ def _check_size(params: dict) -> None:
         raise ValueError(f"model has {n} weights, above the broadcast bound {MAX_MODEL_FLOATS}")
 
 
-def stack_records(pdf: pd.DataFrame, field_size: int):
-    xi = np.stack(pdf["xi"].to_numpy()).astype(np.int64).reshape(-1, field_size)
-    xv = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["xv"].to_numpy()]).reshape(-1, field_size)
-    return xi, xv
-
-
 def arrow_records(batch: pa.RecordBatch, field_size: int):
     """(xi, xv) of a batch as (rows, fields) arrays: the list columns' values are one buffer, so
     no row is touched by itself. Missing values become NaN."""
@@ -83,14 +76,16 @@ def score_batch(encoded: DataFrame, model: str, params: dict, dims: Dims, key: s
 def score_joined(encoded: DataFrame, model: str, dense: dict, weights: DataFrame, dims: Dims, key: str,
                  out: str = "score") -> DataFrame:
     """The scores of ``score_batch`` for feature weights of any size: ``weights`` (feature_id, w
-    array: the embedding, then the first-order weight) is joined to the records' fields, a record's
-    fields come back together, and only the dense layers are broadcast. ``key`` must be unique."""
+    array: the embedding, then the first-order weight) is looked up for the records' fields (ids
+    that many records hold keep out of the shuffle), a record's fields come back together, and only
+    the dense layers are broadcast. ``key`` must be unique."""
     from ..operators.encode import long_form
+    from ..operators.interact import embedding_lookup
     _check_size(dense)
     spark = encoded.sparkSession
     ship_package(spark)
     bc = spark.sparkContext.broadcast((model, dense, dims))
-    met = long_form(encoded, key).join(weights, "feature_id")
+    met = embedding_lookup(long_form(encoded, key), weights, emb_width=dims.emb_dim + 1)
     rows = met.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("field", "value", "w"))).alias("r"))  # a row per field
     rows = rows.select(key, F.col("r.value").alias("xv"), F.flatten("r.w").alias("w"))
 

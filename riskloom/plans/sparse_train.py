@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join, materialize, sized_join
 from ..session import ship_package
-from ..sources.files import append_history, save_params
+from ..sources.files import commit_history, save_params
 from ..sources.records import SlicedRecords
 from .models import FORWARD, GRAD, Dims, dropout_masks, init_params, mmoe_heads
 from .score import _check_size
@@ -304,5 +304,5 @@ def fit_table(train: SlicedRecords, valid: SlicedRecords, key: str, dims: Dims,
         save_params(spark, dense, {"model": cfg.model, "dims": asdict(dims)}, save_to)
         out.weights().write.mode("overwrite").parquet(f"{save_to}/features")
     if history_to and len(history):
-        append_history(spark.createDataFrame(history), history_to)
+        commit_history(spark.createDataFrame(history), history_to)
     return out

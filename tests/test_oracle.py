@@ -14,7 +14,7 @@ SAMPLE = ["app_fixture", "freq_dictionary", "backfill_global", "backfill_by_key"
           "encode_xi_xv", "fm_second_order", "score_deepfm", "sample_trials", "oof_assemble",
           "export_folds", "scan_fold", "stream_score", "auc_with_missing_scores", "scale_with_nan",
           "backfill_with_nan", "renumber_text_keys", "categorical_codes", "gradient_step_deepfm",
-          "mmoe_head_metrics", "cv_summary"]
+          "mmoe_head_metrics", "cv_summary", "gradient_step_sparse", "score_fm_only", "score_deep_only"]
 
 
 @pytest.fixture(scope="module")
