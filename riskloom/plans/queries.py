@@ -823,10 +823,10 @@ def _mllib_frame(spark, sf):
 
 
 def _gbt(spark, sf):
-    from .tune import gbt_cv
+    from .boost import BoostConfig, boost_cv
     folded, numeric, cats = _mllib_frame(spark, sf)
-    return gbt_cv(folded, "loan_id", numeric, cats, "isDefault", "fold", K,
-                  {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1}, SEED, patience=5)
+    return boost_cv(folded, "loan_id", numeric, cats, "isDefault", "fold", K,
+                    BoostConfig(rounds=20, patience=5, max_depth=4, max_bins=32, learning_rate=0.1, seed=SEED))
 
 
 @query
@@ -851,6 +851,24 @@ def _mllib(spark, sf, make):
     return finalize(M.auc_exact(oof, "p", "label", by=["fold"]))
 
 
+@query
+def network_search(spark, sf):
+    """20 sampled DeepFM settings on all folds, trained by the same passes: parameters, mean and
+    pooled AUC and the best, read back from the trial table."""
+    from ..session import shared_path
+    from ..sources.files import read_history
+    from ..sources.records import scan_fold
+    from .models import Dims
+    from .search import network_search as search
+    from .train import TrainConfig
+    ex, _ = _exported(spark, sf)
+    dims = Dims(feature_dim=ex.fd.feature_dim, field_size=ex.fd.field_size)
+    folds = [tuple(scan_fold(spark, ex.path, role, i, ex.fd.field_size) for role in ("train", "valid")) for i in range(K)]
+    path = shared_path(spark, "trials")
+    search(folds, "loan_id", dims, TrainConfig(epochs=3, steps_per_epoch=2), 20, SEED, trials_to=path)
+    return finalize(read_history(spark, path).drop("seconds"))
+
+
 @query
 def train_fm(spark, sf):
     from pyspark.ml.classification import FMClassifier

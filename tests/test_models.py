@@ -120,12 +120,6 @@ def test_fit_saves_weights_and_history_and_stops(spark, tmp_path):
     assert meta["model"] == "afm" and all(np.allclose(back[k], res.params[k]) for k in res.params)
 
 
-def test_best_round_uses_patience():
-    from riskloom.plans.tune import best_round
-    assert best_round([0.5, 0.7, 0.6, 0.6, 0.9], 2) == 1
-    assert best_round([0.5, 0.7, 0.6, 0.6, 0.9], 3) == 4
-
-
 def test_missing_level_and_indicator(spark):
     from riskloom.plans.tune import assemble_features
     df = spark.createDataFrame([(1.5, 0), (None, 2), (float("nan"), None)], "x double, c int")
