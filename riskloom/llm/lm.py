@@ -9,13 +9,13 @@ is the product over its words and one end.
    scores (forward and backward) and adds up expected counts of pieces. They come to the driver as
    one number per piece and become the model's probabilities.
 2. One pass over all texts scores them (the model is broadcast: its size is the vocabulary's), and
-   writes, per block of texts and bucket of words, the block's postings (word hash, text, times).
-   That table is staged, and its row numbers are what the next steps join on.
-3. Per bucket of words, the training counts of each word over all blocks become known, and with
-   them the partial sums of the base score of every text of every block.
-4. Partial sums are added up per block of texts.
-
-No word table is broadcast, and a word that is in every text is one posting list per block.
+   writes, per block of texts, the block's distinct words with their training counts, and its
+   postings (text and times per word). That table is staged, and its row numbers are what the next
+   steps join on.
+3. The training counts are summed by word, one row per block and word, and looked up for every
+   block's words. A word that is in every text is one row per block in both steps.
+4. Every block meets its words' counts, which give its texts' base scores. A task holds one block,
+   whatever the table's size.
 
 Defined results: null text is the empty text (one end token); ids may be null (learned from as the
 empty text is by its crc32) or repeated; an empty table gives no rows; without training texts the
@@ -28,13 +28,13 @@ import copy
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup_join
 from ..session import ship_package
-from .common import crc_of_id, shuffle_partitions, staged
+from .common import crc_of_id, staged
 from .textnp import U, Words, batches, mix, powers
 
 MARK = "▁"  # the vocabulary's word mark
@@ -42,6 +42,7 @@ PRIOR = 1_000.0  # pseudo-counts of the vocabulary's own weights
 TEXT_BYTES = 1 << 20  # texts handled together
 TYPES = 400_000  # distinct words that a task keeps before it starts afresh
 POSTINGS = 1_500_000  # tokens of a block
+COUNT_BYTES = 16 << 20  # of a table of word counts that is broadcast
 END = mix(np.array([0xE0D], U))[0]  # hash of the end token
 
 
@@ -254,7 +255,7 @@ def expected_counts(docs: DataFrame, text: str, vocabulary: Vocabulary) -> tuple
 
 
 class Block:
-    """Tokens of consecutive rows, to be written as postings per bucket of words."""
+    """Tokens of consecutive rows, to be written as postings."""
 
     def __init__(self, first: int):
         self.first, self.docs, self.tokens = first, 0, 0
@@ -267,34 +268,26 @@ class Block:
         self.docs += len(train)
         self.tokens += len(hashes)
 
-    def rows(self, buckets: int):
-        """(bucket, data) of every bucket with words."""
+    def packed(self):
+        """The block's distinct words, how often each occurs in its training texts, and its postings."""
         h, doc, train = np.concatenate(self.hash), np.concatenate(self.doc), np.concatenate(self.train)
         word, place = np.unique(h, return_inverse=True)
         pair, times = np.unique(place * np.int64(self.docs) + doc, return_counts=True)
         owner, doc = pair // self.docs, pair % self.docs
-        learned = np.bincount(owner, weights=times * train[doc], minlength=len(word)).astype(np.uint32)
-        spread = np.bincount(owner, minlength=len(word)).astype(np.uint32)
-        bucket = (word % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        begin = np.concatenate(([0], np.cumsum(spread, dtype=np.int64)))
-        for b in np.unique(bucket).tolist():
-            mine = order[np.searchsorted(bucket[order], b):np.searchsorted(bucket[order], b, side="right")]
-            size = spread[mine].astype(np.int64)
-            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[mine], size)
-            yield b, pack(word[mine], learned[mine], spread[mine], doc[at], times[at])
+        learned = np.bincount(owner, weights=times * train[doc], minlength=len(word)).astype(np.int64)
+        return word.view(np.int64), learned, pack(np.bincount(owner, minlength=len(word)), doc, times)
 
 
-def pack(word, learned, spread, doc, times) -> bytes:
-    rest = zlib.compress(b"".join(x.astype("<u4").tobytes() for x in (learned, spread, doc, times)), 1)
-    return len(word).to_bytes(4, "little") + len(doc).to_bytes(4, "little") + word.astype("<u8").tobytes() + rest
+def pack(spread, doc, times) -> bytes:
+    """Texts per word, then the texts and the word's times in each, word by word."""
+    rest = zlib.compress(b"".join(x.astype("<u4").tobytes() for x in (spread, doc, times)), 1)
+    return len(spread).to_bytes(4, "little") + len(doc).to_bytes(4, "little") + rest
 
 
 def unpack(data: bytes):
     n, m = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
-    word = np.frombuffer(data, "<u8", n, 8)
-    rest = np.frombuffer(zlib.decompress(data[8 + 8 * n:]), "<u4").astype(np.int64)
-    return word, rest[:n], rest[n:2 * n], rest[2 * n:2 * n + m], rest[2 * n + m:]
+    rest = np.frombuffer(zlib.decompress(data[8:]), "<u4").astype(np.int64)
+    return rest[:n], rest[n:n + m], rest[n + m:]
 
 
 def score(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
@@ -307,7 +300,6 @@ def score(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: s
     vocabulary = copy.copy(vocabulary)  # the caller's stays as it is
     vocabulary.learned(*counts)
     shared = spark.sparkContext.broadcast(vocabulary)
-    buckets = shuffle_partitions(spark)
     id_type = dict(docs.dtypes)["doc_id"]
     numbered = docs.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("row"))
 
@@ -319,10 +311,14 @@ def score(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: s
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type)
                                                for f in schema], schema=schema)
 
+        def closed(schema, block):
+            words, learned, data = block.packed()
+            return table(schema, row=[block.first], docs=[block.docs], words=[words], learned=[learned], data=[data])
+
         for batch in parts:
             schema = pa.schema([pa.field("doc_id", batch.schema.field(0).type), ("held_out", pa.bool_()), ("row", pa.int64()),
-                                ("n_tokens", pa.int64()), ("score", pa.float64()), ("bucket", pa.int32()),
-                                ("docs", pa.int32()), ("data", pa.binary())])
+                                ("n_tokens", pa.int64()), ("score", pa.float64()), ("docs", pa.int32()),
+                                ("words", pa.list_(pa.int64())), ("learned", pa.list_(pa.int64())), ("data", pa.binary())])
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             held = np.array(batch.column(1).to_pylist(), bool)
             row = batch.column(3).to_numpy(zero_copy_only=False)
@@ -341,52 +337,43 @@ def score(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: s
                 one = np.arange(j - i)
                 block.add(np.concatenate([words.hashes(), np.full(j - i, END)]), np.concatenate([words.doc, one]), (~held[i:j]).astype(float))
                 if block.tokens > POSTINGS:
-                    for b, data in block.rows(buckets):
-                        yield table(schema, row=[block.first], bucket=[b], docs=[block.docs], data=[data])
+                    yield closed(schema, block)
                     block = None
             yield table(schema, doc_id=batch.column(0), held_out=held, row=row, n_tokens=n_tokens, score=total / np.log(10))
         if block is not None:
-            for b, data in block.rows(buckets):
-                yield table(schema, row=[block.first], bucket=[b], docs=[block.docs], data=[data])
+            yield closed(schema, block)
 
     out = staged(numbered.mapInArrow(run, f"doc_id {id_type}, held_out boolean, row bigint, n_tokens bigint, score double, "
-                                          "bucket int, docs int, data binary"), "lm-postings")
-
-    def known(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One bucket of words: what it adds to every text, and its training tokens and types."""
-        blobs = [unpack(d) for d in pdf["data"]]
-        word, place = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
-        count = np.bincount(place, weights=np.concatenate([b[1] for b in blobs]), minlength=len(word))
-        log = np.log10(count + 1.0)
-        rows, at = [], 0
-        for (row, docs), (w, _, spread, doc, times) in zip(pdf[["row", "docs"]].itertuples(index=False), blobs, strict=True):
-            mine = place[at:at + len(w)]
-            at += len(w)
-            each = np.repeat(mine, spread)
-            sums = np.bincount(doc, weights=times * log[each], minlength=docs)
-            seen = np.bincount(doc, weights=times * (count[each] > 0), minlength=docs).astype("<u4")
-            rows.append((row, docs, sums.astype("<f8").tobytes(), zlib.compress(seen.tobytes(), 1), None, None))
-        rows.append((None, None, None, None, int(count.sum()), int((count > 0).sum())))
-        return pd.DataFrame(rows, columns=["row", "docs", "sums", "seen", "tokens", "types"]).astype(
-            {"row": "Int64", "docs": "Int64", "tokens": "Int64", "types": "Int64"})
-
-    partial = staged(out.where(F.col("bucket").isNotNull()).groupBy("bucket").applyInPandas(
-        known, "row bigint, docs bigint, sums binary, seen binary, tokens bigint, types bigint"), "lm-partial")
-
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One block of texts: sums over the buckets, in a fixed order."""
-        docs = int(pdf["docs"].iloc[0])
-        sums, seen = np.zeros(docs), np.zeros(docs, np.int64)
-        for s, k in sorted(zip(pdf["sums"], pdf["seen"], strict=True)):
-            sums += np.frombuffer(s, "<f8")
-            seen += np.frombuffer(zlib.decompress(k), "<u4")
-        return pd.DataFrame({"row": int(pdf["row"].iloc[0]) + np.arange(docs), "logs": sums, "n_known": seen})
-
-    per_row = (partial.where(F.col("row").isNotNull()).select("row", "docs", "sums", "seen").groupBy("row")
-               .applyInPandas(added, "row bigint, logs double, n_known bigint"))
-    whole = partial.where(F.col("tokens").isNotNull()).agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).collect()[0]
+                                          "docs int, words array<bigint>, learned array<bigint>, data binary"), "lm-postings")
+    blocks = out.where(F.col("data").isNotNull())
+    each = blocks.select("row", F.posexplode(F.arrays_zip("words", "learned")).alias("place", "w")).select(
+        "row", "place", F.col("w.words").alias("word"), F.col("w.learned").alias("learned"))
+    count = staged(each.groupBy("word").agg(F.sum("learned").alias("count")), "lm-counts")
+    whole = count.agg(F.sum("count").alias("n"), F.sum((F.col("count") > 0).cast("bigint")).alias("v")).first()
     n, v = whole["n"] or 0, whole["v"] or 0
-    rows = out.where(F.col("bucket").isNull()).join(per_row, "row")
+    back = lookup_join(each.select("row", "place", "word"), count.where("count > 0"), "word", "word", "inner",
+                       max_broadcast_bytes=COUNT_BYTES).select(F.col("row").alias("block"), "place", "count")
+
+    def known(block, counts):
+        """One block of texts: what its words add to every text."""
+        if not block.num_rows:
+            return pa.table({"row": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "n_known": pa.array([], pa.int64())})
+        docs = block.column("docs")[0].as_py()
+        spread, doc, times = unpack(block.column("data")[0].as_py())
+        of = np.zeros(len(spread), np.int64)
+        of[counts.column("place").to_numpy()] = counts.column("count").to_numpy()
+        of = np.repeat(of, spread)
+        order = np.argsort(doc, kind="stable")  # every text has a word or its end
+        first = np.searchsorted(doc[order], np.arange(docs))
+        logs = times.astype(np.longdouble) * np.log10(of + 1.0)
+        sums = np.add.reduceat(logs[order], first).astype(np.float64)
+        seen = np.bincount(doc, weights=times * (of > 0), minlength=docs).astype(np.int64)
+        return pa.table({"row": pa.array(block.column("row")[0].as_py() + np.arange(docs), pa.int64()),
+                         "logs": pa.array(sums), "n_known": pa.array(seen)})
+
+    per_row = (blocks.select("row", "docs", "data").groupBy("row").cogroup(back.groupBy("block"))
+               .applyInArrow(known, "row bigint, logs double, n_known bigint"))
+    rows = out.where(F.col("data").isNull()).join(per_row, "row")
     return rows.select(F.col("doc_id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
                        (F.col("logs") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), "score")
 

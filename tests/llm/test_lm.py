@@ -83,3 +83,36 @@ def test_model_learns_from_training_texts(spark):
     assert min(r["score"] for r in learned) > none[0]["score"]
     assert none[0]["train_tokens"] == 0 and none[0]["n_known"] == 0 and none[0]["base_score"] == 0
     assert lm.digest(empty(spark), lm.Vocabulary(path)).collect() == []
+
+
+def test_scores_from_scratch_and_twice(spark, vocabulary):
+    """The whole score column by enumerated segmentations, learned from the training texts alone;
+    the caller's vocabulary stays as it was, so a second call gives the same."""
+    texts = ["the cat sat", "a cafe", "cat cat xq", "", "THE sat", "dog", "the dog", "a cat", None, "xq zz"]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    before = vocabulary.log.copy()
+    first = {r["doc_id"]: r["score"] for r in lm.digest(frame(spark, rows), vocabulary).collect()}
+    again = {r["doc_id"]: r["score"] for r in lm.digest(frame(spark, rows), vocabulary).collect()}
+    assert first == again and (vocabulary.log == before).all()
+    expected, ends = np.zeros(len(vocabulary.keys)), 0
+    for i, t in enumerate(texts):
+        if crc(i) % 7 == 2:
+            continue
+        ends += 1
+        for w in words(t):
+            total, pieces = by_segmentation(vocabulary, w.encode())
+            for (data, kind), n in pieces.items():
+                expected[np.searchsorted(vocabulary.keys, lm.piece_hash(data, kind))] += n / total
+    model = lm.copy.copy(vocabulary)
+    model.learned(expected, float(ends))
+    for i, t in enumerate(texts):
+        log = sum(math.log(by_segmentation(model, w.encode())[0]) for w in words(t)) + model.end
+        assert first[i] == pytest.approx(log / math.log(10), rel=1e-6)
+
+
+def test_counts_beyond_the_broadcast_limit(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(lm, "COUNT_BYTES", 0)
+    monkeypatch.setattr(lm, "POSTINGS", 50)
+    got = lm.digest(frame(spark), vocabulary).collect()
+    assert sorted(((*[r[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")], round(r["base_score"], 6))
+                   for r in got), key=str) == brute_base(ROWS)
