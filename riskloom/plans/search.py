@@ -13,7 +13,6 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,16 +42,17 @@ from .tune import Param, sample_trials
 
 HIST = 4 * (AUC_BINS + 1)
 
-# The reference's search space of the network (fixed values).
+# The ranges of the network's search.
 NETWORK_SPACE = [
-    Param("learning_rate", "float", 0.001, 0.01),
-    Param("emb_dim", "int", 4, 16, step=4),
-    Param("deep_width", "int", 16, 64, step=16),
-    Param("deep_depth", "int", 1, 3),
-    Param("dropout_fm", "float", 0.3, 0.8),
-    Param("dropout_deep", "float", 0.3, 0.8),
-    Param("optimizer", "choice", choices=("adam", "momentum")),
+    Param("lr", "float", 0.001, 0.01),
+    Param("epsilon", "float", 1e-5, 1e-1),
+    Param("emb_dim", "int", 4, 16),
+    Param("dropout_fm_0", "float", 0.3, 0.8),
+    Param("dropout_fm_1", "float", 0.3, 0.8),
+    Param("deep_layers_0", "int", 16, 32),
+    Param("deep_layers_1", "int", 16, 32),
 ]
+DROPOUT_DEEP = 0.5
 
 
 @dataclass
@@ -73,10 +73,10 @@ class Trial:
 
 def trial_of(row: dict, dims: Dims, cfg: TrainConfig) -> Trial:
     """A sampled row of ``NETWORK_SPACE`` as a model."""
-    layers = (int(row["deep_width"]),) * int(row["deep_depth"])
-    drop = {"fm0": row["dropout_fm"], "fm1": row["dropout_fm"], **{f"deep{i}": row["dropout_deep"] for i in range(len(layers) + 1)}}
+    layers = (int(row["deep_layers_0"]), int(row["deep_layers_1"]))
+    drop = {"fm0": row["dropout_fm_0"], "fm1": row["dropout_fm_1"], **{f"deep{i}": DROPOUT_DEEP for i in range(len(layers) + 1)}}
     return Trial(f"trial{row['trial_id']}", replace(dims, emb_dim=int(row["emb_dim"]), deep_layers=layers),
-                 replace(cfg, learning_rate=row["learning_rate"], optimizer=row["optimizer"], dropout=drop))
+                 replace(cfg, learning_rate=row["lr"], epsilon=row["epsilon"], dropout=drop))
 
 
 def _shared(spark, trials: list[Trial]):
