@@ -57,15 +57,12 @@ TABLE = "feature_id bigint, w array<double>, m1 array<double>, m2 array<double>,
 # ------------------------------------------------------------------ the table
 def normal_weights(spark: SparkSession, feature_dim: int, emb_dim: int, seed: int, scale: float = 0.1) -> DataFrame:
     """(feature_id, w): seeded normal weights from hashes, made by the executors."""
-    def u(salt):
-        h = F.shiftrightunsigned(F.xxhash64("feature_id", "k", F.lit(seed), F.lit(salt)), 11)
+    def u(k, salt):
+        h = F.shiftrightunsigned(F.xxhash64("feature_id", F.lit(k), F.lit(seed), F.lit(salt)), 11)
         return (h.cast("double") + 0.5) / float(1 << 53)
 
-    ids = spark.range(feature_dim).withColumnRenamed("id", "feature_id").select(
-        "feature_id", F.explode(F.sequence(F.lit(0), F.lit(emb_dim))).alias("k"))
-    z = F.sqrt(-2.0 * F.log(u(1))) * F.cos(2.0 * np.pi * u(2)) * scale
-    return ids.select("feature_id", "k", z.alias("z")).groupBy("feature_id").agg(
-        F.sort_array(F.collect_list(F.struct("k", "z"))).alias("a")).select("feature_id", F.col("a.z").alias("w"))
+    z = [F.sqrt(-2.0 * F.log(u(k, 1))) * F.cos(2.0 * np.pi * u(k, 2)) * scale for k in range(emb_dim + 1)]
+    return spark.range(feature_dim).withColumnRenamed("id", "feature_id").select("feature_id", F.array(*z).alias("w"))
 
 
 def formula_weights(spark: SparkSession, feature_dim: int, emb, w1, emb_dim: int) -> DataFrame:
