@@ -656,11 +656,12 @@ def apply_columns(spark, sf):
 def oof_assemble(spark, sf):
     """Each fold's predictions (label means of the other folds) scattered back onto all rows."""
     from ..operators import assemble
+    from ..operators.joins import materialize
     app = app_view(spark, sf).select("loan_id", "industry", "is_default")
     folds = S.stratified_kfold(app, "is_default", "loan_id", K, SEED)
-    means = assemble.target_mean_oof(folds, "loan_id", "industry", "is_default", "fold", K)
+    means = materialize(assemble.target_mean_oof(folds, "loan_id", "industry", "is_default", "fold", K).select("loan_id", "fold", "oof"))
     per_fold = [means.where(F.col("fold") == i).select("loan_id", F.col("oof").alias("pred")) for i in range(K)]
-    return finalize(assemble.oof_assemble(per_fold, folds.select("loan_id", "fold"), "loan_id"))
+    return finalize(assemble.oof_assemble(per_fold, means.select("loan_id", "fold"), "loan_id"))
 
 
 @query
