@@ -750,3 +750,8 @@ SELECT loan_id, CAST((row_number() OVER (PARTITION BY isDefault ORDER BY {_hash(
        CAST(1 AS BIGINT) AS times, CAST(isDefault AS DOUBLE) AS label, CAST(1 AS BIGINT) AS is_probability FROM scaled"""
 
 SQL["score_deepfm_joined"] = SQL["score_deepfm"]
+
+SQL["saved_scorers"] = f"""WITH {PREPARED}
+SELECT kind, CAST((row_number() OVER (PARTITION BY kind, isDefault ORDER BY {_hash('loan_id')}, loan_id) - 1) % {K} AS BIGINT) AS fold,
+       loan_id, CAST(1 AS BIGINT) AS times, CAST(1 AS BIGINT) AS same
+FROM scaled JOIN (VALUES ('trees'), ('fm'), ('mlp')) AS kinds(kind) ON TRUE"""

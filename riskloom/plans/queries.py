@@ -7,6 +7,7 @@ DuckDB oracle of the same name (``plans.oracle``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -882,6 +883,40 @@ def train_mlp(spark, sf):
     return _mllib(spark, sf, lambda width: MultilayerPerceptronClassifier(layers=[width, 32, 32, 2], maxIter=20, seed=SEED))
 
 
+@query
+def saved_scorers(spark, sf):
+    """Trees, factorization machine and perceptron of every fold, saved with their encoders, found in the
+    registry and loaded: how often each row is scored again from its plain columns by the model that did
+    not see it, and whether that score is the one of the training run."""
+    from pyspark.ml.classification import FMClassifier, MultilayerPerceptronClassifier
+
+    from ..operators.joins import materialize
+    from ..session import shared_path
+    from .boost import BoostConfig, boost_cv
+    from .saved import KEYS, load_scorer, registered
+    from .tune import mllib_cv
+    folded, numeric, cats = _mllib_frame(spark, sf)
+    folded = materialize(folded)
+    root = shared_path(spark, "registry")
+    at = ("loan_id", numeric, cats, "isDefault", "fold", K)
+    oof = {
+        # fewer bins than some category has levels, so label means are saved too
+        "trees": boost_cv(folded, *at, BoostConfig(rounds=4, patience=4, max_depth=3, max_bins=16, seed=SEED), registry=root)[1],
+        "fm": mllib_cv(folded, *at, lambda width: FMClassifier(factorSize=4, maxIter=3, seed=SEED), "fm", root),
+        "mlp": mllib_cv(folded, *at, lambda width: MultilayerPerceptronClassifier(layers=[width, 8, 2], maxIter=3, seed=SEED), "mlp", root),
+    }
+    out = []
+    for r in registered(spark, root).orderBy(*KEYS).collect():  # a row per model
+        rows = folded.where(F.col("fold") == r["fold"]).select("loan_id", *numeric, *cats)
+        again = load_scorer(spark, root, *[r[k] for k in KEYS]).score(rows, "again")
+        out.append(oof[r["kind"]].where(F.col("fold") == r["fold"]).select("loan_id", "fold", "p")
+                   .join(again.select("loan_id", "again"), "loan_id", "full")
+                   .select(F.lit(r["kind"]).alias("kind"), "fold", "loan_id", (F.abs(F.col("p") - F.col("again")) < 1e-12).alias("same")))
+    rows = reduce(DataFrame.unionByName, out)
+    return finalize(rows.groupBy("kind", "fold", "loan_id").agg(
+        F.count(F.lit(1)).alias("times"), F.min(F.coalesce(F.col("same"), F.lit(False)).cast("int")).alias("same")))
+
+
 @query
 def random_search(spark, sf):
     """20 sampled trials of the mappable boosting parameters, each over all folds."""
