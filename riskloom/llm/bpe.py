@@ -27,6 +27,8 @@ from ..session import ship_package
 
 CHUNK = 32_768  # code points that a chunk owns
 OVERLAP = 1_024  # code points that it shares with the next one
+PIECES = 64  # chunks of one text in a batch
+COPIES = 4_096  # equal rows that are written from one list
 REACH = 3  # longest literal alternative of the pre-tokeniser's pattern ('ll, 're, 've)
 
 _codecs: dict[str, Codec] = {}
@@ -151,9 +153,23 @@ def encode(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text:
     short = docs.where(F.length("_text") <= chunk).mapInArrow(whole, schema)
 
     long = docs.where(F.length("_text") > chunk).withColumn("_key", F.xxhash64(F.col(doc_id), F.col("_text")))
-    n = F.ceil(F.length("_text") / chunk).cast("int")
-    pieces = long.select(doc_id, "_key", F.length("_text").alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_k"), "_text")
-    pieces = pieces.select(doc_id, "_key", "_n", "_k", F.substring(F.col("_text"), F.col("_k") * chunk + 1, F.lit(chunk + overlap)).alias("_piece"))
+    piece_schema = f"`{doc_id}` {id_type}, _key bigint, _n int, _k int, _piece string"
+
+    def cut(batches):
+        """A row per chunk with its overlap; every text is walked through once."""
+        for batch in small(batches):
+            ids, keys = batch.column(0), batch.column(2).to_pylist()
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                for first in range(0, len(body), PIECES * chunk):
+                    at = range(first, min(len(body), first + PIECES * chunk), chunk)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array([i] * len(at))), pa.array([keys[i]] * len(at)), pa.array([len(body)] * len(at), pa.int32()),
+                         pa.array([a // chunk for a in at], pa.int32()), pa.array([body[a:a + chunk + overlap] for a in at])],
+                        names=[doc_id, "_key", "_n", "_k", "_piece"])
+
+    # equal rows become one, with their number, before anything is shuffled
+    pieces = (long.select(doc_id, "_text", "_key").mapInArrow(cut, piece_schema)
+              .groupBy(doc_id, "_key", "_n", "_k").agg(F.first("_piece").alias("_piece"), F.count(F.lit(1)).alias("_times")))
 
     def pre_tokenise(batches):
         codec = shared.value.codec()
@@ -164,19 +180,21 @@ def encode(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.list_(pa.int32()))],
                                              names=[*batch.schema.names, "_starts"])
 
-    marked = (pieces.repartition(doc_id, "_key", "_k")
-              .mapInArrow(pre_tokenise, f"`{doc_id}` {id_type}, _key bigint, _n int, _k int, _piece string, _starts array<int>"))
+    marked = pieces.mapInArrow(pre_tokenise, f"{piece_schema}, _times bigint, _starts array<int>")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         codec = shared.value.codec()
-        times = int((pdf["_k"] == 0).sum())  # equal rows
-        pdf = pdf.drop_duplicates("_k").sort_values("_k")
+        pdf = pdf.sort_values("_k")
         body = "".join(p[:chunk] for p in pdf["_piece"])
         cuts = stitch(codec, body, [list(s) for s in pdf["_starts"]], chunk, overlap)
         result = finish(codec, _segments(codec, body, cuts))
-        return pd.DataFrame([(pdf[doc_id].iloc[0], *result)] * times, columns=[doc_id, *names])
+        return pd.DataFrame([(pdf[doc_id].iloc[0], *result, pdf["_times"].iloc[0])], columns=[doc_id, *names, "_times"])
 
-    return short.unionByName(marked.groupBy("_key", "_n").applyInPandas(join, schema))
+    # every equal row again, a few thousand at a time
+    joined = marked.groupBy(doc_id, "_key", "_n").applyInPandas(join, f"{schema}, _times bigint")
+    joined = joined.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"), F.lit(COPIES).cast("long"))))
+    joined = joined.withColumn("_copy", F.explode(F.sequence("_from", F.least("_times", F.col("_from") + COPIES - 1))))
+    return short.unionByName(joined.select(doc_id, *names))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

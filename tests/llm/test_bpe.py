@@ -57,3 +57,12 @@ def test_stitching_random_texts(vocabulary, plain):
         starts = [codec.starts(s[k * chunk:(k + 1) * chunk + overlap], k * chunk, (k + 1) * chunk + overlap < len(s)) for k in range(n)]
         cuts = bpe.stitch(codec, s, starts, chunk, overlap)
         assert bpe._segments(codec, s, cuts) == plain.encode_ordinary(s)
+
+
+def test_a_long_text_repeated_many_times(spark, vocabulary, plain, monkeypatch):
+    """Equal rows meet as one row and come back as many; another id, and another text, stay apart."""
+    monkeypatch.setattr(bpe, "COPIES", 7)
+    body = "ab 😀 c漢 " * 400
+    rows = [(1, body, "en", "a")] * 30 + [(2, body, "en", "a"), (1, body + "x", "en", "a"), (None, body, None, None), (None, body, None, None)]
+    got = bpe.encode(frame(spark, rows), vocabulary, chunk=100, overlap=10)
+    assert by_id((r["doc_id"], list(r["ids"])) for r in got.collect()) == by_id((i, plain.encode_ordinary(t)) for i, t, _, _ in rows)
