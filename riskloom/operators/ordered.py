@@ -19,14 +19,12 @@ is partitioned.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import nextafter
-from os.path import commonprefix
 
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import materialize
+from .joins import MAX_BROADCAST_BYTES, materialize, sized_join
 
 BUCKET = "_obucket"
 
@@ -58,10 +56,12 @@ class Splits(list):
 TEXT_BYTES = 6  # bytes of a text key, after the common prefix, that place it in a bucket
 
 
-def common_prefix(df: DataFrame, col: str) -> int:
-    """Bytes shared by the smallest and the largest value, and so by all of them."""
+def common_prefix(df: DataFrame, col: str) -> int | None:
+    """Bytes shared by the smallest and the largest value, and so by all of them; None without values."""
     low, high = df.agg(F.min(col), F.max(col)).first()
-    a, b = (low or "").encode(), (high or "").encode()
+    if low is None:
+        return None
+    a, b = low.encode(), high.encode()
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
         n += 1
@@ -91,6 +91,8 @@ def quantile_splits(df: DataFrame, col: str, n_buckets: int, relative_error: flo
         return Splits([float("-inf"), float("inf")])
     tmp = "_oq_in"
     prefix = common_prefix(df, col) if dict(df.dtypes)[col] == "string" else 0
+    if prefix is None:
+        return Splits([float("-inf"), float("inf")])
     staged = df.select(_numeric_input(df, col, prefix).alias(tmp))
     qd = QuantileDiscretizer(numBuckets=n_buckets, inputCol=tmp, outputCol="_oq_b",
                              relativeError=relative_error or 1 / (4 * n_buckets), handleInvalid="keep")
@@ -100,8 +102,8 @@ def quantile_splits(df: DataFrame, col: str, n_buckets: int, relative_error: flo
 
 
 def with_bucket_splits(df: DataFrame, col: str, splits: list[float], out: str = BUCKET) -> DataFrame:
-    """Bucket = index of the split interval holding ``col`` (monotone in ``col``; nulls and
-    NaN go to the last bucket)."""
+    """Bucket = index of the split interval holding ``col`` (monotone in ``col``; NaN goes to the last
+    bucket, a null has none, which sorts first as it does)."""
     if len(splits) <= 2:
         return df.withColumn(out, F.lit(0))
     from pyspark.ml.feature import Bucketizer
@@ -114,7 +116,7 @@ def with_bucket_splits(df: DataFrame, col: str, splits: list[float], out: str =
 def with_pair_bucket(df: DataFrame, major: str, minor: str, n_buckets: int, out: str = BUCKET) -> DataFrame:
     """Bucket column that is monotone in (``major``, ``minor``): the whole numbers of ``major``
     plus the place of ``minor`` in its range, so that many rows of one ``major`` are spread."""
-    prefix = common_prefix(df, minor) if dict(df.dtypes)[minor] == "string" else 0
+    prefix = (common_prefix(df, minor) or 0) if dict(df.dtypes)[minor] == "string" else 0
     place = _numeric_input(df, minor, prefix)
     low, high = df.agg(F.min(place), F.max(place)).first()
     if low is None:
@@ -128,39 +130,86 @@ def with_quantile_bucket(df: DataFrame, col: str, n_buckets: int,
                          relative_error: float | None = None, out: str = BUCKET) -> DataFrame:
     """Add a bucket column that is monotone in a numeric, timestamp or text ``col``.
 
-    The split points are approximate quantiles (one aggregate job; ``n_buckets`` numbers come
-    back to the driver). Any split points keep the order exact; quantiles keep buckets even.
+    Any split points keep the order exact; quantiles keep buckets even. At most ``COARSE`` split
+    points are found by the driver; more buckets than that, and text keys that crowd, are cut
+    inside the coarse buckets, on the executors.
     """
-    d = with_bucket_splits(df, col, quantile_splits(df, col, n_buckets, relative_error), out)
-    return _resplit_text(d, col, n_buckets, out) if n_buckets > 1 and dict(df.dtypes)[col] == "string" else d
-
-
-REFINE_BYTES = 4  # with a bucket number below 2**21, exact in a double
-
-
-def _resplit_text(d: DataFrame, col: str, n_buckets: int, out: str) -> DataFrame:
-    """Split a text key's buckets by the bytes after each bucket's own common prefix, until none
-    with different keys holds more than twice its share. A heavy run of equal bytes is a split
-    point, and with the next number after it a bucket of its own, so each round reads further. A row
-    per bucket comes to the driver."""
-    spark, before = d.sparkSession, None
+    text = dict(df.dtypes)[col] == "string"
+    coarse = n_buckets if relative_error else min(n_buckets, COARSE)
+    d = with_bucket_splits(df, col, quantile_splits(df, col, coarse, relative_error), out)
+    return _refine(d, col, n_buckets, out) if n_buckets > 1 and (text or coarse < n_buckets) else d
+
+
+COARSE = 1024  # most split points that the driver finds
+FAN = 64       # split points inside one crowded bucket, in one round
+SLOTS = 256    # a bucket's number times this, plus the place among its parts
+PLACE_BYTES = 6
+SETTLED = 32   # rows of a bucket that is left as it is, whatever its share
+
+
+def _prefix_length(low: Column, high: Column) -> Column:
+    """Bytes that two texts begin with in common."""
+    a, b = low.cast("binary"), high.cast("binary")
+    n = F.least(F.octet_length(low), F.octet_length(high))
+    differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    return F.when(n == 0, 0).otherwise(F.coalesce(F.get(differ, 0) - 1, n))
+
+
+def _text_place(text: Column, prefix: Column) -> Column:
+    """The bytes after the prefix as a number below 2**51, exact in a double, in the texts' order: a
+    text that ends there comes before one that goes on with zero bytes."""
+    head = F.rpad(F.hex(F.substring(text.cast("binary"), prefix + 1, F.lit(PLACE_BYTES))), 2 * PLACE_BYTES, "0")
+    return F.conv(head, 16, 10).cast("long") * 8 + F.least(F.octet_length(text) - prefix, F.lit(PLACE_BYTES + 1))
+
+
+def _refine(d: DataFrame, col: str, n_buckets: int, out: str) -> DataFrame:
+    """Cut every bucket of more than twice its share (and ``SETTLED`` rows) again, until none with
+    different keys is left.
+
+    The quantiles of a crowded bucket are aggregated by bucket, for a text key over the bytes after
+    the bucket's own common prefix, and joined to the rows as a table. A heavy value is a part of its
+    own, so the next round reads further into it. Every round takes at least the bytes of one place
+    further, or cuts. The driver sees two numbers a round. NaN stays behind all other keys; a null is
+    before them, as in an ascending sort: without a bucket, or in the first."""
+    text = dict(d.dtypes)[col] == "string"
+    value = F.col(col) if text else F.nanvl(_numeric_input(d, col), F.lit(None).cast("double"))
+    rounds = 0
     while True:
-        info = d.groupBy(out).agg(F.count(col).alias("n"), F.min(col).alias("low"), F.max(col).alias("high")).collect()
-        share = sum(r["n"] for r in info) / n_buckets
-        large = sorted((r["low"], r["high"]) for r in info if r["n"] > 2 * share + 1 and r["low"] != r["high"])
-        if not large or large == before:
-            return d
-        before = large
-        own = [(r[out], len(commonprefix([(r["low"] or "").encode(), (r["high"] or "").encode()]))) for r in info]
-        at = spark.createDataFrame(own, "_ob int, _op int")
-        head = F.substring(F.col(col).cast("binary"), F.col("_op") + 1, F.lit(REFINE_BYTES))
-        place = F.conv(F.rpad(F.hex(head), 2 * REFINE_BYTES, "0"), 16, 10).cast("double")
-        d = (d.join(at, d[out] == at["_ob"], "left")
-             .withColumn("_oq_text", F.col(out) * F.lit(float(1 << 8 * REFINE_BYTES)) + place).drop("_ob", "_op", out))
-        cuts = quantile_splits(d, "_oq_text", n_buckets)
-        inner = [c for c in cuts if abs(c) != float("inf")]
-        cuts = Splits([float("-inf"), *sorted({*inner, *(nextafter(c, float("inf")) for c in inner)}), float("inf")])
-        d = with_bucket_splits(d, "_oq_text", cuts, out).drop("_oq_text")
+        info = materialize(d.groupBy(F.col(out).alias("_ob")).agg(
+            F.count(value).alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high")))
+        share = (info.agg(F.sum("_n")).first()[0] or 0) / n_buckets
+        large = info.where((F.col("_n") > max(2 * share + 1, SETTLED)) & (F.col("_low") != F.col("_high")))
+        count = large.count()
+        if not count:
+            return _dense(d, out) if rounds else d
+        rounds += 1
+        # parts of about a share: every so manieth of the bucket's quantiles
+        every = F.greatest(F.lit(1), F.floor(F.lit(FAN * share) / F.col("_n")).cast("int"))
+        prefix = _prefix_length(F.col("_low"), F.col("_high")) if text else F.lit(0)
+        large = materialize(large.select("_ob", prefix.alias("_op"), every.alias("_every")))
+        place = _text_place(F.col(col), F.col("_op")) if text else value
+        placed = (sized_join(d, large, d[out] == large["_ob"], "left", right_rows=count)
+                  .withColumn("_place", F.when(F.col("_ob").isNotNull(), place)))
+        cuts = materialize(placed.where("_ob is not null").groupBy(F.col("_ob").alias("_cb")).agg(
+            F.percentile_approx("_place", [i / FAN for i in range(FAN)], 16 * FAN).alias("_q"), F.first("_every").alias("_e"))
+            .select("_cb", F.expr("array_distinct(filter(_q, (q, i) -> i % _e = 0))").alias("_cuts")))
+        part = F.expr("size(filter(_cuts, c -> c < _place)) + size(filter(_cuts, c -> c <= _place))")
+        part = (F.when(F.col("_cuts").isNull() | F.col(col).isNull(), 0).when(F.col("_place").isNull(), SLOTS - 1)
+                .otherwise(part))
+        # staged: the next round's passes read this, not the joins of all rounds before
+        d = materialize(sized_join(placed, cuts, placed["_ob"] == cuts["_cb"], "left", max_broadcast_bytes=MAX_BROADCAST_BYTES // FAN,
+                        right_rows=count)
+             .withColumn(out, F.col(out).cast("long") * SLOTS + part)
+             .drop("_ob", "_op", "_every", "_place", "_cb", "_cuts"))
+        if rounds % 5 == 0:
+            d = _dense(d, out)  # before the numbers leave 64 bits
+
+
+def _dense(d: DataFrame, out: str) -> DataFrame:
+    """The same buckets numbered from 0 (a window over one row per bucket); none stays none."""
+    numbers = materialize(d.where(F.col(out).isNotNull()).select(F.col(out).alias("_ob")).distinct()
+                          .withColumn("_dense", F.row_number().over(Window.orderBy("_ob")) - 1))
+    return sized_join(d, numbers, d[out] == numbers["_ob"], "left").withColumn(out, F.col("_dense")).drop("_ob", "_dense")
 
 
 def _local(kind: str, expr: Column, frame) -> Column:
