@@ -2,10 +2,11 @@
 
 Rows are sparse: a list of (term, weight). Candidates are dealt into blocks of bounded size, and
 so are queries; every query block meets every candidate block (a stated query set against all
-rows). Inside a pair of blocks each term's postings (candidates with the term, and their weights)
-are scattered, weighted by the queries' weights for that term, into a dense array of scores, one
-row per candidate. Partition selection then leaves k candidates per query and block, and a merge
-by rank leaves k per query.
+rows). A query block is large, since every candidate is sent to each of them once; the task that
+holds it takes it in tiles. For a tile and a block each term's postings (candidates with the term,
+and their weights) are scattered, weighted by the tile's weights for that term, into a dense array
+of scores, one row per candidate. Partition selection then leaves k candidates per query and block,
+and a merge by rank leaves k per query.
 
 Defined results: rows whose id or vector is null, or whose vector holds a null or a non-finite
 component, take no part; an empty vector scores 0 with everything; rows with equal ids are
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-QUERY_BLOCK = 512
+QUERY_BLOCK = 16_384
 CANDIDATE_BLOCK = 8_192
+QUERY_TILE = 512
 SUB_BLOCK = 128
 
 
@@ -124,11 +126,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "row": [], "vec_id": [], "score": []}).astype("int64")
-        q_ids, c_ids = q["id"].to_numpy(np.int64), c["id"].to_numpy(np.int64)
-        scores = accumulate(q["terms"].to_numpy(), q["weights"].to_numpy(), c["terms"].to_numpy(), c["weights"].to_numpy())
-        iq, ic = select_top(scores, q_ids, c_ids, k)
-        return pd.DataFrame({"query_id": q_ids[iq], "row": q["row"].to_numpy(np.int64)[iq], "vec_id": c_ids[ic],
-                             "score": scores[ic, iq].astype(np.int64)})
+        c_ids, c_terms, c_weights = c["id"].to_numpy(np.int64), c["terms"].to_numpy(), c["weights"].to_numpy()
+        found = []
+        for a in range(0, len(q), QUERY_TILE):
+            tile = q.iloc[a:a + QUERY_TILE]
+            q_ids = tile["id"].to_numpy(np.int64)
+            scores = accumulate(tile["terms"].to_numpy(), tile["weights"].to_numpy(), c_terms, c_weights)
+            iq, ic = select_top(scores, q_ids, c_ids, k)
+            found.append(pd.DataFrame({"query_id": q_ids[iq], "row": tile["row"].to_numpy(np.int64)[iq], "vec_id": c_ids[ic],
+                                       "score": scores[ic, iq].astype(np.int64)}))
+        return pd.concat(found)
 
     met = (left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
            .applyInPandas(meet, "query_id bigint, row bigint, vec_id bigint, score bigint"))

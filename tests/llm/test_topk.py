@@ -36,6 +36,15 @@ def test_matches_brute_force_with_ties_and_bad_rows(spark):
     assert got(many) == expected
 
 
+def test_a_block_of_several_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 4) / 8]) for i in range(240)]
+    sparse = topk.sparse_rows(frame(spark, rows), "vec_id", "embedding", lambda c: F.floor(F.lit(64.0) * c.cast("double")).cast("bigint"))
+    queries = sparse.where("id % 2 = 0")
+    monkeypatch.setattr(topk, "QUERY_TILE", 7)
+    assert got(topk.top_k(queries, sparse, 4, query_block=50, candidate_block=64)) == sorted(brute(rows, 4, 2))
+
+
 def test_repeated_rows_few_candidates_and_empty(spark):
     df = frame(spark, [(0, [1.0]), (0, [1.0]), (1, [0.5]), (1, [0.5])])
     assert got(topk.digest(df, k=20)) == [(0, 1, 1, 64 * 32), (0, 2, 1, 64 * 32)]
