@@ -3,8 +3,8 @@
 Features say whether a word, or a beginning of a word of 3 to 6 bytes, occurs in the text. The
 most telling ones (chi-square over labelled texts) and all identity terms are kept. Training
 minimises the log loss plus a penalty on the squared change of a labelled text's score when its
-identity terms are swapped for others of the same kind, so that a mere mention of a group carries
-no weight. Fitted on a bounded sample: about PER_CLASS labelled documents of each class, whole
+identity terms (of English, French, German or Spanish) are swapped for others of the same kind, so
+that a mere mention of a group carries no weight. Fitted on a bounded sample: about PER_CLASS labelled documents of each class, whole
 texts; the classes' real shares are put back into the intercept.
 
 Defined results: null text counts as the empty text (its score is that of a text without any
@@ -33,8 +33,9 @@ L2 = 0.02
 COUNTERFACTUAL = 5.0
 THRESHOLD = 0.3
 
-# Neutral identity terms; terms of one group are swapped for each other.
+# Neutral identity terms of four languages; terms of one group are swapped for each other.
 IDENTITY = (
+    # English
     ("women", "men"), ("woman", "man"), ("girl", "boy"), ("female", "male"), ("she", "he"),
     ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -42,6 +43,33 @@ IDENTITY = (
     ("black", "white", "asian", "latino"), ("african", "european", "american", "mexican", "chinese", "indian"),
     ("immigrant", "citizen", "refugee"), ("immigrants", "citizens", "refugees"),
     ("young", "old", "elderly"), ("disabled", "blind", "deaf"),
+    # French
+    ("femmes", "hommes"), ("femme", "homme"), ("fille", "garçon"), ("filles", "garçons"), ("elle", "il"),
+    ("lesbienne", "hétérosexuelle", "bisexuelle"), ("homosexuel", "hétérosexuel", "bisexuel"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("musulmane", "chrétienne", "juive", "hindoue"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques"), ("africain", "européen", "américain", "mexicain", "chinois", "indien"),
+    ("africains", "européens", "américains", "mexicains", "indiens"),
+    ("immigré", "citoyen", "réfugié"), ("immigrés", "citoyens", "réfugiés"),
+    ("jeunes", "vieux", "âgés"), ("handicapé", "aveugle", "sourd"), ("handicapés", "aveugles", "sourds"),
+    # German
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "junge"), ("weiblich", "männlich"),
+    ("lesbisch", "schwul", "heterosexuell", "bisexuell"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"), ("muslimin", "christin", "jüdin"),
+    ("schwarze", "weiße", "asiatische"), ("afrikaner", "europäer", "amerikaner", "mexikaner", "chinesen", "inder"),
+    ("einwanderer", "staatsbürger", "flüchtling"), ("zuwanderer", "bürger", "flüchtlinge"),
+    ("jugendliche", "ältere", "alte"), ("behinderte", "blinde", "gehörlose"),
+    # Spanish
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niña", "niño"), ("niñas", "niños"), ("ella", "él"),
+    ("lesbiana", "heterosexual"), ("lesbianas", "heterosexuales"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"), ("musulmana", "cristiana", "judía"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "latinos"), ("africano", "europeo", "americano", "mexicano", "chino", "indio"),
+    ("africanos", "europeos", "americanos", "mexicanos", "chinos", "indios"),
+    ("inmigrante", "ciudadano", "refugiado"), ("inmigrantes", "ciudadanos", "refugiados"),
+    ("jóvenes", "viejos", "ancianos"), ("discapacitado", "ciego", "sordo"), ("discapacitados", "ciegos", "sordos"),
 )
 
 
@@ -84,9 +112,10 @@ def swapped(text: bytes, table: dict[bytes, bytes]) -> bytes | None:
     """The text (lower-cased) with its identity terms swapped; None if it has none."""
     w = Words([text], OTHER)
     out, at, found = [], 0, False
+    longest = max(map(len, table), default=0)
     low = w.low.tobytes()
     for s, e in zip(w.start.tolist(), w.end.tolist(), strict=True):
-        other = table.get(low[s:e]) if e - s <= 12 else None
+        other = table.get(low[s:e]) if e - s <= longest else None
         if other:
             out += [low[at:s], other]
             at, found = e, True

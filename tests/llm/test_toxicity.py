@@ -1,4 +1,8 @@
+import math
+import re
+
 import numpy as np
+import pytest
 from helpers import ROWS, crc, empty, frame
 
 from riskloom.llm import toxicity
@@ -27,7 +31,11 @@ def test_every_case(spark):
     assert {r["score"] for r in toxicity.digest(frame(spark), no).collect()} <= {toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), np.log(1e-9)).scores([b""])[0]}
 
 
-def test_swapped_terms_lose_their_weight():
+TERMS = [("muslim", "christian"), ("musulman", "chrétien"), ("muslime", "christen"), ("musulmán", "cristiano")]
+
+
+@pytest.mark.parametrize("term,other", TERMS)
+def test_swapped_terms_lose_their_weight(term, other):
     rng = np.random.default_rng(1)
     filler = [f"word{i}" for i in range(40)]
     texts, y = [], []
@@ -35,14 +43,42 @@ def test_swapped_terms_lose_their_weight():
         toxic = i % 4 == 0
         w = list(rng.choice(filler, 8)) + (["vile"] if toxic else [])
         # the term goes with the label in the data, as it does in biased collections
-        w += ["muslim"] if toxic and i % 8 == 0 or not toxic and i % 40 == 1 else []
+        w += [term] if toxic and i % 8 == 0 or not toxic and i % 40 == 1 else []
         texts.append(" ".join(w).encode())
         y.append(float(toxic))
-    neutral = [b"a muslim family", b"a christian family"]
+    neutral = [f"word1 {term} word2".encode(), f"word1 {other} word2".encode()]
     biased = toxicity.train(texts, np.array(y), 0.25, counterfactual=0.0).logits(neutral)
-    fair = toxicity.train(texts, np.array(y), 0.25).logits(neutral)
+    model = toxicity.train(texts, np.array(y), 0.25)
+    fair = model.logits(neutral)
     assert abs(fair[0] - fair[1]) < 0.1 * abs(biased[0] - biased[1])
-    assert toxicity.train(texts, np.array(y), 0.25).scores([b"a vile thing"])[0] > 0.3 > toxicity.train(texts, np.array(y), 0.25).scores(neutral).max()
+    assert model.scores([b"a vile thing"])[0] > 0.3 > model.scores(neutral).max()
+
+
+def test_every_identity_term_has_one_group():
+    terms = [t for g in toxicity.IDENTITY for t in g]
+    assert len(terms) == len(set(terms)) == len(toxicity.swaps())
+    for a, b in TERMS:
+        assert toxicity.swapped(f"x {a}, y".encode(), {a.encode(): b.encode()}) == f"x {b}, y".encode()
+
+
+def test_scores_match_a_plain_recount(spark):
+    """Every score from the model's weights, with words and beginnings taken by a pattern and each counted once."""
+    texts = [b"a vile word here", b"a kind word there", b"vileness abounds", b"kindness abounds"] * 8
+    model = toxicity.train(texts, np.array([1.0, 0.0] * 16), 0.5, least=1)
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    got = toxicity.score(frame(spark), model, ["doc_id", "text"]).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        text = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r["text"] or "").encode())
+        words = set(re.findall(rb"[0-9a-z\x80-\xff]+", text))
+        used = set()
+        for w in words:
+            one = toxicity.Words([w], toxicity.OTHER)
+            used.add(int(one.hashes()[0]))
+            used |= {int(one.span_hashes(np.array([0]), np.array([n]), kind=1)[0]) for n in toxicity.PREFIXES if len(w) > n}
+        logit = model.bias + sum(weights.get(k, 0.0) for k in used)
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-logit)), rel_tol=1e-9)
+        assert r["predicted"] == int(r["score"] >= toxicity.THRESHOLD)
 
 
 def test_swap_keeps_the_rest():
