@@ -103,7 +103,8 @@ def bucket_splits(df: DataFrame, order: str, rows_per_bucket: int = 1000) -> lis
 
 
 def digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness.
+    """Fingerprints of every text and of its edited text, and their likeness; the estimated number of
+    distinct shingles, and the estimated share of them that the edited and the next text keep.
 
     The order of ids is cut into buckets. Texts are shuffled once, by bucket; inside a bucket the
     next row is a window's lead. A bucket's last row takes the first row of the next bucket that
@@ -128,10 +129,13 @@ def digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     # heads: the smallest (id, text) of each bucket, found on ids first so that few texts move
     firsts = cut.where(F.col("_id").isNotNull()).groupBy("_bucket").agg(F.min("_id").alias("_id"))
     # one row per bucket, of which there are at most MOST_BUCKETS
-    heads = (docs.join(F.broadcast(firsts), "_id").groupBy("_bucket").agg(F.min("_text").alias("_head")))
+    heads = (docs.join(F.broadcast(firsts), "_id").groupBy("_bucket").agg(F.min("_text").alias("_edge")))
+    # which bucket follows which: bucket numbers alone are ordered, and the texts joined to them
     ring = Window.orderBy("_bucket")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = heads.select("_bucket", F.coalesce(F.lead("_head").over(ring), F.first("_head").over(whole)).alias("_edge"))
+    follows = firsts.select(F.col("_bucket").alias("_before"),
+                            F.coalesce(F.lead("_bucket").over(ring), F.first("_bucket").over(whole)).alias("_bucket"))
+    edges = heads.join(follows, "_bucket").select(F.col("_before").alias("_bucket"), "_edge")
     edges = edges.withColumn("_h", word_hashes(F.col("_edge")))
     edges = edges.select("_bucket", "_edge", bottom(shingle_hashes(F.col("_h")), k).alias("_edge_fp"))
 
@@ -149,4 +153,7 @@ def digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     return full.select(F.col("_id").alias(doc_id), "n_chars", "edited_sha256",
                        printed(F.col("_fp")).alias("fingerprint"), printed(F.col("_efp")).alias("edited_fingerprint"),
                        resemblance(F.col("_fp"), F.col("_efp"), k).alias("near_edited"),
-                       resemblance(F.col("_fp"), F.col("_next_fp"), k).alias("near_next"))
+                       resemblance(F.col("_fp"), F.col("_next_fp"), k).alias("near_next"),
+                       distinct_shingles(F.col("_fp"), k).alias("n_shingles"),
+                       containment(F.col("_fp"), F.col("_efp"), k).alias("kept_edited"),
+                       containment(F.col("_fp"), F.col("_next_fp"), k).alias("kept_next"))

@@ -38,6 +38,15 @@ def alike(a, b, k=P.K):
     return sum(x in a and x in b for x in u) / len(u) if u else 1.0
 
 
+def count(a, k=P.K):
+    return len(a) if len(a) < k else (k - 1) / ((a[-1] + 2.0**63) / 2.0**64)
+
+
+def kept(a, b, k=P.K):
+    u = sorted(set(a) | set(b))[:k]
+    return min(1.0, alike(a, b, k) * count(u, k) / count(a, k)) if a else 1.0
+
+
 def test_matches_brute_force(spark):
     rows = [(i, t or "") for i, t, _, _ in ROWS if i is not None]
     rows.sort()
@@ -46,10 +55,11 @@ def test_matches_brute_force(spark):
         cut = len(t) // 4
         e = t[:len(t) - cut] + nxt[:cut]
         a, b, c = brute_sketch(t), brute_sketch(e), brute_sketch(nxt)
-        expected.add((i, len(t), hashlib.sha256(e.encode()).hexdigest(), printed(a), printed(b), round(alike(a, b), 9), round(alike(a, c), 9)))
+        expected.add((i, len(t), hashlib.sha256(e.encode()).hexdigest(), printed(a), printed(b), round(alike(a, b), 9), round(alike(a, c), 9),
+                      round(count(a), 6), round(kept(a, b), 9), round(kept(a, c), 9)))
     got = P.digest(frame(spark)).where("doc_id is not null").collect()
     assert len(got) == len(rows)
-    assert {(*r[:5], round(r[5], 9), round(r[6], 9)) for r in got} == expected
+    assert {(*r[:5], round(r[5], 9), round(r[6], 9), round(r[7], 6), round(r[8], 9), round(r[9], 9)) for r in got} == expected
 
 
 def test_order_is_kept_across_buckets(spark):
