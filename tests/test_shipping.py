@@ -30,3 +30,34 @@ def test_scoring_from_outside_the_repo():
     out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=cwd, env=env, capture_output=True,
                          text=True, timeout=600)
     assert "SHIPPED_OK" in out.stdout, out.stderr[-2000:]
+
+
+def test_threads_that_train_side_by_side_ship_once():
+    """Spark refuses a second file of the same name, so only one of the threads may add it."""
+    import threading
+    import time
+    from types import SimpleNamespace
+
+    from riskloom.session import ship_package
+    added, errors, start = [], [], threading.Barrier(4)
+
+    def add(path):
+        time.sleep(0.2)  # a busy driver
+        if added:
+            raise ValueError(f"File {os.path.basename(path)} was already registered")
+        added.append(path)
+
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(applicationId=f"app-{time.time()}", addPyFile=add))
+
+    def train():
+        start.wait()
+        try:
+            ship_package(spark)
+            assert added  # nobody goes on before the package is there
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=train) for _ in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not errors and len(added) == 1
