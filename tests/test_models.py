@@ -125,3 +125,27 @@ def test_missing_level_and_indicator(spark):
     df = spark.createDataFrame([(1.5, 0), (None, 2), (float("nan"), None)], "x double, c int")
     out, levels = assemble_features(df, ["x"], ["c"])
     assert levels == 4 and [r["features"].toArray().tolist() for r in out.collect()] == [[1.5, 0, 1], [0, 1, 3], [0, 1, 0]]
+
+
+def test_afm_draws_the_masks_it_reads_and_sums_kept_pairs():
+    """Masks of deep layers cost more than the rest and AFM has none; pairs that are kept are summed
+    without a row of pairs, as by the pairs themselves."""
+    rng = np.random.default_rng(2)
+    d = Mo.Dims(feature_dim=20, field_size=5, emb_dim=3)
+    rates = {"fm0": 0.5, "fm1": 0.5, "att": 0.5, "deep0": 0.5, "deep1": 0.5}
+    drop = Mo.dropout_masks("afm", d, np.arange(40), 3, rates)
+    assert set(drop) == {"fm0", "fm1", "att"}
+    assert np.array_equal(drop["fm1"], Mo.dropout_masks("deepfm", d, np.arange(40), 3, rates)["fm1"])
+    e = rng.normal(0, 1, (40, 5, 3))
+    ii, jj = np.triu_indices(5, k=1)
+    pairs = (drop["att"][..., None] * Mo.pair_products(e)).sum(axis=1)
+    near = Mo._kept_neighbours(drop["att"], e, ii, jj)
+    assert np.allclose(0.5 * (e * near).sum(axis=1), pairs, rtol=1e-12)
+
+
+def test_scatter_adds_repeated_ids():
+    idx, vals = np.array([[0, 2], [2, 2]]), np.arange(12.0).reshape(2, 2, 3)
+    want = np.zeros((4, 3))
+    np.add.at(want, idx, vals)
+    assert np.array_equal(Mo._scatter((4, 3), idx, vals), want)
+    assert np.array_equal(Mo._scatter((4,), idx, vals[..., 0]), want[:, 0])
