@@ -149,3 +149,18 @@ def test_scatter_adds_repeated_ids():
     np.add.at(want, idx, vals)
     assert np.array_equal(Mo._scatter((4, 3), idx, vals), want)
     assert np.array_equal(Mo._scatter((4,), idx, vals[..., 0]), want[:, 0])
+
+
+def test_folds_of_a_classifier_are_fitted_side_by_side(spark):
+    """Two folds must be under way at once; the predictions are those of one after the other."""
+    import threading
+
+    from pyspark.ml.classification import LogisticRegression
+    from riskloom.plans.tune import mllib_cv
+    df = spark.createDataFrame([(i, float(i % 7), i % 3, int(i % 7 > 3), i % 2) for i in range(80)], "k long, x double, c int, y int, fold int")
+    at = (df, "k", ["x"], ["c"], "y", "fold", 2)
+    met = threading.Barrier(2, timeout=30)
+    both = mllib_cv(*at, lambda width: met.wait() is None or LogisticRegression(maxIter=3))
+    one = mllib_cv(*at, lambda width: LogisticRegression(maxIter=3), parallelism=1)
+    got, want = ({r["k"]: r["p"] for r in d.collect()} for d in (both, one))
+    assert len(got) == 80 and max(abs(got[k] - want[k]) for k in want) < 1e-12
