@@ -1,7 +1,7 @@
 """Parameter search over networks: all trials of a fold are trained by the same passes.
 
 A step reads a fold's records once; every task computes the gradients of all trials that still
-run, and their vectors travel as one. The objective of a trial is its mean fold AUC; the pooled AUC
+run, and their vectors travel as one. DeepFM's trials share what their rows have in common (``fieldwise``). The objective of a trial is its mean fold AUC; the pooled AUC
 beside it comes from the summed score histograms of the folds, so no prediction is written. Trials
 that meet the stop rule leave the passes.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from ..sources.files import commit_history
 from ..sources.records import SlicedRecords
+from .fieldwise import Net, blocks, mask_plan, widest_masks
 from .models import FORWARD, GRAD, Dims, dropout_masks, init_params, mmoe_heads
 from .score import MAX_MODEL_FLOATS, model_floats
 from .train import (
@@ -84,6 +85,13 @@ def _shared(spark, trials: list[Trial]):
     return spark.sparkContext.broadcast([(t.cfg.model, t.params, t.dims, _layout(t.params), t.cfg.dropout) for t in trials])
 
 
+def _nets(models) -> dict[int, Net]:
+    """The DeepFM models of a broadcast by their places."""
+    plans = {i: mask_plan(dropout, d) for i, (m, _, d, _, dropout) in enumerate(models) if m == "deepfm"}
+    widest = widest_masks(list(plans.values()))
+    return {i: Net(models[i][1], models[i][2], plan, widest) for i, plan in plans.items()}
+
+
 def step_of_all(records: DataFrame, key: str, trials: list[Trial], step: int) -> list[tuple[float, int]]:
     """One gradient step of every trial from one pass over the records: (loss sum, rows) each.
     ``step`` counts from 0."""
@@ -91,17 +99,25 @@ def step_of_all(records: DataFrame, key: str, trials: list[Trial], step: int) ->
 
     def part(batches):
         models = bc.value
+        nets = _nets(models)
         total, losses, n = [0.0] * len(models), np.zeros(len(models)), 0
         for rows in batches:
             if rows.num_rows == 0:
                 continue
             keys, xi, xv, y = training_rows(rows, models[0][2].field_size)
+            for block in blocks(keys, xi, xv, y, step) if nets else ():
+                for i, net in nets.items():
+                    losses[i] += net.add_gradient(block)
             for i, (m, p, d, layout, dropout) in enumerate(models):
+                if i in nets:
+                    continue
                 loss, g = GRAD[m](p, d, xi, xv, y, dropout_masks(m, d, keys, step, dropout))
                 total[i] = total[i] + _flatten(g, layout)
                 losses[i] += float(loss)
             n += len(y)
         if n:
+            for i, net in nets.items():
+                total[i] = _flatten(net.gradient(), models[i][3])
             yield task_sums("g", np.concatenate([losses, *total]), 0.0, n)
 
     row = summed(mask_keyed(records, key).mapInArrow(part, "g array<double>, loss double, n long, task int"), "g")
@@ -125,12 +141,18 @@ def histograms_of_all(records: DataFrame, key: str, trials: list[Trial]) -> tupl
 
     def part(batches):
         models = bc.value
+        nets = _nets(models)
         hist, losses, n = np.zeros((len(models), HIST)), np.zeros(len(models)), 0
         for rows in batches:
             if rows.num_rows == 0:
                 continue
-            _, xi, xv, y = training_rows(rows, models[0][2].field_size)
+            keys, xi, xv, y = training_rows(rows, models[0][2].field_size)
+            for block in blocks(keys, xi, xv, y) if nets else ():
+                for i, net in nets.items():
+                    losses[i] += score_counts(hist[i], (net.scores(block),) * 2, block.y)
             for i, (m, p, d, _, _) in enumerate(models):
+                if i in nets:
+                    continue
                 heads = mmoe_heads(p, d, xi, xv) if m == "mmoe" else (FORWARD[m](p, d, xi, xv),) * 2
                 losses[i] += score_counts(hist[i], heads, y)
             n += len(y)

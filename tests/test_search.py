@@ -87,3 +87,46 @@ def test_a_model_above_the_bound_trains_as_a_table(spark, records, tmp_path, mon
                         save_to=str(tmp_path / "w"))
     assert (out["valid_auc"] > 0.5).all()
     assert spark.read.parquet(str(tmp_path / "w" / "deepfm-fold0" / "features")).count() == DIMS.feature_dim
+
+
+@pytest.mark.parametrize("use_fm,use_deep", [(True, True), (True, False), (False, True)])
+def test_fieldwise_passes_equal_the_models_own(use_fm, use_deep, monkeypatch):
+    """Many ids and few, one id in all rows, missing values, masks of models of several widths."""
+    from riskloom.plans import fieldwise as Fw
+    rng = np.random.default_rng(3)
+    n, made = 700, []
+    xi = np.stack([np.zeros(n, int), 1 + rng.integers(0, 5, n), 6 + rng.integers(0, 200, n)], axis=1)
+    xv, y, keys = np.round(rng.normal(0, 2, (n, 3)), 1), (rng.random(n) < 0.4).astype(float), rng.integers(-9, 10**12, n)
+    assert (xv == 0).any()
+    for emb, layers, fm0 in ((4, (8, 5), 0.3), (7, (6,), 0.6)):
+        d = Mo.Dims(feature_dim=206, field_size=3, emb_dim=emb, deep_layers=layers, use_fm=use_fm, use_deep=use_deep)
+        p = Mo.init_params("deepfm", d, 5)
+        p["ln_scale"], p["ln_shift"] = rng.normal(1, 0.2, emb), rng.normal(0, 0.2, emb)
+        made.append((p, d, {"fm0": fm0, "fm1": 0.0, "att": 0.5, "deep0": 0.5, "deep1": 0.4, "deep2": 0.2}))
+    monkeypatch.setattr(Fw, "BLOCK", 256)
+    plans = [Fw.mask_plan(rates, d) for _, d, rates in made]
+    nets = [Fw.Net(p, d, plan, Fw.widest_masks(plans)) for (p, d, _), plan in zip(made, plans)]
+    losses = [sum(x) for x in zip(*[[net.add_gradient(b) for net in nets] for b in Fw.blocks(keys, xi, xv, y, 7)])]
+    for net, loss, (p, d, rates) in zip(nets, losses, made):
+        want, g = Mo.deepfm_grad(p, d, xi, xv, y, Mo.dropout_masks("deepfm", d, keys, 7, rates))
+        assert loss == pytest.approx(want, rel=1e-12)
+        got = net.gradient()
+        for k in g:
+            assert np.allclose(got[k], g[k], rtol=1e-9, atol=1e-9 * np.abs(g[k]).max()), k
+        scores = np.concatenate([net.scores(b) for b in Fw.blocks(keys, xi, xv, y)])
+        assert np.allclose(scores, Mo.deepfm_forward(p, d, xi, xv), rtol=1e-12)
+
+
+def test_dropout_hashes_and_ids_are_made_once_for_all_trials(monkeypatch):
+    """Before, every trial hashed its own masks and had the whole batch pass through memory."""
+    from riskloom.plans import fieldwise as Fw
+    calls, fractions = [], Fw.hash_fractions
+    monkeypatch.setattr(Fw, "hash_fractions", lambda *a: calls.append(a[1].size) or fractions(*a))
+    d = [replace(DIMS, emb_dim=e) for e in (2, 4, 3)]
+    plans = [Fw.mask_plan({"fm0": 0.3 + i / 10, "deep0": 0.5}, x) for i, x in enumerate(d)]
+    nets = [Fw.Net(Mo.init_params("deepfm", x, 1), x, plan, Fw.widest_masks(plans)) for x, plan in zip(d, plans)]
+    xi = np.arange(30).reshape(10, 3) % 12
+    for block in Fw.blocks(np.arange(10), xi, np.ones((10, 3)), np.arange(10) % 2.0, 1):
+        for net in nets:
+            net.add_gradient(block)
+    assert sorted(calls) == [3, 12]  # one hash for each of the two masks, of the widest model's width
